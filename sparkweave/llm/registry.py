@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkweave.llm import secret_scan
 from sparkweave.llm.curriculum import mix_sources
 from sparkweave.llm.exact_dedup import exact_dedup
+from sparkweave.llm.language_id import fit_filters, identify_languages
+from sparkweave.llm.packing import pack_documents
+from sparkweave.llm.quality import compression_quality
+from sparkweave.llm.token_counts import section_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +41,60 @@ WINDOW same AS (PARTITION BY t)
 """
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = [r.kind for r in secret_scan.RULES if r.base]
+    found = secret_scan.scan_secrets(documents(spark, sf_dir))
+    of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[of(k).alias(f"n_{k}") for k in base],
+        F.sha2(secret_scan.joined(F.filter("found", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("found")).alias("spans"),
+    )
+
+
+def _op4_sql() -> str:
+    kinds = []
+    for order, rule in enumerate(secret_scan.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        kinds.append(
+            f"SELECT doc_id, {order} AS rank, '{rule.kind}' AS kind, string_split_regex(t, '{pattern}') AS gaps, "
+            f"regexp_extract_all(t, '{pattern}') AS matches, regexp_extract_all(t, '{pattern}', {rule.group}) AS tested, {rule.least} AS least FROM texts"
+        )
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+kinds AS ({" UNION ALL ".join(kinds)}),
+each AS (SELECT doc_id, rank, kind, gaps, matches, tested, least, unnest(range(1, len(matches) + 1)) AS i FROM kinds),
+spans AS (
+  SELECT doc_id, rank, kind, length(matches[i]) AS n,
+         list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(matches[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM each WHERE length(tested[i]) >= least
+),
+joined AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(concat(kind, ':', start::BIGINT, ':', (start + n)::BIGINT), ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+         string_agg(concat(kind, ':', start::BIGINT, ':', (start + n)::BIGINT), ',' ORDER BY start, rank) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts t LEFT JOIN joined j ON t.doc_id = j.doc_id
+"""
+
+
+def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return section_token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 6).alias("position"))
@@ -80,12 +139,29 @@ FROM taken
 """
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    filters = fit_filters(docs, trains=remainder != 2)
+    held = docs.select(F.col("doc_id"), "text")
+    return identify_languages(held, filters).select("doc_id", (remainder == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_quality(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
+        "op4_secret_scan": op4_secret_scan,
+        "op5_pack_documents": op5_pack_documents,
+        "op6_section_tokens": op6_section_tokens,
         "op7_mix_sources": op7_mix_sources,
+        "op8_language_id": op8_language_id,
+        "op9_compression_quality": op9_compression_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op7_mix_sources": OP7_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_secret_scan": _op4_sql(), "op7_mix_sources": OP7_SQL}
