@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from sparkweave.llm import secret_scan
 from sparkweave.llm.curriculum import mix_sources
 from sparkweave.llm.exact_dedup import exact_dedup
+from sparkweave.llm.katz import crc32_of_id, katz_scores
 from sparkweave.llm.language_id import fit_filters, identify_languages
+from sparkweave.llm.ngram_join import ngram_jaccard_join
 from sparkweave.llm.packing import pack_documents
 from sparkweave.llm.quality import compression_quality
 from sparkweave.llm.token_counts import section_token_counts
@@ -22,6 +24,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="max")
 
@@ -41,6 +47,10 @@ WINDOW same AS (PARTITION BY t)
 """
 
 
+def op3_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(documents(spark, sf_dir), trains=crc32_of_id(F.col("doc_id")) % 10 != 0)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [r.kind for r in secret_scan.RULES if r.base]
     found = secret_scan.scan_secrets(documents(spark, sf_dir))
@@ -141,10 +151,9 @@ FROM taken
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    remainder = crc32_of_id(F.col("doc_id")) % 4
     filters = fit_filters(docs, trains=remainder != 2)
-    held = docs.select(F.col("doc_id"), "text")
-    return identify_languages(held, filters).select("doc_id", (remainder == 2).alias("held_out"), "lang_pred", "score")
+    return identify_languages(docs, filters).select("doc_id", (remainder == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +162,9 @@ def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_katz_scores": op3_katz_scores,
         "op4_secret_scan": op4_secret_scan,
         "op5_pack_documents": op5_pack_documents,
         "op6_section_tokens": op6_section_tokens,

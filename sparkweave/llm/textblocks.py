@@ -137,6 +137,8 @@ def shuffle_planes(values: np.ndarray, width: int) -> bytes:
 
 def gather_planes(data: bytes | memoryview, count: int, width: int) -> np.ndarray:
     wide = np.zeros((count, 8), np.uint8)
+    if not count or not width:
+        return wide.view("<u8").reshape(-1)
     wide[:, :width] = np.frombuffer(data, np.uint8, count * width).reshape(width, count).T
     return wide.view("<u8").reshape(-1)
 
@@ -155,18 +157,17 @@ def unpack(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending values as their differences; the first has eight bytes of its own."""
+    """Ascending values: their number, the first in eight bytes, and their differences."""
     if not len(values):
-        return pack(values)
-    return pack(np.diff(values)) + int(values[0]).to_bytes(8, "little")
+        return (0).to_bytes(4, "little")
+    return len(values).to_bytes(4, "little") + int(values[0]).to_bytes(8, "little") + pack(np.diff(values))
 
 
 def unpack_sorted(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     count = int.from_bytes(data[at : at + 4], "little")
-    steps, stop = unpack(data, at)
-    if not count and data[at + 4] == 0 and len(data) == stop:
-        return np.zeros(0, np.uint64), stop
-    values = np.empty(count + 1, np.uint64)
-    values[0] = int.from_bytes(data[stop : stop + 8], "little")
-    values[1:] = steps
-    return np.cumsum(values, dtype=np.uint64), stop + 8
+    if not count:
+        return np.zeros(0, np.uint64), at + 4
+    values = np.empty(count, np.uint64)
+    values[0] = int.from_bytes(data[at + 4 : at + 12], "little")
+    values[1:], stop = unpack(data, at + 12)
+    return np.cumsum(values, dtype=np.uint64), stop
