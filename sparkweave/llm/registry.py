@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm import secret_scan
+from sparkweave.llm import pii, secret_scan
 from sparkweave.llm.curriculum import mix_sources
 from sparkweave.llm.exact_dedup import exact_dedup
 from sparkweave.llm.katz import crc32_of_id, katz_scores
@@ -160,6 +160,18 @@ def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality(documents(spark, sf_dir))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+    return found.select(
+        "doc_id",
+        *[of(k).alias(f"n_{k}") for k in pii.KINDS[: pii.BASE_KINDS]],
+        F.sha2(pii.joined(base), 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -171,6 +183,7 @@ def queries() -> dict[str, Query]:
         "op7_mix_sources": op7_mix_sources,
         "op8_language_id": op8_language_id,
         "op9_compression_quality": op9_compression_quality,
+        "op10_personal_data": op10_personal_data,
     }
 
 
