@@ -10,11 +10,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkweave.llm.columns import pick
 from sparkweave.llm.textblocks import chunks, lower_ascii, mix, text_bytes
 
-SCHEMA = "doc_id long, lang_pred string, score double, n_grams long, hits array<double>"
+SCHEMA = "lang_pred string, score double, n_grams long, hits array<double>"
 
 #: A mask has one bit for each language.
 MAX_LANGUAGES = 64
@@ -127,8 +128,9 @@ def fit_filters(
     return LanguageFilters(languages, slices, filled**hashes, tuple(sizes), hashes)
 
 
-def identify_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): lang_pred, score, n_grams and the corrected hits of each language.
+def identify_languages(docs: DataFrame, filters: LanguageFilters, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): the columns that ``carry`` names, lang_pred, score, n_grams and the corrected
+    hits of each language.
 
     Method. Every n-gram of a text asks the bit-sliced filters once and gets the mask of all languages that contain it. Population
     counts of each bit over the text, less the hits that a filter of that fill would give by chance
@@ -157,7 +159,7 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
                 score = np.where(known, np.minimum(corrected[np.arange(texts), best] / np.maximum(total, 1), 1.0), 0.0)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": part.column("doc_id").cast(pa.int64()),
+                        **{c: part.column(c) for c in carry},
                         "lang_pred": pa.array([f.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], pa.string()),
                         "score": score,
                         "n_grams": total.astype(np.int64),
@@ -165,4 +167,5 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
                     }
                 )
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    rows = pick(docs, *dict.fromkeys((*carry, "text")))
+    return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in carry], *T.StructType.fromDDL(SCHEMA).fields]))
