@@ -34,7 +34,7 @@ def attribute(token_ends: np.ndarray, section_ends: np.ndarray, rule: str) -> tu
     A token lies in the sections from that of its first byte to that of its last. ``first`` and ``last`` name the one that gets a
     crossing token; ``majority`` gives it to the section with the most of its bytes, the earliest of equal ones.
     """
-    starts = np.concatenate(([0], token_ends[:-1]))
+    starts = token_ends - np.diff(token_ends, prepend=0)
     low = np.searchsorted(section_ends, starts, "right")
     high = np.searchsorted(section_ends, token_ends - 1, "right")
     crossing = high > low
@@ -53,7 +53,8 @@ def section_token_counts(docs: DataFrame, ranks_path: str, pattern: str, rule: s
 
     Method. A document is encoded once, whole. Ids of a byte-level vocabulary have a fixed number of bytes, so running sums give
     every token's span; an interval join by binary search attributes tokens to sections, and ``rule`` allocates the tokens that
-    cross a boundary (see attribute()). A section is a line with the line feed that ends it, so sections cover the text and
+    cross a boundary (see attribute()). A section is a line with the line feed that ends it; a text's last
+    line feed begins no further section. So sections cover the text and
     the counts of a document add up to its number of tokens.
 
     Defined cases: a null or empty text has one empty section without tokens; a null doc_id and repeated rows give rows of their own.

@@ -1,0 +1,246 @@
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from sparkweave.llm import curriculum, packing, quality, secret_scan, textblocks, token_counts
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_packed_arrays_round_trip():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000):
+        values = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+        assert (textblocks.unpack(textblocks.pack(values))[0] == values).all()
+        ordered = np.sort(values)
+        back, at = textblocks.unpack_sorted(textblocks.pack_sorted(ordered) + b"more")
+        assert (back == ordered).all() and at == len(textblocks.pack_sorted(ordered))
+
+
+def brute_quality(text):
+    text = text or ""
+    words = WORD.findall(text)
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    covered = {i + j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in range(3)}
+    seen, duplicates = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            duplicates += line in seen
+            seen.add(line)
+    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), duplicates, len(covered), failed
+
+
+def test_quality_statistics_match_brute_force(docs, fixture_docs):
+    found = quality.compression_quality(docs).collect()
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found)
+    assert got == Counter((i, *brute_quality(t)) for i, t, *_ in fixture_docs)
+    assert not any(r.kept and r.base_failed for r in found)
+
+
+def test_compression_bands(spark):
+    rng = random.Random(2)
+    clean = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(1500))
+    noise = " ".join("".join(rng.choices([chr(c) for c in range(33, 127)], k=60)) for _ in range(200))
+    periodic = " ".join(f"{'abcdefghij' * 12}{i % 97}" for i in range(400))
+    rows = [(1, clean), (2, noise), (3, periodic), (4, None), (5, "")]
+    found = {r.doc_id: r for r in quality.compression_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].kept and not found[2].kept and not found[3].kept and not found[2].base_failed
+    assert found[4].ratio is None and not found[5].kept
+
+
+def test_quality_of_empty_table(empty):
+    assert quality.compression_quality(empty).count() == 0
+
+
+def test_word_encoder_matches_the_tokenizer():
+    texts = ["Plain words, and more. plain", "", None, "<|endoftext|> a<|ENDOFTEXT|>b x|y | || a,b!c it's don't", "É é é ,́ İ ß ſ 12 3.5%", " a　b \x85", "a" * 3000, "word-word...end\tx\ny"]
+    plain = Tokenizer.from_file(TOKENIZER)
+    ids, first = packing.WordEncoder(TOKENIZER).encode(pa.array(texts), 1)
+    for i, text in enumerate(texts):
+        assert ids[first[i] : first[i + 1]].tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 1], text
+
+
+@pytest.mark.parametrize("window", [64, 2048])
+def test_packing_is_a_round_trip(docs, fixture_docs, window):
+    plain = Tokenizer.from_file(TOKENIZER)
+    want = Counter(tuple([*plain.encode(t or "", add_special_tokens=False).ids, 1]) for _, t, *_ in fixture_docs)
+    packed = packing.pack_documents(docs, TOKENIZER, window=window, docs_per_group=100).collect()
+    sequences, pieces = defaultdict(list), defaultdict(list)
+    for r in packed:
+        ids = np.frombuffer(r.ids, "<u4")
+        assert len(ids) == r.length > 0
+        sequences[r.sequence_id].append((r.offset, r.length))
+        pieces[r.doc_id].append((r.start, tuple(ids.tolist()), r.doc_tokens))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= window and at & (at - 1) == 0
+    repeated = {i for i, n in Counter(r[0] for r in fixture_docs).items() if n > 1}
+    for i, parts in pieces.items():
+        if i not in repeated:
+            parts.sort()
+            whole = sum((p[1] for p in parts), ())
+            assert want[whole] and len(whole) == parts[0][2]
+    assert sum(r.length for r in packed) == sum(len(k) * n for k, n in want.items())
+
+
+def test_sum_of_squares_takes_the_best_level():
+    rng = np.random.default_rng(0)
+    lengths = rng.integers(1, 64, 500)
+    bins, offsets, fill = packing.sum_of_squares(lengths, 64)
+    level = Counter()
+    state: dict[int, int] = {}
+    for s, b, h in zip(lengths.tolist(), bins.tolist(), offsets.tolist(), strict=True):
+        cost = {}
+        for start in {0, *level} | {0}:
+            if start + s <= 64 and (start == 0 or level[start]):
+                after = Counter({k: v for k, v in level.items() if k})
+                if start:
+                    after[start] -= 1
+                if start + s < 64:
+                    after[start + s] += 1
+                cost[start] = sum(v * v for v in after.values())
+        assert cost[h] == min(cost.values())
+        assert state.get(b, 0) == h
+        state[b] = h + s
+        if h:
+            level[h] -= 1
+        if h + s < 64:
+            level[h + s] += 1
+    assert fill.max() <= 64 and fill.sum() == lengths.sum()
+
+
+def test_packing_of_empty_table(empty):
+    assert packing.pack_documents(empty, TOKENIZER).count() == 0
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_section_counts_match_another_encoder(docs, fixture_docs, rule):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    found = token_counts.section_token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, rule).collect()
+    got = Counter((r.doc_id, r.section, r.char_start, r.char_end, r.n_tokens) for r in found)
+    want = Counter()
+    for i, text, *_ in fixture_docs:
+        text = text or ""
+        lines = re.findall(r"[^\n]*\n|[^\n]+", text) or [""]
+        ends = np.cumsum([len(x) for x in lines])
+        counts = [0] * len(lines)
+        for a, b in plain.encode(text, add_special_tokens=False).offsets:
+            share = [min(b, int(e)) - max(a, int(e) - len(x)) for e, x in zip(ends, lines, strict=True)] if b > a else []
+            low, high = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, max(b - 1, a), "right"))
+            counts[{"first": low, "last": high, "majority": int(np.argmax(share)) if low < high else low}[rule]] += 1
+        for s, (e, x) in enumerate(zip(ends, lines, strict=True)):
+            want[i, s, int(e) - len(x), int(e), counts[s]] += 1
+    assert got == want
+
+
+def test_crossing_tokens_follow_the_rule():
+    ends, sections = np.array([2, 7, 9]), np.array([4, 6, 9])
+    assert [token_counts.attribute(ends, sections, r)[0].tolist() for r in ("first", "last", "majority")] == [[0, 0, 2], [0, 2, 2], [0, 0, 2]]
+
+
+def test_sections_of_empty_table(empty):
+    assert token_counts.section_token_counts(empty, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+
+
+def brute_spans(text):
+    out = []
+    for rank, rule in enumerate(secret_scan.RULES):
+        for m in re.finditer(rule.pattern, text or ""):
+            if len(m[rule.group]) >= rule.least:
+                out.append((m.start(), rank, rule.kind, m.end()))
+    return sorted(out)
+
+
+def test_secrets_match_brute_force(spark):
+    rng = random.Random(4)
+    bits = ["password", "PassWd", "token=", "secret: ", "api_key", "apikey ", "=", ": ", '"', "é𝄞", " ", "abcdefgh", "AKIA", "AKIA0123456789AB", "0123456789abcdef" * 2, "f" * 31, "\n", "ghp_" + "a" * 36, "-----BEGIN RSA PRIVATE KEY-----", "eyJ" + "a" * 9 + "." + "eyJ" + "b" * 9 + "." + "c" * 9, "xoxb-1234567890-ab"]
+    rows = [(i, "".join(rng.choices(bits, k=rng.randrange(0, 14)))) for i in range(400)]
+    rows += [(None, "token = abcdefghij"), (500, None), (500, "password=12345678"), (500, "password=12345678"), (501, "word " * 50000 + "secret=abcdefgh1")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "text AS kinds", "doc_id AS of")
+    for limit in (10**6, 0):
+        found = secret_scan.scan_secrets(frame, broadcast_rows=limit).collect()
+        assert Counter((r.doc_id, tuple(map(tuple, r.found))) for r in found) == Counter((i, tuple(brute_spans(t))) for i, t in rows)
+
+
+@pytest.mark.parametrize("rule", secret_scan.RULES, ids=lambda r: r.kind)
+def test_trigram_queries_hold_for_matches(rule):
+    examples = {"assign": 'API_KEY: "abcdefgh', "access": "AKIA" + "B" * 20, "hex": "0" * 40, "private_key": "-----BEGIN EC PRIVATE KEY-----", "forge_token": "gho_" + "z" * 40, "chat_token": "xoxp-1234567890", "web_token": "eyJabcdefgh.eyJabcdefgh.abcdefgh"}
+    text = examples[rule.kind].lower()
+    query = secret_scan.trigram_query(rule.pattern)
+    assert bool(query) == (rule.kind != "hex")
+    assert all(any(all(t in text for t in conjunction) for conjunction in clause) for clause in query)
+
+
+def test_secrets_of_empty_table(empty):
+    assert secret_scan.scan_secrets(empty).count() == 0
+
+
+def brute_targets(sizes, weights):
+    """Shares by weight; what exceeds three times a source's size is shared again until none does."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total, fixed = sum(sizes.values()), {}
+    while True:
+        free = [s for s in names if s not in fixed]
+        rest = total - sum(fixed.values())
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * sizes[s]]
+        if not over:
+            return fixed | share
+        fixed |= {s: 3 * sizes[s] for s in over}
+
+
+def test_mix_meets_its_targets(docs, fixture_docs):
+    rows = curriculum.mix_sources(docs, rows_per_bucket=20).collect()
+    sizes = Counter()
+    for _, text, _, source, _ in fixture_docs:
+        sizes[source] += len(WORD.findall(text or ""))
+    targets = brute_targets(sizes, (5, 2, 1))
+    taken = Counter()
+    for r in rows:
+        assert r.size == r.size and 0 <= r.taken <= 3 * r.size and r.source_size == sizes[r.source]
+        assert r.target == pytest.approx(targets[r.source])
+        assert len(r.positions) == r.copies and sorted(r.positions) == r.positions and all(0 <= p < 1 for p in r.positions)
+        taken[r.source] += r.taken
+    assert len(rows) == len(fixture_docs)
+    assert all(abs(taken[s] - t) <= 1 for s, t in targets.items())
+    order = [r.position for r in rows if r.position is not None]
+    assert order == sorted(order)
+    again = curriculum.mix_sources(docs, rows_per_bucket=1000).collect()
+    assert Counter((r.doc_id, r.taken, r.copies) for r in rows) == Counter((r.doc_id, r.taken, r.copies) for r in again)
+
+
+def test_positions_invert_the_schedule(spark):
+    """By time t, a source with slope s should have met (1 + s) t - s t^2 of its demand."""
+    rows = [(i, "word " * 10, "s1") for i in range(200)]
+    found = curriculum.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), slopes=(0.6,)).collect()
+    for n, r in enumerate(found):
+        t = r.position
+        assert 1.6 * t - 0.6 * t * t == pytest.approx(n / 200, abs=1e-9)
+
+
+def test_mix_of_tables_without_words(spark, empty):
+    assert curriculum.mix_sources(empty).count() == 0
+    rows = [(1, None, "a"), (2, "", None)]
+    found = curriculum.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert [(r.taken, r.copies, r.position) for r in found] == [(0, 0, None)] * 2
+
+
+def test_crc32_of_pieces(docs):
+    from pyspark.sql import functions as F
+
+    packed = packing.pack_documents(docs, TOKENIZER).withColumn("crc", F.crc32("ids")).limit(20).collect()
+    assert all(zlib.crc32(r.ids) == r.crc for r in packed)
