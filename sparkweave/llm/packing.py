@@ -6,36 +6,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkweave.llm.columns import pick
-from sparkweave.llm.storage import written
-from sparkweave.llm.textblocks import chunks, words_of
+from sparkweave.llm.storage import small_batches, written
+from sparkweave.llm.textblocks import Words, chunks, lower_ascii, piece_hashes, runs, text_bytes, trim_memory
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 PACKED = PIECES + ", sequence_id long, offset long"
 
-#: A separator that word-wise tokenizers give one id of its own; words that contain it are encoded alone.
+#: A separator that word-wise tokenizers give one id of its own; units that contain it are encoded alone.
 _SEPARATOR = "|"
-_ALONE = regex.compile(r"[|<]")
+
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[97:123] = True
+_MARK[list(b'!"#$%&()*+,-./:;=?@[]^_`{|}~')] = True
+
+
+def units_of(texts: pa.Array) -> Words:
+    """Words, cut further where a letter a-z meets a mark other than an apostrophe or an angle bracket, with A-Z lower-cased.
+
+    A word-wise tokenizer that lower-cases never joins across such a place, so these parts repeat more often than words
+    and have the same ids. Words with an angle bracket, as special tokens have, stay as they are.
+    """
+    data, offsets = text_bytes(texts)
+    low = lower_ascii(data)
+    first, last = runs(~((data == 32) | ((data >= 9) & (data <= 13))), offsets)
+    cut = np.flatnonzero(_LETTER[low[:-1]] & _MARK[low[1:]]) + 1
+    at = np.searchsorted(first, cut, "right") - 1
+    inside = cut < last[at]  # else a text begins there
+    cut, at = cut[inside], at[inside]
+    brackets = np.flatnonzero(low == 60)
+    if len(brackets):
+        special = np.unique(np.searchsorted(first, brackets, "right") - 1)
+        cut = cut[~np.isin(at, special)]
+        for a, b in zip(first[special].tolist(), last[special].tolist(), strict=True):
+            low[a:b] = data[a:b]
+    starts, ends = np.sort(np.concatenate((first, cut))), np.sort(np.concatenate((last, cut)))
+    return Words(low, offsets, starts, ends, piece_hashes(low, starts, ends), np.searchsorted(starts, offsets))
 
 
 class WordEncoder:
-    """Ids of whole texts, from the ids of their words.
+    """Ids of whole texts, from the ids of their units.
 
-    Right for tokenizers that drop white space and never join across it. Each distinct word is encoded once and kept; the
-    memory is emptied when it has ``limit`` words, so it is bounded.
+    Right for tokenizers that lower-case, drop white space and never join across it. Each distinct unit is encoded once and
+    kept; the memory is emptied when it has ``limit`` units, so it is bounded.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000, joined: int = 256):
+    def __init__(self, path: str, limit: int = 700_000, joined: int = 256):
         self.tokenizer = Tokenizer.from_file(path)
         self.limit, self.joined = limit, joined
         (self.mark,) = self.tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids
         self._reset()
 
+    @classmethod
+    def of_process(cls, path: str) -> WordEncoder:
+        """The encoder that this Python process keeps from one task to the next."""
+        kept = vars(tokenizers).setdefault("_sparkweave_encoders", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
     def _reset(self) -> None:
         self.known: dict[int, int] = {}
         self.pool = np.zeros(1 << 20, np.uint32)
@@ -54,9 +88,9 @@ class WordEncoder:
         self.ends[at + 1 : at + 1 + len(hashes)] = before + np.cumsum(lengths)
         self.known.update(zip(hashes, range(at, at + len(hashes)), strict=True))
 
-    def _learn(self, fresh: list[tuple[int, str]]) -> None:
-        alone = [x for x in fresh if _ALONE.search(x[1])]
-        plain = [x for x in fresh if not _ALONE.search(x[1])]
+    def _learn(self, fresh: list[tuple[int, str]], odd: bool) -> None:
+        alone = [x for x in fresh if "|" in x[1] or "<" in x[1]] if odd else []
+        plain = [x for x in fresh if "|" not in x[1] and "<" not in x[1]] if odd else fresh
         for of, word in alone:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             self._store([of], np.array(ids, np.uint32), np.array([len(ids)]))
@@ -70,14 +104,14 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, last: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``last``, and where each text's ids begin (and the end)."""
-        words = words_of(texts, lower=False)
+        words = units_of(texts)
         distinct, where, which = np.unique(words.hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > self.limit:
             self._reset()
         known, data = self.known, words.data
         keys = distinct.tolist()
         fresh = [(k, bytes(data[a:b]).decode()) for k, a, b in zip(keys, words.starts[where].tolist(), words.ends[where].tolist(), strict=True) if k not in known]
-        self._learn(fresh)
+        self._learn(fresh, odd=bool((data == 124).any() or (data == 60).any()))
         index = np.fromiter((known[k] for k in keys), np.int64, len(keys))[which]
         begins, lengths = self.ends[index], self.ends[index + 1] - self.ends[index]
         sums = np.concatenate(([0], np.cumsum(lengths)))
@@ -95,10 +129,10 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window:
     """Rows of PIECES: every document's ids, cut at multiples of ``window``. ``ids`` are little-endian, of 2 bytes each where the vocabulary allows it, else 4."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = WordEncoder.of_process(tokenizer_path)
         kind = "<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
-            for part in chunks(batch, limit=1 << 22):
+            for part in chunks(batch):
                 ids, first = encoder.encode(part.column("text"), end_id)
                 size = np.diff(first)
                 pieces = -(-size // window)
@@ -119,6 +153,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window:
                     }
                 )
                 yield from table.to_batches(max_chunksize=2000)
+            trim_memory()
 
     return pick(docs, "doc_id", "text").mapInArrow(run, PIECES)
 
@@ -179,7 +214,7 @@ def _place(lengths: np.ndarray, window: int) -> list[tuple[int, int, int, int, i
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048, docs_per_group: int = 40_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048, docs_per_group: int = 10_000) -> DataFrame:
     """Rows of PACKED, one per piece: ``ids`` (little-endian unsigned 32-bit) fill sequence ``sequence_id`` from ``offset`` on.
 
     Method. Documents are encoded whole. Full windows are sequences of their own. Remainders are dealt by a hash into groups of about
@@ -191,45 +226,53 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
+    small_batches(docs.sparkSession)
     pieces = written(encode_pieces(docs, tokenizer_path, end_id, window), "pack-pieces")
     groups = max(1, -(-docs.count() // docs_per_group))
     whole = pieces.where(F.col("length") == window)
     rest = pieces.where(F.col("length") < window)
     rest = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", F.crc32("ids")), F.lit(groups)))
 
+    def wide(blobs: list[bytes], ids: int) -> pa.Array:
+        """Ids of 2 or 4 bytes as ids of 4, text by text."""
+        raw = b"".join(blobs)
+        width = len(raw) // max(ids, 1)
+        ends = np.concatenate(([0], np.cumsum([len(b) // max(width, 1) for b in blobs]))) * 4
+        values = np.frombuffer(raw, f"<u{width or 4}").astype("<u4")
+        return pa.Array.from_buffers(pa.binary(), len(blobs), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+
     def place(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("length", "ascending"), ("ids", "ascending")])
+        table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("length", "ascending"), ("ids", "ascending")]).combine_chunks()
         lengths = table.column("length").to_numpy()
         placed = sorted(_place(lengths, window), key=lambda x: (x[3], x[4]))
         item, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*placed, strict=True))
-        ids = table.column("ids").combine_chunks()
-        width = len(ids[0].as_py()) // int(lengths[0])
-        cut = [ids[i].as_buffer()[a * width : (a + n) * width].to_pybytes() for i, a, n in zip(item.tolist(), start.tolist(), length.tolist(), strict=True)]
+        blobs = table.column("ids").combine_chunks()
+        width = len(blobs[0].as_buffer()) // int(lengths[0])
+        cut = [blobs[i].as_buffer()[a * width : (a + n) * width].to_pybytes() for i, a, n in zip(item.tolist(), start.tolist(), length.tolist(), strict=True)]
         taken = table.select(["doc_id", "start", "doc_tokens"]).take(pa.array(item))
-        return pa.table(
+        out = pa.table(
             {
                 "doc_id": taken.column("doc_id"),
                 "start": taken.column("start").to_numpy() + start,
                 "length": length,
                 "doc_tokens": taken.column("doc_tokens"),
-                "ids": pa.array(cut, pa.binary()),
+                "ids": wide(cut, int(length.sum())),
                 "sequence_id": ((key[0].as_py() << 32) + sequence) * 2 + 1,
                 "offset": offset,
             }
         )
+        del table, blobs, cut, taken, placed
+        trim_memory()
+        return out
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in (big.slice(i, 500) for i in range(0, big.num_rows, 500)):
+                at = batch.schema.get_field_index("ids")
+                ids = wide([x.as_buffer().to_pybytes() for x in batch.column(at)], int(batch.column("length").to_numpy().sum()))
+                yield batch.set_column(at, "ids", ids)
+            trim_memory()
 
     packed = rest.groupBy("group").applyInArrow(place, PACKED)
     alone = whole.select("*", (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-
-    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            blobs, length = batch.column("ids"), batch.column("length").to_numpy()
-            ends = np.concatenate(([0], np.cumsum(length))) * 4
-            raw = b"".join(x.as_buffer().to_pybytes() for x in blobs)
-            wide = np.frombuffer(raw, "<u2" if len(raw) == 2 * length.sum() else "<u4").astype("<u4")
-            ids = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(wide)])
-            yield batch.set_column(batch.schema.get_field_index("ids"), "ids", ids)
-
-    return alone.unionByName(packed).mapInArrow(widen, PACKED)
+    return alone.mapInArrow(widen, PACKED).unionAll(packed)

@@ -25,6 +25,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Rows reach Python in Arrow batches of at most ``most`` bytes, or of fewer if the session says so."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+        spark.conf.set(key, str(most))
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table made by written() once a later one has been written from it."""
     spark = df.sparkSession
