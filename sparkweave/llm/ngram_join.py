@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 
 from sparkweave.llm.columns import pick
 from sparkweave.llm.components import components
-from sparkweave.llm.storage import written
-from sparkweave.llm.textblocks import chunks, mix, pack, pack_sorted, unpack, unpack_sorted, windows, words_of
+from sparkweave.llm.storage import small_batches, written
+from sparkweave.llm.textblocks import chunks, mix, pack, pack_sorted, trim_memory, unpack, unpack_sorted, windows, words_of
 
-#: Bytes of text in a block. Its hashes and document numbers take about as many bytes in memory.
-BLOCK_BYTES = 24 << 20
+#: Bytes of text in a block. Its hashes and text numbers take some ten times as much memory while they are sorted.
+BLOCK_BYTES = 10 << 20
 
 _ANSWER = "block long, shard int, payload binary"
 _TEXTS = "doc_id long, n long, digest long, digest2 long, alone int, weight double, tokens array<bigint>"
@@ -50,7 +50,7 @@ class _Block:
         base, hashes, owners, counts, digests = 0, [], [], [], []
         for h, owner, n, digest in parts:
             hashes.append(h)
-            owners.append(owner + base)
+            owners.append((owner + base).astype(np.int32))
             counts.append(n)
             digests.append(digest)
             base += len(n)
@@ -58,12 +58,15 @@ class _Block:
         # Equal sets within a block are one: the first text stands for all.
         _, first, which = np.unique(np.stack((self.digest[:, 0], self.digest[:, 1], self.n.astype(np.uint64)), 1), axis=0, return_index=True, return_inverse=True)
         self.leads = first[which.reshape(-1)] == np.arange(base)
+        parts.clear()
         h, owner = np.concatenate(hashes), np.concatenate(owners)
-        keep = self.leads[owner]
-        h, owner = h[keep], owner[keep]
+        del hashes, owners
+        if not self.leads.all():
+            keep = self.leads[owner]
+            h, owner = h[keep], owner[keep]
         order = np.argsort(h, kind="stable")
-        self.owner = owner[order].astype(np.uint32)
-        h = h[order]
+        self.owner, h = owner[order], h[order]
+        del owner, order
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         starts = np.flatnonzero(new)
@@ -98,7 +101,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[_Block]:
             for j, value in enumerate((mix(hashes), mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)))):
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
                 digest[:, j] = sums[ends[1:]] - sums[ends[:-1]]
-            parts.append((hashes, owner, n, digest))
+            parts.append((hashes, owner.astype(np.int32), n, digest))
             ids.append(part.column("doc_id").cast(pa.int64()))
             size += len(words.data)
             if size >= BLOCK_BYTES:
@@ -122,6 +125,7 @@ def _frequencies(rows: DataFrame, width: int, shards: int) -> DataFrame:
                     shard.append(s)
                     payload.append(pack_sorted(block.distinct[a:b]) + pack(several) + pack(block.times[a:b][several]))
             yield pa.RecordBatch.from_pydict({"block": pa.array([block.name] * len(shard), pa.int64()), "shard": pa.array(shard, pa.int32()), "payload": pa.array(payload, pa.binary())})
+            trim_memory()
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         hashes, times = [], []
@@ -152,6 +156,8 @@ def _frequencies(rows: DataFrame, width: int, shards: int) -> DataFrame:
             at += len(h)
             shared = frequency[g] > 1
             out.append(len(h).to_bytes(4, "little") + np.packbits(shared).tobytes() + pack_sorted(number[g[shared]].astype(np.uint64)) + pack(np.minimum(frequency[g[shared]], _MOST)))
+        del hashes, times, every, order, sorted_, back, group
+        trim_memory()
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "payload": pa.array(out, pa.binary())})
 
     return rows.mapInArrow(send, _ANSWER).groupBy("shard").applyInArrow(answer, _ANSWER)
@@ -165,6 +171,7 @@ def _texts(rows: DataFrame, answers: DataFrame, width: int, numerator: int) -> D
             fields = (block.n, block.digest[:, 0], block.digest[:, 1], block.leads, block.times, block.owner, block.known, block.ids.view(np.uint64))
             payload = b"".join(map(pack, fields))
             yield pa.RecordBatch.from_pydict({"block": pa.array([block.name], pa.int64()), "shard": pa.array([-1], pa.int32()), "payload": pa.array([payload], pa.binary())})
+            trim_memory()
 
     def finish(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         by_shard: dict[int, bytes] = {}
@@ -217,6 +224,8 @@ def _texts(rows: DataFrame, answers: DataFrame, width: int, numerator: int) -> D
                 "tokens": lists,
             }
         )
+        del token, owner, order, shared, times, tokens, flags, fields, data
+        trim_memory()
         return pa.concat_tables([out] * alike)
 
     return answers.unionAll(rows.mapInArrow(send, _ANSWER)).groupBy("block").applyInArrow(finish, _TEXTS)
@@ -260,6 +269,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, numerator: int = 75, sha
     one identifier, whatever their texts. Whole texts are read, however long. An empty table gives an empty result. Further columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shards = shards or min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << _SHARD_BITS) - 1)
     rows = pick(docs, "doc_id", "text")
     texts = written(_texts(rows, _frequencies(rows, width, shards), width, numerator), "shingle-texts")
