@@ -1,66 +1,16 @@
-"""The registered queries, each beside the SQL that gives the same rows."""
+"""All registered queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sparkweave.plans import analytics, relational, scalars, search, state
+from sparkweave.plans.registry import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from sparkweave.tables import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Adds a query, and the SQL it must agree with, under a name that is still free."""
-
-    def add(query: Query) -> Query:
-        if name in _QUERIES:
-            raise ValueError(f"query {name} is registered twice")
-        _QUERIES[name] = query
-        if sql is not None:
-            _ORACLES[name] = sql
-        return query
-
-    return add
+MODULES = (relational, analytics, scalars, search, state)
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
-
-
-@register(
-    "revenue_by_nation",
-    """
-    SELECT n_name, o_orderpriority, count(*) AS n_lines,
-           round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
-    FROM lineitem
-    JOIN orders ON l_orderkey = o_orderkey
-    JOIN customer ON o_custkey = c_custkey
-    JOIN nation ON c_nationkey = n_nationkey
-    GROUP BY n_name, o_orderpriority
-    """,
-)
-def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders")
-    customers = table(spark, sf_dir, "customer")
-    nations = table(spark, sf_dir, "nation")
-    return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        .groupBy("n_name", "o_orderpriority")
-        .agg(
-            F.count(F.lit(1)).alias("n_lines"),
-            F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"),
-        )
-    )
+    return dict(ORACLES)
