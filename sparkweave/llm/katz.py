@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.llm.columns import pick
-from sparkweave.llm.storage import shared_folder, written
-from sparkweave.llm.textblocks import chunks, mix, pack, pack_sorted, unpack, unpack_sorted, words_of
+from sparkweave.llm.storage import shared_folder, small_batches, written
+from sparkweave.llm.textblocks import chunks, mix, pack, pack_sorted, trim_memory, unpack, unpack_sorted, words_of
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _START, _END = np.uint64(0x51A27), np.uint64(0xE4D)
@@ -119,6 +119,8 @@ def _counts(rows: DataFrame, order: int, shards: int, thin: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {"block": pa.array([name] * count, pa.int64()), "shard": pa.array(shard, pa.int32()), "payload": pa.array(payload, pa.binary()), "stats": pa.nulls(count, pa.list_(pa.int64()))}
             )
+            del grams, payload
+            trim_memory()
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         times: dict[int, int] = {}
@@ -147,6 +149,8 @@ def _counts(rows: DataFrame, order: int, shards: int, thin: int) -> DataFrame:
         stats = [key[0].as_py() // shards + 1, int(seen.sum()), len(seen), *np.bincount(np.minimum(seen, thin + 2), minlength=thin + 3)[1 : thin + 2].tolist()]
         shard = pa.array([key[0].as_py()] * (len(names) + 1), pa.int32())
         lists = pa.array([None] * len(names) + [stats], pa.list_(pa.int64()))
+        del hashes, counts, every, first, group, owned, asked
+        trim_memory()
         return pa.table({"block": pa.array([*names, None], pa.int64()), "shard": shard, "payload": pa.array([*out, None], pa.binary()), "stats": lists})
 
     return rows.mapInArrow(send, _ANSWER).groupBy("shard").applyInArrow(answer, _ANSWER)
@@ -186,6 +190,7 @@ def katz_scores(docs: DataFrame, trains: Column, order: int = 2, added: float =
     An empty table gives an empty result. Further columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shards = shards or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pick(docs.withColumn("trains", F.coalesce(trains, F.lit(False))), "doc_id", "text", "trains")
     answers = written(_counts(rows, order, shards, thin), "gram-counts")
@@ -205,6 +210,7 @@ def katz_scores(docs: DataFrame, trains: Column, order: int = 2, added: float =
             id_ = ids.fill_null(0).to_numpy().view(np.uint64)
             payload = pack_sorted(distinct) + b"".join(map(pack, (number, number[which], lengths, learn, known, id_)))
             yield pa.RecordBatch.from_pydict({"block": pa.array([name], pa.int64()), "shard": pa.array([-1], pa.int32()), "payload": pa.array([payload], pa.binary()), "stats": pa.nulls(1, pa.list_(pa.int64()))})
+            trim_memory()
 
     def score(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         by_shard: dict[int, bytes] = {}
@@ -318,6 +324,8 @@ def katz_scores(docs: DataFrame, trains: Column, order: int = 2, added: float =
         ):
             at = sums_out.schema.get_field_index(name)
             sums_out = sums_out.set_column(at, docs_out.schema.field(name), pa.array(values, pa.list_(kind)))
+        del grams, levels, parts, probability, below, known_score, open_, text, orders, contexts, owners, packs
+        trim_memory()
         return pa.concat_tables([docs_out] * alike + [sums_out])
 
     asked = answers.where("block IS NOT NULL").unionAll(rows.mapInArrow(send, _ANSWER))
