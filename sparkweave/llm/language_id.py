@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkweave.llm.columns import pick
+from sparkweave.llm.storage import small_batches
 from sparkweave.llm.textblocks import chunks, lower_ascii, mix, text_bytes
 
 SCHEMA = "lang_pred string, score double, n_grams long, hits array<double>"
@@ -140,6 +141,7 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, carry: Sequenc
     the language that sorts first. A null doc_id and repeated rows are rows of their own. Whole texts count, however long.
     An empty table gives an empty result. Further columns are ignored.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.slices, filters.false_rate, filters.sizes, filters.hashes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from sparkweave.llm.columns import pick
+from sparkweave.llm.storage import small_batches
 from sparkweave.llm.textblocks import Words, chunks, piece_hashes, windows, words_of
 
 
@@ -118,6 +119,7 @@ def compression_quality(docs: DataFrame, bands: Sequence[Band] = BANDS, chunk_by
     Defined cases: a null or empty text has no words, a ratio of null, and fails; a null doc_id and repeated rows are kept as rows of
     their own. Whole texts are read, however long. An empty table gives an empty result. Further columns are ignored.
     """
+    small_batches(docs.sparkSession)
     bands = sorted(bands, key=lambda b: b.from_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

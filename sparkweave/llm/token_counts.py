@@ -11,6 +11,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 
 from sparkweave.llm.columns import pick
+from sparkweave.llm.storage import small_batches
 from sparkweave.llm.textblocks import chunks, text_bytes
 
 SCHEMA = "doc_id long, section long, char_start long, char_end long, n_tokens long, n_crossing long"
@@ -62,6 +63,7 @@ def section_token_counts(docs: DataFrame, ranks_path: str, pattern: str, rule: s
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, size = load_ranks(ranks_path, pattern)
