@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -53,19 +54,34 @@ class TextIndex:
         """One row: the number of documents and their mean length."""
         return self.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
-    def _weighted(self, terms: DataFrame) -> DataFrame:
-        """BM25 of each (doc_id, term) for the terms (term, times) of a query. The terms are few and sent to all tasks; only their postings go on."""
-        hits = self.postings.join(F.broadcast(terms), "term")
+    def written(self, folder: str) -> TextIndex:
+        """The index as tables below a folder, for many searches: postings partitioned by a hash of the term, so that a search reads a few files."""
+        spark = self.postings.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.postings.repartitionByRange(parts, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+        self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+        return TextIndex(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), self.fields)
+
+    def _hits(self, times: Mapping[str, int]) -> DataFrame:
+        """Postings of the terms of a query, with the number of times each counts. The terms are literals, so the filter goes before the grouping of postings."""
+        terms = sorted(times)
+        if not terms:
+            return self.postings.where(F.lit(False)).withColumn("times", F.lit(1))
+        weight = F.element_at(F.create_map(*[F.lit(x) for t in terms for x in (t, times[t])]), F.col("term"))
+        return self.postings.where(F.col("term").isin(terms)).withColumn("times", weight)
+
+    def _weighted(self, hits: DataFrame, few_terms: bool = True) -> DataFrame:
+        """BM25 of each (doc_id, term) among hits (postings and times)."""
         frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        wide = hits.join(F.broadcast(frequency), "term").join(self.lengths, "doc_id").crossJoin(F.broadcast(self.statistics()))
+        wide = hits.join(F.broadcast(frequency) if few_terms else frequency, "term").join(self.lengths, "doc_id").crossJoin(F.broadcast(self.statistics()))
         idf = F.greatest(F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
         tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         return wide.select("doc_id", "term", "positions", (F.col("times") * idf * tf).alias("score"))
 
-    def _query_terms(self, text: str, distinct: bool = False) -> DataFrame:
+    def _tokens(self, *texts: str) -> list[str]:
+        """Tokens of texts of a query, by the same expression as those of documents."""
         spark = self.postings.sparkSession
-        each = spark.range(1).select(F.explode(tokens(F.lit(text))).alias("term"))
-        return each.groupBy("term").agg((F.lit(1) if distinct else F.count(F.lit(1))).alias("times"))
+        return list(spark.sql("SELECT 1").select(F.flatten(F.array(*[tokens(F.lit(t)) for t in texts])).alias("t")).first()[0]) if texts else []
 
     def _ranked(self, scored: DataFrame, limit: int | None) -> DataFrame:
         total = scored.groupBy("doc_id").agg(F.sum("score").alias("score"))
@@ -74,32 +90,32 @@ class TextIndex:
 
     def search(self, text: str, limit: int | None = 10) -> DataFrame:
         """Any of the tokens; a token twice in the query counts twice."""
-        return self._ranked(self._weighted(self._query_terms(text)), limit)
+        return self._ranked(self._weighted(self._hits(Counter(self._tokens(text)))), limit)
 
-    def _expanded(self, terms: DataFrame, limit: int | None) -> DataFrame:
-        return self._ranked(self._weighted(terms.select("term").distinct().withColumn("times", F.lit(1))), limit)
+    def _expanded(self, test: Column, limit: int | None) -> DataFrame:
+        return self._ranked(self._weighted(self.postings.where(test).withColumn("times", F.lit(1)), few_terms=False), limit)
 
     def dictionary(self) -> DataFrame:
         return self.postings.select("term").distinct()
 
     def fuzzy(self, text: str, max_distance: int = 1, limit: int | None = 10) -> DataFrame:
         """Terms within an edit distance of any token; each counts once."""
-        query = self._query_terms(text, distinct=True).select(F.col("term").alias("__q"))
-        near = F.levenshtein("term", "__q", max_distance)
-        return self._expanded(self.dictionary().join(F.broadcast(query), (near >= 0) & (near <= max_distance)), limit)
+        test = F.lit(False)
+        for t in sorted(set(self._tokens(text))):
+            close = F.abs(F.char_length("term") - len(t)) <= max_distance
+            test = test | (close & (F.levenshtein("term", F.lit(t), max_distance) >= 0))
+        return self._expanded(test, limit)
 
     def regexp(self, pattern: str, limit: int | None = 10) -> DataFrame:
-        return self._expanded(self.dictionary().where(F.rlike("term", F.lit(f"^(?:{pattern})$"))), limit)
+        return self._expanded(F.rlike("term", F.lit(f"^(?:{pattern})$")), limit)
 
     def wildcard(self, pattern: str, limit: int | None = 10) -> DataFrame:
-        return self._expanded(self.dictionary().where(F.rlike("term", F.lit(glob_to_regex(pattern.lower())))), limit)
+        return self._expanded(F.rlike("term", F.lit(glob_to_regex(pattern.lower()))), limit)
 
     def terms(self, values: Sequence[str], field: str | None = None, limit: int | None = 10) -> DataFrame:
         """Any of the values as they are, lower-cased, of documents whose field contains one of them."""
-        spark = self.postings.sparkSession
         values = sorted({v.lower() for v in values})
-        wanted = spark.createDataFrame([(v, 1) for v in values], "term string, times int")
-        scored = self._weighted(wanted)
+        scored = self._weighted(self._hits(dict.fromkeys(values, 1)))
         if field:
             held = F.lit(False)
             for v in values:
@@ -112,35 +128,34 @@ class TextIndex:
 
     def boolean(self, must: Sequence[str] = (), should: Sequence[str] = (), must_not: Sequence[str] = (), limit: int | None = 10) -> DataFrame:
         """All of ``must``, any of ``should`` if there is no ``must``, none of ``must_not``; a term in both lists scores twice."""
-        spark = self.postings.sparkSession
-        flat = {"m": must, "s": should, "x": must_not}
-        rows = [(kind, text) for kind, texts in flat.items() for text in texts]
-        if not rows:
-            return spark.createDataFrame([], "doc_id long, score double")
-        listed = spark.createDataFrame(rows, "kind string, text string").select("kind", F.explode(tokens(F.col("text"))).alias("term"))
-        marks = listed.groupBy("term").agg(*[F.max((F.col("kind") == k).cast("int")).alias(k) for k in flat])
-        wanted = marks.agg(F.sum("m").alias("all_m"))
-        weighted = self._weighted(marks.select("term", F.greatest(F.col("m") + F.col("s"), F.lit(0)).alias("times")))
-        per_doc = weighted.join(F.broadcast(marks), "term").groupBy("doc_id").agg(F.sum("score").alias("score"), *[F.sum(k).alias(k) for k in flat])
-        kept = per_doc.crossJoin(F.broadcast(wanted)).where("x = 0 AND coalesce(m, 0) = coalesce(all_m, 0) AND (coalesce(all_m, 0) > 0 OR s > 0)").select("doc_id", "score")
+        m, s, x = (sorted(set(self._tokens(*texts))) for texts in (must, should, must_not))
+        times = Counter([*m, *s]) | Counter(dict.fromkeys(x, 0))
+        for t in set(x) - {*m, *s}:
+            times[t] = 0
+        scored = self._weighted(self._hits(times))
+        having = lambda listed: F.count_if(F.col("term").isin(listed)) if listed else F.lit(0)
+        per_doc = scored.groupBy("doc_id").agg(F.sum("score").alias("score"), having(m).alias("m"), having(s).alias("s"), having(x).alias("x"))
+        enough = F.col("m") == len(m) if m else F.col("s") > 0
+        kept = per_doc.where(enough & (F.col("x") == 0)).select("doc_id", "score")
         return kept.orderBy(F.col("score").desc(), "doc_id").limit(limit) if limit is not None else kept
 
     def phrase(self, text: str, limit: int | None = 10) -> DataFrame:
         """Consecutive positions, stop words not counted."""
-        spark = self.postings.sparkSession
-        places = spark.range(1).select(F.posexplode(tokens(F.lit(text))).alias("i", "term"))
-        starts = self.postings.join(F.broadcast(places), "term").select("doc_id", "i", F.explode(F.transform("positions", lambda p: p - F.col("i"))).alias("start"))
-        needed = places.agg(F.count(F.lit(1)).alias("needed"))
-        found = starts.groupBy("doc_id", "start").agg(F.count_distinct("i").alias("have")).crossJoin(F.broadcast(needed)).where("have = needed").select("doc_id").distinct()
-        return self._ranked(self._weighted(self._query_terms(text)).join(found, "doc_id", "left_semi"), limit)
+        order = self._tokens(text)
+        hits = self._hits(Counter(order))
+        if not order:
+            return self._ranked(self._weighted(hits), limit)
+        places = F.element_at(F.create_map(*[x for t in sorted(set(order)) for x in (F.lit(t), F.array(*[F.lit(i) for i, o in enumerate(order) if o == t]))]), F.col("term"))
+        starts = hits.select("doc_id", "positions", F.explode(places).alias("i")).select("doc_id", "i", F.explode(F.transform("positions", lambda p: p - F.col("i"))).alias("start"))
+        found = starts.groupBy("doc_id", "start").agg(F.count_distinct("i").alias("have")).where(F.col("have") == len(order)).select("doc_id").distinct()
+        return self._ranked(self._weighted(hits).join(found, "doc_id", "left_semi"), limit)
 
     def multi_field(self, text: str, weights: Mapping[str, float], limit: int = 10) -> DataFrame:
         """The best max(3 * limit, 30) by the whole text, scored again by their best field times its weight."""
         if not weights:
             return self.search(text, limit)
-        query = self._query_terms(text)
         candidates = self.search(text, max(3 * limit, 30)).select("doc_id")
-        frequency = self.postings.join(F.broadcast(query), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.first("times").alias("times"))
+        frequency = self._hits(Counter(self._tokens(text))).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.first("times").alias("times"))
         chosen = self.fields.join(candidates, "doc_id", "left_semi")
         sides = []
         for name, weight in weights.items():
