@@ -207,7 +207,7 @@ def functions_date_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H:%M:%S') AS time, strftime(ts, '%y/') || month(ts) || '/' || day(ts) || ' ' || hour(ts) AS short,
            strftime(ts, '%j') || ' ' || lpad(((dayofyear(ts) + dayofweek(date_trunc('year', ts)) - 1) // 7)::VARCHAR, 2, '0') || ' ' || dayofweek(ts) || '%' AS week,
-           make_timestamp((epoch_ms(ts) - epoch_ms(ts) % 300000) * 1000) AS bucket, date_trunc('hour', ts) AS tr_hour, date_trunc('week', ts)::TIMESTAMP AS tr_week,
+           make_timestamp(epoch_us(ts) - epoch_us(ts) % 300000000) AS bucket, date_trunc('hour', ts) AS tr_hour, date_trunc('week', ts)::TIMESTAMP AS tr_week,
            date_trunc('month', ts)::TIMESTAMP AS tr_month, date_trunc('quarter', ts)::TIMESTAMP AS tr_quarter, TIMESTAMP '2020-01-01' AS tr_decade, TIMESTAMP '2000-01-01' AS tr_century
     FROM events
     """,

@@ -402,7 +402,7 @@ def import_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.import_jsonl(spark, path)
 
 
-@register("import_line_protocol", "SELECT 'events' AS measurement, event_type AS kind, user_id::VARCHAR AS user, event_id::VARCHAR AS n, 'true' AS ok, epoch_ms(ts) AS ms FROM events")
+@register("import_line_protocol", "SELECT 'events' AS measurement, event_type AS kind, user_id::VARCHAR AS user, event_id::VARCHAR AS n, 'true' AS ok, epoch_us(ts) // 1000 AS ms FROM events")
 def import_line_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "lines")
     events = table(spark, sf_dir, "events")
