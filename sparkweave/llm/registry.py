@@ -25,7 +25,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(documents(spark, sf_dir))
+    return ngram_jaccard_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM words
+), shingles AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS MATERIALIZED (
+  SELECT x, y FROM pairs JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y WHERE 100 * n >= 75 * (len(a.s) + len(b.s) - n)
+), sides AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (
+  SELECT doc_id AS id, doc_id AS r FROM sets UNION SELECT sides.y, r FROM reached JOIN sides ON sides.x = reached.id
+)
+SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN (SELECT id, min(r) AS component_id FROM reached GROUP BY id) ON id = doc_id
+"""
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,4 +209,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_secret_scan": _op4_sql(), "op7_mix_sources": OP7_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_secret_scan": _op4_sql(), "op7_mix_sources": OP7_SQL}
