@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkweave.scratch import scratch
+
 DIRECTIONS = ("out", "in", "both")
 
 
@@ -19,39 +21,34 @@ def _oriented(edges: DataFrame, direction: str) -> DataFrame:
     return {"out": lambda: out, "in": lambda: back, "both": lambda: out.unionAll(back)}[direction]()
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage where the cluster has a folder for that; without one, as for a few rounds on one machine, the plan just grows."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df
+def _kept(df: DataFrame) -> DataFrame:
+    """Writes a round's rows to the shared folder, so that plans don't grow from round to round and a lost executor costs one round."""
+    path = scratch(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def neighbors(edges: DataFrame, vertex: int, direction: str = "out") -> DataFrame:
     return _oriented(edges, direction).where(F.col("src") == vertex).select(F.col("dst").alias("id")).distinct()
 
 
-def bfs(edges: DataFrame, start: int, max_depth: int, direction: str = "out", allow: Callable[[Column], Column] | None = None, vertices: DataFrame | None = None, every: int = 4) -> DataFrame:
+def bfs(edges: DataFrame, start: int, max_depth: int, direction: str = "out", allow: Callable[[Column], Column] | None = None, vertices: DataFrame | None = None) -> DataFrame:
     """(id, depth): least number of edges from the start, which is there at depth 0. ``allow`` names the vertices, by a test on the columns of
     ``vertices``, that are kept and gone on from; the others are visited and dropped."""
     spark = edges.sparkSession
     steps = _oriented(edges, direction).distinct()
+    passing = None
     if allow is not None and vertices is not None:
         passing = vertices.where(allow(F.col("id"))).select("id")
         steps = steps.join(passing.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    seen = spark.createDataFrame([(start, 0)], "id long, depth int")
-    frontier = seen
+    frontier = seen = spark.createDataFrame([(start, 0)], "id long, depth int")
     for depth in range(1, max_depth + 1):
         reached = frontier.join(steps, frontier["id"] == steps["src"]).select(F.col("dst").alias("id")).distinct()
-        frontier = reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = _kept(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionAll(frontier)
-        if depth % every == 0:
-            seen = _cut(seen)
-            frontier = seen.where(F.col("depth") == depth)
-            if frontier.isEmpty():
-                break
-    if allow is not None and vertices is not None:
-        seen = seen.join(passing, "id", "left_semi")
-    return seen
+    return seen if passing is None else seen.join(passing, "id", "left_semi")
 
 
 def k_hop(edges: DataFrame, start: int, hops: int, direction: str = "out") -> DataFrame:
@@ -62,18 +59,15 @@ def shortest_path(edges: DataFrame, start: int, end: int, max_depth: int) -> Dat
     """One row with the vertices of a path with the fewest edges, the smallest of equal ones; none if there is no path."""
     spark = edges.sparkSession
     steps = edges.select("src", "dst").distinct()
-    found = spark.createDataFrame([(start, [start])], "id long, path array<bigint>")
-    frontier = found
-    for depth in range(1, max_depth + 1):
+    frontier = spark.createDataFrame([(start, [start])], "id long, path array<bigint>")
+    found, seen = frontier, frontier.select("id")
+    for _ in range(max_depth):
+        if not frontier.where(F.col("id") == end).isEmpty():
+            break
         longer = frontier.join(steps, frontier["id"] == steps["src"]).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         best = longer.groupBy("id").agg(F.min("path").alias("path"))
-        frontier = best.join(found.select("id"), "id", "left_anti")
-        found = found.unionAll(frontier)
-        if depth % 4 == 0:
-            found = _cut(found)
-            frontier = found.where(F.size("path") == depth + 1)
-            if frontier.isEmpty() or not found.where(F.col("id") == end).isEmpty():
-                break
+        frontier = _kept(best.join(seen, "id", "left_anti"))
+        found, seen = found.unionAll(frontier), seen.unionAll(frontier.select("id"))
     return found.where(F.col("id") == end).select("path", (F.size("path") - 1).alias("length"))
 
 
@@ -83,12 +77,10 @@ def weighted_path(edges: DataFrame, start: int, end: int, max_depth: int, weight
     cost = F.lit(1.0) if weight is None else F.coalesce(weight.try_cast("double"), F.lit(1.0))
     steps = edges.select("src", "dst", cost.alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w"))
     best = spark.createDataFrame([(start, 0.0, [start])], "id long, cost double, path array<bigint>")
-    for depth in range(1, max_depth + 1):
+    for _ in range(max_depth):
         longer = best.join(steps, best["id"] == steps["src"]).select(F.col("dst").alias("id"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
         every = best.unionAll(longer)
-        best = every.groupBy("id").agg(F.min(F.struct("cost", "path")).alias("b")).select("id", "b.cost", "b.path")
-        if depth % 4 == 0:
-            best = _cut(best)
+        best = _kept(every.groupBy("id").agg(F.min(F.struct("cost", "path")).alias("b")).select("id", "b.cost", "b.path"))
     return best.where(F.col("id") == end).select("cost", "path")
 
 
@@ -115,8 +107,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, round
             .crossJoin(F.broadcast(total))
             .select("id", ((1 - damping) / F.col("total") + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         )
-        if n % every == 0:
-            ranks = _cut(ranks)
+        if n % every == 0 and n < rounds:
+            ranks = _kept(ranks)
     return ranks if limit is None else ranks.orderBy(F.col("rank").desc(), "id").limit(limit)
 
 

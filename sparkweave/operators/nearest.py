@@ -21,15 +21,13 @@ def nearest(df: DataFrame, column: str, query: Sequence[float] | Column, k: int,
     return scored.orderBy("distance", key).limit(k)
 
 
-def nearest_to_each(df: DataFrame, column: str, queries: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", query_key: str = "query_id", query_column: str = "query", rows_per_part: int = 50_000) -> DataFrame:
-    """The k nearest rows of each query. The queries are a stated, small set and are sent to all tasks; every slice of the rows keeps k per query before the slices meet."""
-    rows = df.select(F.col(key), F.col(column).alias("__v"), F.floor(F.abs(F.xxhash64(key)) % 1_000_003 / F.lit(max(1, 1_000_003 // max(1, rows_per_part)))).alias("__slice"))
-    pairs = rows.join(F.broadcast(queries.select(query_key, F.col(query_column).alias("__q"))))
-    scored = pairs.select(query_key, key, "__slice", distance(F.col("__v"), F.col("__q"), metric).alias("distance"))
-    local = Window.partitionBy(query_key, "__slice").orderBy("distance", key)
-    final = Window.partitionBy(query_key).orderBy("distance", key)
-    kept = scored.withColumn("__n", F.row_number().over(local)).where(F.col("__n") <= k)
-    return kept.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select(query_key, key, "distance", "rank")
+def nearest_to_each(df: DataFrame, column: str, queries: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", query_key: str = "query_id", query_column: str = "query") -> DataFrame:
+    """The k nearest rows of each query. The queries are a stated, small set and go to all tasks, which each keep k rows for a query before these meet (Spark limits the groups of a
+    row_number below its exchange)."""
+    pairs = df.select(F.col(key), F.col(column).alias("__v")).join(F.broadcast(queries.select(query_key, F.col(query_column).alias("__q"))))
+    scored = pairs.select(query_key, key, distance(F.col("__v"), F.col("__q"), metric).alias("distance"))
+    ranked = Window.partitionBy(query_key).orderBy("distance", key)
+    return scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select(query_key, key, "distance", "rank")
 
 
 def mean_vector(df: DataFrame, column: str) -> DataFrame:

@@ -481,19 +481,19 @@ def graph_k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "graph_shortest_path",
     f"""WITH RECURSIVE walk AS (SELECT 1::BIGINT AS id, [1::BIGINT] AS path UNION ALL SELECT e.dst, list_append(path, e.dst) FROM walk JOIN (SELECT DISTINCT src, dst FROM {_EDGES}) e ON walk.id = e.src WHERE len(path) <= 4)
-    SELECT array_to_string(path, '>') AS path, len(path)::INT - 1 AS length FROM walk WHERE id = 1005 ORDER BY len(path), path LIMIT 1""",
+    SELECT array_to_string(path, '>') AS path, len(path)::INT - 1 AS length FROM walk WHERE id = 102 ORDER BY len(path), path LIMIT 1""",
 )
 def graph_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.shortest_path(_edges(spark, sf_dir), 1, 1005, 4).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "length")
+    return graph.shortest_path(_edges(spark, sf_dir), 1, 102, 4).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "length")
 
 
 @register(
     "graph_weighted_path",
     f"""WITH RECURSIVE walk AS (SELECT 2::BIGINT AS id, 0.0::DOUBLE AS cost, 0 AS hops UNION ALL SELECT e.dst, cost + coalesce(TRY_CAST(e.weight AS DOUBLE), 1.0), hops + 1 FROM walk JOIN {_EDGES} e ON walk.id = e.src WHERE hops < 4)
-    SELECT min(cost) AS cost FROM walk WHERE id = 1007 HAVING count(*) > 0""",
+    SELECT min(cost) AS cost FROM walk WHERE id = 105 HAVING count(*) > 0""",
 )
 def graph_weighted_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.weighted_path(_edges(spark, sf_dir), 2, 1007, 4, F.col("weight")).select("cost")
+    return graph.weighted_path(_edges(spark, sf_dir), 2, 105, 4, F.col("weight")).select("cost")
 
 
 @register(
@@ -604,9 +604,9 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINKS = "(SELECT doc_id AS src, unnest([(doc_id * 2 + 1) % 200, (doc_id * 3 + 2) % 200]) AS dst FROM documents WHERE doc_id < 200)"
 
 
-@register("fusion_graph_text", _INDEX.replace("WITH split", "WITH RECURSIVE split") + f", walk AS (SELECT 5::BIGINT AS id, 0 AS depth UNION SELECT e.dst, depth + 1 FROM walk JOIN {_LINKS} e ON walk.id = e.src WHERE depth < 5), around AS (SELECT id AS doc_id, min(depth) AS depth FROM walk GROUP BY id HAVING id <> 5), hits AS (SELECT doc_id, sum(score) AS s FROM scored WHERE term IN ('license', 'released') GROUP BY doc_id ORDER BY s DESC, doc_id LIMIT (SELECT greatest(10 * count(*), 100) FROM around)) SELECT doc_id, round(s, 6) AS score, depth FROM hits JOIN around USING (doc_id) ORDER BY s DESC, doc_id LIMIT 10")
+@register("fusion_graph_text", _INDEX.replace("WITH split", "WITH RECURSIVE split") + f", walk AS (SELECT 5::BIGINT AS id, 0 AS depth UNION SELECT e.dst, depth + 1 FROM walk JOIN {_LINKS} e ON walk.id = e.src WHERE depth < 5), around AS (SELECT id AS doc_id, min(depth) AS depth FROM walk GROUP BY id HAVING id <> 5), hits AS (SELECT doc_id, sum(score) AS s FROM scored WHERE term IN ('er', 'ed') GROUP BY doc_id ORDER BY s DESC, doc_id LIMIT (SELECT greatest(10 * count(*), 100) FROM around)) SELECT doc_id, round(s, 6) AS score, depth FROM hits JOIN around USING (doc_id) ORDER BY s DESC, doc_id LIMIT 10")
 def fusion_graph_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fusion.graph_text(_links(spark, sf_dir), 5, 5, _index(spark, sf_dir), "license released", 10)
+    found = fusion.graph_text(_links(spark, sf_dir), 5, 5, _index(spark, sf_dir), "er ed", 10)
     return found.select("doc_id", F.round("score", 6).alias("score"), "depth")
 
 
