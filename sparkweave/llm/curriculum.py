@@ -52,7 +52,7 @@ def mix_sources(
     weights: Sequence[float] = (5, 2, 1),
     max_repeats: float = 3,
     slopes: Sequence[float] = SLOPES,
-    rows_per_bucket: int = 10_000,
+    rows_per_bucket: int = 1000,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source), range-sorted by training position.
 
