@@ -253,7 +253,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, cuts: list[int], numerator:
     spread = pairs.select("a", "b", F.explode(F.sequence(F.lit(1), F.lit(len(cuts) - 1))).alias("fragment"))
     left = pieces.select(F.col("class").alias("a"), "fragment", F.col("n").alias("na"), F.col("segment").alias("sa"))
     right = pieces.select(F.col("class").alias("b"), "fragment", F.col("n").alias("nb"), F.col("segment").alias("sb"))
-    partial = spread.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
+    # A pair comes once for each fragment, which Spark's estimates don't know, so these joins must not broadcast.
+    partial = spread.join(left.hint("merge"), ["a", "fragment"]).join(right.hint("merge"), ["b", "fragment"])
     overlaps = partial.groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("sa", "sb"))).alias("overlap"))
     return overlaps.where(100 * F.col("overlap") >= numerator * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap")
 
