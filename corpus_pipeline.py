@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.llm.columns import pick
 from sparkweave.llm.curriculum import mix_sources
 from sparkweave.llm.exact_dedup import exact_dedup
-from sparkweave.llm.katz import crc32_of_id
 from sparkweave.llm.language_id import fit_filters, identify_languages
 from sparkweave.llm.ngram_join import ngram_jaccard_join
 from sparkweave.llm.packing import pack_documents
-from sparkweave.llm.storage import shared_folder
+from sparkweave.llm.storage import new_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -74,7 +71,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            path = f"{shared_folder(spark)}/pipeline-{number}-{uuid.uuid4().hex}"
+            path = new_path(spark, f"pipeline-{number}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
     return docs

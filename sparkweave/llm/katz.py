@@ -7,7 +7,6 @@ entry for each block, and nothing that grows with the corpus reaches the driver
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.llm.columns import pick
-from sparkweave.llm.storage import shared_folder, small_batches, written
+from sparkweave.llm.storage import new_path, small_batches, written
 from sparkweave.llm.textblocks import chunks, mix, pack, pack_sorted, trim_memory, unpack, unpack_sorted, words_of
 
 #: Bytes of text in a block.
@@ -334,7 +333,7 @@ def katz_scores(docs: DataFrame, trains: Column, order: int = 2, added: float =
 
     zipped = scored.where("n_tokens IS NULL").select(F.col("orders")[0].alias("order"), F.explode(F.arrays_zip("contexts", "masses", "lowers")).alias("z"))
     alpha = zipped.groupBy("order", F.col("z.contexts").alias("context")).agg(((1 - F.sum("z.masses")) / (1 - F.sum("z.lowers"))).alias("alpha"))
-    path = f"{shared_folder(spark)}/katz-alpha-{uuid.uuid4().hex}"
+    path = new_path(spark, "katz-alpha")
     alpha.write.partitionBy("order").parquet(path)
     alpha = spark.read.schema("context long, alpha double, order int").parquet(path)
     backed = texts.where(F.size("orders") > 0).select("row", F.explode(F.arrays_zip("orders", "contexts", "times")).alias("z")).select("row", F.col("z.orders").alias("order"), F.col("z.contexts").alias("context"), F.col("z.times").alias("times"))

@@ -17,10 +17,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Tables written in this process; see clear().
+_paths: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this process, once the results that were made from them have been written or read."""
+    jvm = spark.sparkContext._jvm
+    while _paths:
+        path = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    _paths.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back, so that a lost executor costs no more than the stage at hand."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
