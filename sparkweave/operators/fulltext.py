@@ -19,16 +19,25 @@ STOP_WORDS = (
 )
 
 #: Ideographs, kana and hangul are tokens of one character each.
-_SINGLE = r"㐀-䶿一-鿿豈-﫿぀-ヿ가-힯"
-TOKEN = rf"[{_SINGLE}]|[\p{{L}}\p{{N}}_&&[^{_SINGLE}]]+"
+_SINGLE = r"[㐀-䶿一-鿿豈-﫿぀-ヿ가-힯]"
+TOKEN = r"[\p{L}\p{N}_]+"
+
+ANALYZERS = ("standard", "whitespace")
 
 K1, B = 1.2, 0.75
 LONGEST_BYTES = 256
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters, digits and underscores, without stop words and over-long ones."""
-    words = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
+def tokens(text: Column, analyzer: str = "standard") -> Column:
+    """Lower-cased runs of letters, digits and underscores, or of anything but white space, without stop words and over-long ones."""
+    low = F.lower(text)
+    if analyzer == "whitespace":
+        words = F.regexp_extract_all(low, F.lit(r"(?U)\S+"), F.lit(0))
+    elif analyzer == "standard":
+        spaced = F.when(F.rlike(low, F.lit(_SINGLE)), F.regexp_replace(low, f"({_SINGLE})", " $1 ")).otherwise(low)
+        words = F.regexp_extract_all(spaced, F.lit(TOKEN), F.lit(0))
+    else:
+        raise ValueError(f"analyzer must be one of {ANALYZERS}")
     return F.filter(words, lambda w: ~w.isin(*STOP_WORDS) & (F.octet_length(w) <= LONGEST_BYTES))
 
 

@@ -9,6 +9,7 @@ from sparkweave.functions import geo as G
 from sparkweave.functions.vectors import distance
 from sparkweave.operators import fulltext, fusion, geosets, graph, nearest
 from sparkweave.plans.registry import register
+from sparkweave.scratch import scratch
 from sparkweave.tables import table
 
 # ---------------------------------------------------------------- vectors
@@ -277,8 +278,15 @@ scored AS (SELECT p.doc_id, p.term, greatest(ln(1 + (n_docs - df + 0.5) / (df +
 _RANKED = "GROUP BY doc_id ORDER BY sum(score) DESC, doc_id LIMIT {n}"
 
 
+_indexes: dict[tuple[str, str], fulltext.TextIndex] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> fulltext.TextIndex:
-    return fulltext.TextIndex.build(table(spark, sf_dir, "documents"))
+    """The index of the documents, which the first search of a session writes and all later ones read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = fulltext.TextIndex.build(table(spark, sf_dir, "documents")).written(scratch(spark, "index"))
+    return _indexes[key]
 
 
 def _scores(df: DataFrame) -> DataFrame:
