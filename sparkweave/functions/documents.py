@@ -7,7 +7,7 @@ import re
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -78,6 +78,30 @@ def _changed(text: str | None, steps: list[str | int], change: Any) -> str | Non
     return json.dumps(holder[0], separators=(",", ":"), ensure_ascii=False)
 
 
+def register(spark: SparkSession) -> None:
+    """Gives SQL the functions json_set_value(document, path, json value) and json_remove_value(document, path)."""
+
+    @F.pandas_udf("string")
+    def json_set_value(texts: pd.Series, paths: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for text, path, value in zip(texts, paths, values, strict=True):
+            new = json.loads(value)
+            out.append(_changed(text, _steps(path), lambda parent, key, new=new: parent.__setitem__(key, new)))
+        return pd.Series(out, dtype=object)
+
+    @F.pandas_udf("string")
+    def json_remove_value(texts: pd.Series, paths: pd.Series) -> pd.Series:
+        return pd.Series([_changed(t, _steps(p), _drop) for t, p in zip(texts, paths, strict=True)], dtype=object)
+
+    spark.udf.register("json_set_value", json_set_value)
+    spark.udf.register("json_remove_value", json_remove_value)
+
+
+def _drop(parent: Any, key: Any) -> None:
+    if not isinstance(parent, dict) or key in parent:
+        del parent[key]
+
+
 def set_value(document: Column, path: str, value: Any) -> Column:
     """Replaces or adds a value; missing objects on the way are made, arrays are not extended. Spark has no such function, so this is a vectorised one."""
     steps = _steps(path)
@@ -96,12 +120,8 @@ def remove(document: Column, path: str) -> Column:
     """Removes what is at a path, if anything is."""
     steps = _steps(path)
 
-    def drop(parent: Any, key: Any) -> None:
-        if not isinstance(parent, dict) or key in parent:
-            del parent[key]
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _changed(t, steps, drop))
+        return texts.map(lambda t: _changed(t, steps, _drop))
 
     return run(document)

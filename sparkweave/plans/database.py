@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkweave.functions import documents
 from sparkweave.operators import aggregates
 from sparkweave.operators import tables as DML
 from sparkweave.plans.dialect import DialectError, Token, closing, find, name_of, rewrite, split_at, text_of, tokenize, type_of
@@ -41,6 +42,7 @@ class Database:
 
     def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame] | None = None):
         self.spark = spark
+        documents.register(spark)
         self.tables: dict[str, Table] = {k: Table(v) for k, v in (tables or {}).items()}
         self.views: dict[str, str] = {}
         self._begun: tuple[dict[str, Table], dict[str, str]] | None = None

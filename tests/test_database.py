@@ -54,6 +54,13 @@ def test_json_vectors_and_places(spark):
     assert metres == pytest.approx(1_067_000, rel=0.01)
 
 
+def test_json_functions(db):
+    one = "SELECT JSON_SET('{\"a\":1}', '$.b.c', 'x'), JSON_SET('{\"a\":1}', '$.a', 2.5), JSON_SET('{\"a\":1}', '$.a', NULL), JSON_REMOVE('{\"a\":1,\"b\":2}', '$.a'), JSON_TYPE('[1]'), JSON_TYPE('nope'), JSON_KEYS('{\"b\":1,\"a\":2}'), JSON_VALID(NULL), JSON_ARRAY_LENGTH('{\"a\":[1,2]}', '$.a'), JSON_EXTRACT('{\"a\":{\"b\":[5]}}', '$.a.b[0]'), JSON_CONTAINS('[1,2]', 2) FROM users WHERE id = 1"
+    assert rows(db.run(one)) == [('{"a":1,"b":{"c":"x"}}', '{"a":2.5}', '{"a":null}', '{"b":2}', "array", None, "a,b", False, 2, "5", True)]
+    assert rows(db.run("SELECT JSON_OBJECTAGG(name, id) FROM users WHERE dept_id = 10")) == [('{"Alice":1,"Charlie":3}',)]
+    assert rows(db.run("SELECT STDDEV(id), SUM(id), PERCENTILE_CONT(0.5, id), BOOL_AND(id), ARRAY_AGG(dept_id) FROM users WHERE id < 3")) == [(0.5, 3, 1.5, True, "[10,20]")]
+
+
 def test_joins_groups_and_windows(db):
     assert rows(db.run("SELECT u.id, d.dept_name FROM users u LEFT JOIN depts d ON u.dept_id = d.id ORDER BY u.id")) == [(1, "Engineering"), (2, "Marketing"), (3, "Engineering"), (4, None)]
     assert rows(db.run("SELECT dept_id, COUNT(*) AS n, GROUP_CONCAT(id) AS ids FROM users GROUP BY dept_id HAVING n > 1"))[0][:2] == (10, 2)
