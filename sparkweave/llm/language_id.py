@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from sparkweave.llm.columns import pick
 from sparkweave.llm.storage import small_batches
-from sparkweave.llm.textblocks import chunks, lower_ascii, mix, text_bytes
+from sparkweave.llm.textblocks import CHUNK_BYTES, chunks, lower_ascii, mix, text_bytes
 
 SCHEMA = "lang_pred string, score double, n_grams long, hits array<double>"
 
@@ -49,29 +49,37 @@ class LanguageFilters:
         return found
 
 
-def grams_of(data: np.ndarray, offsets: np.ndarray, sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of all byte n-grams of lower-cased words with a space on either side; runs of other characters count as one space."""
+def gram_stretches(data: np.ndarray, offsets: np.ndarray, sizes: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and text numbers of all byte n-grams of lower-cased words with a space on either side; runs of other characters count as one space.
+
+    They come in stretches of bounded length, so a long text takes no more memory than many short ones.
+    """
     low = lower_ascii(data)
     inside = _WORD_BYTE[low]
-    low = np.where(inside, low, np.uint8(32))
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    low[~inside] = 32
+    text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     keep = inside.copy()
     keep[1:] |= inside[:-1] & (text[1:] == text[:-1])
     low, text = low[keep], text[keep]
-    hashes, owners = [], []
-    for n in sizes:
-        count = len(low) - n + 1
-        if count <= 0:
-            continue
-        packed = np.zeros(count, np.uint64)
-        for j in range(n):
-            packed = packed << np.uint64(8) | low[j : j + count].astype(np.uint64)
-        whole = text[n - 1 :] == text[:count]
-        hashes.append(mix(packed[whole] ^ np.uint64(n << 59)))
-        owners.append(text[:count][whole])
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(owners)
+    for begin in range(0, len(low), CHUNK_BYTES):
+        for n in sizes:
+            part, owner = low[begin : begin + CHUNK_BYTES + n - 1], text[begin : begin + CHUNK_BYTES + n - 1]
+            count = len(part) - n + 1
+            if count <= 0:
+                continue
+            packed = np.zeros(count, np.uint64)
+            for j in range(n):
+                packed = packed << np.uint64(8) | part[j : j + count].astype(np.uint64)
+            whole = owner[n - 1 :] == owner[:count]
+            yield mix(packed[whole] ^ np.uint64(n << 59)), owner[:count][whole]
+
+
+def grams_of(data: np.ndarray, offsets: np.ndarray, sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """All stretches together."""
+    every = list(gram_stretches(data, offsets, sizes))
+    if not every:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    return np.concatenate([g for g, _ in every]), np.concatenate([o for _, o in every])
 
 
 def fit_filters(
@@ -149,10 +157,12 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, carry: Sequenc
         for batch in batches:
             for part in chunks(batch):
                 texts = part.num_rows
-                grams, owner = grams_of(*text_bytes(part.column("text")), f.sizes)
-                total = np.bincount(owner, minlength=texts)
-                masks = f.masks(grams)
-                hits = np.stack([np.bincount(owner, (masks >> masks.dtype.type(i)) & masks.dtype.type(1), texts) for i in range(len(f.languages))] or [np.zeros(texts)], 1)
+                total, hits = np.zeros(texts, np.int64), np.zeros((texts, max(1, len(f.languages))))
+                for grams, owner in gram_stretches(*text_bytes(part.column("text")), f.sizes):
+                    total += np.bincount(owner, minlength=texts)
+                    masks = f.masks(grams)
+                    for i in range(len(f.languages)):
+                        hits[:, i] += np.bincount(owner, (masks >> masks.dtype.type(i)) & masks.dtype.type(1), texts)
                 rate = f.false_rate if len(f.languages) else np.zeros(1)
                 corrected = np.maximum(hits - total[:, None] * rate, 0) / (1 - rate)
                 best = corrected.argmax(1)
@@ -164,7 +174,7 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, carry: Sequenc
                         **{c: part.column(c) for c in carry},
                         "lang_pred": pa.array([f.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], pa.string()),
                         "score": score,
-                        "n_grams": total.astype(np.int64),
+                        "n_grams": total,
                         "hits": pa.array(list(corrected), pa.list_(pa.float64())),
                     }
                 )

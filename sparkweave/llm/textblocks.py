@@ -86,11 +86,19 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each piece and of its length."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(data.astype(np.uint64) * _power("up", len(data)), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _power("down", len(data) + 1)[starts]
-    return mix(value ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    """A 64-bit hash of the bytes of each piece and of its length. Pieces are in order and don't overlap, so a long text is worked off in stretches."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(int(np.searchsorted(starts, starts[i] + CHUNK_BYTES)), i + 1)
+        low, high = int(starts[i]), int(ends[j - 1])
+        first, last = starts[i:j] - low, ends[i:j] - low
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(data[low:high].astype(np.uint64) * _power("up", high - low), out=sums[1:])
+        value = (sums[last] - sums[first]) * _power("down", high - low + 1)[first]
+        out[i:j] = mix(value ^ ((last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        i = j
+    return out
 
 
 @dataclass

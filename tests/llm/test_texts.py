@@ -244,3 +244,23 @@ def test_crc32_of_pieces(docs):
 
     packed = packing.pack_documents(docs, TOKENIZER).withColumn("crc", F.crc32("ids")).limit(20).collect()
     assert all(zlib.crc32(r.ids) == r.crc for r in packed)
+
+
+def test_hashes_do_not_depend_on_stretches(monkeypatch):
+    rng = random.Random(8)
+    column = pa.array(["".join(rng.choices("ab c\n", k=rng.randrange(0, 400))) for _ in range(30)])
+    whole = textblocks.words_of(column, lower=True)
+    monkeypatch.setattr(textblocks, "CHUNK_BYTES", 16)
+    parts = textblocks.words_of(column, lower=True)
+    assert (whole.hashes == parts.hashes).all() and (whole.first == parts.first).all()
+
+
+def test_grams_do_not_depend_on_stretches(monkeypatch):
+    from sparkweave.llm import language_id
+
+    rng = random.Random(9)
+    column = pa.array(["".join(rng.choices("abé -", k=rng.randrange(0, 200))) for _ in range(20)])
+    gather = lambda: sorted(zip(*(x.tolist() for x in language_id.grams_of(*textblocks.text_bytes(column), (3, 5))), strict=True))
+    whole = gather()
+    monkeypatch.setattr(language_id, "CHUNK_BYTES", 11)
+    assert gather() == whole
