@@ -62,12 +62,16 @@ def percentile_disc(fraction: float, column: str) -> Column:
     return F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY `{column}`)")
 
 
-def analyze(df: DataFrame) -> DataFrame:
-    """One row per column: rows, nulls, distinct values, smallest and largest as text, and the share of distinct values. One pass for all columns."""
+def analyze(df: DataFrame, exact: bool = True) -> DataFrame:
+    """One row per column: rows, nulls, distinct values, smallest and largest as text, and the share of distinct values. One pass for all columns.
+
+    Exact distinct counts shuffle each column's values; for wide or very large tables ``exact=False`` takes sketches.
+    """
+    distinct = F.count_distinct if exact else F.approx_count_distinct
     measures = []
     for i, c in enumerate(df.columns):
         column = F.col(f"`{c}`")
-        measures += [F.count_if(column.isNull()).alias(f"n{i}"), F.count_distinct(column).alias(f"d{i}"), F.min(column).cast("string").alias(f"a{i}"), F.max(column).cast("string").alias(f"z{i}")]
+        measures += [F.count_if(column.isNull()).alias(f"n{i}"), distinct(column).alias(f"d{i}"), F.min(column).cast("string").alias(f"a{i}"), F.max(column).cast("string").alias(f"z{i}")]
     wide = df.agg(F.count(F.lit(1)).alias("total"), *measures)
     each = [
         F.struct(F.lit(c).alias("column_name"), F.col("total").alias("row_count"), F.col(f"n{i}").alias("null_count"), F.col(f"d{i}").alias("distinct_count"), F.col(f"a{i}").alias("min_value"), F.col(f"z{i}").alias("max_value"))

@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkweave.operators.tables import number_rows
+
 STATE = "acked long, max_acked long, pending array<bigint>"
 
 
 def publish(messages: DataFrame, new: DataFrame, by: str = "seq") -> DataFrame:
     """New messages get the numbers after the largest; ``by`` is their order."""
     last = messages.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
-    numbered = new.withColumn("id", F.row_number().over(Window.orderBy(by))).crossJoin(F.broadcast(last)).withColumn("id", (F.col("id") + F.col("__last")).cast("long"))
+    numbered = number_rows(new, [by], name="id").crossJoin(F.broadcast(last)).withColumn("id", F.col("id") + F.col("__last"))
     return messages.unionByName(numbered.select(*messages.columns))
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from sparkweave.functions.vectors import distance
+from sparkweave.operators.nearest import nearest
+
 def _newest() -> WindowSpec:
     return Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
 
@@ -53,3 +58,21 @@ def text_chunks(docs: DataFrame, size: int, overlap: int = 0, key: str = "doc_id
     count = F.greatest(F.ceil((n - overlap) / F.lit(step)), F.lit(1)).cast("int")
     each = docs.where(n > 0).select(key, "text", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk"))
     return each.select(key, "chunk", F.substring("text", F.col("chunk") * step + 1, F.lit(size)).alias("piece"))
+
+
+def remember(memories: DataFrame, column: str, query: Sequence[float], k: int, now: int, where: Column | None = None, metric: str = "cosine", key: str = "vec_id") -> DataFrame:
+    """The k nearest memories that have not expired (expire_at in milliseconds, 0 for never) and pass a filter."""
+    live = (F.col("expire_at") == 0) | (F.col("expire_at") > now)
+    return nearest(memories, column, query, k, metric, where=live if where is None else live & where, key=key)
+
+
+def duplicates_of(memories: DataFrame, column: str, queries: DataFrame, threshold: float, metric: str = "cosine", key: str = "vec_id") -> DataFrame:
+    """(query_id, key, distance): memories at most ``threshold`` from each of a stated set of memories, itself not among them."""
+    pairs = memories.select(F.col(key), F.col(column).alias("__v")).join(F.broadcast(queries.select("query_id", F.col("query").alias("__q"))), F.col(key) != F.col("query_id"))
+    return pairs.withColumn("distance", distance(F.col("__v"), F.col("__q"), metric)).where(F.col("distance") <= threshold).select("query_id", key, "distance")
+
+
+def performance(steps: DataFrame, name: str, duration: str) -> DataFrame:
+    """Per kind of step: runs, mean, median, 95th percentile and longest duration."""
+    d = F.col(duration)
+    return steps.groupBy(name).agg(F.count(d).alias("runs"), F.avg(d).alias("mean"), F.percentile(d, F.lit(0.5)).alias("p50"), F.percentile(d, F.lit(0.95)).alias("p95"), F.max(d).alias("longest"))

@@ -121,10 +121,7 @@ def fill(buckets: DataFrame, width: int, value: str, how: str = "null", constant
     else:
         raise ValueError("how must be none, null, value, previous or linear")
     others = [F.coalesce(c, F.lit(0)).alias(c) if c == "count" else F.col(c) for c in buckets.columns if c not in (*by, "bucket", value)]
-    done = filled.select(*by, "bucket", new.alias(value), *others)
-    if start is None and end is None and not by:
-        return done
-    return done
+    return filled.select(*by, "bucket", new.alias(value), *others)
 
 
 def downsample(df: DataFrame, width: int, value: str, how: str, by: Sequence[str] = (), ts: str = "ts") -> DataFrame:

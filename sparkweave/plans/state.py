@@ -383,6 +383,30 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.text_chunks(table(spark, sf_dir, "documents"), 1000, 200)
 
 
+_ONE = [1.0] + [0.0] * 63
+_SQL_ONE = "[1.0" + ", 0.0" * 63 + "]::DOUBLE[]"
+
+
+@register("memory_search", f"SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], {_SQL_ONE}), 6) AS distance FROM embeddings WHERE vec_id % 4 <> 0 AND label < 5 ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], {_SQL_ONE}), vec_id LIMIT 8")
+def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    memories = table(spark, sf_dir, "embeddings").withColumn("expire_at", F.when(F.col("vec_id") % 4 == 0, NOW - 1).otherwise(0))
+    found = sessions.remember(memories, "embedding", _ONE, 8, NOW, F.col("label") < 5)
+    return found.select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@register("memory_duplicates", "SELECT q.vec_id AS query_id, v.vec_id, round(1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id WHERE 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) <= 0.7")
+def memory_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    memories = table(spark, sf_dir, "embeddings")
+    queries = memories.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return sessions.duplicates_of(memories, "embedding", queries, 0.7).withColumn("distance", F.round("distance", 6))
+
+
+@register("step_performance", "SELECT event_type, count(value) AS runs, round(avg(value) + 1e-9, 6) AS mean, round(quantile_cont(value, 0.5) + 1e-9, 6) AS p50, round(quantile_cont(value, 0.95) + 1e-9, 6) AS p95, max(value) AS longest FROM events GROUP BY event_type")
+def step_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = sessions.performance(table(spark, sf_dir, "events"), "event_type", "value")
+    return report.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("mean", "p50", "p95")})
+
+
 # ---------------------------------------------------------------- imports and exports
 
 

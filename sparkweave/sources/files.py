@@ -104,7 +104,7 @@ def import_bulk(spark: SparkSession, path: str) -> DataFrame:
     ordered = Window.partitionBy("file").orderBy("n")
     marked = lines.withColumns({"kind": F.when(only_key, kind), "action": action}).withColumns({"before": F.lag("kind").over(ordered), "document": F.lead("line").over(ordered)})
     # A document may look like an action; it is one only if the line before is no action that has a document.
-    return marked.where("kind IN ('index', 'create') AND (before IS NULL OR before = 'delete' OR before NOT IN ('index', 'create', 'update'))").select(
+    return marked.where("kind IN ('index', 'create') AND (before IS NULL OR before = 'delete')").select(
         F.get_json_object("action", "$._index").alias("index_name"), F.get_json_object("action", "$._id").alias("doc_id"), "document"
     )
 
