@@ -60,3 +60,7 @@ def changed(members: DataFrame, new: DataFrame, mode: str = "any") -> DataFrame:
 def store(result: DataFrame, path: str) -> None:
     """Writes the members that a search found as a set, over the one that is there."""
     result.select("member", "lng", "lat").write.mode("overwrite").parquet(path)
+
+
+def remove(members: DataFrame, names: DataFrame) -> DataFrame:
+    return members.join(names.select("member"), "member", "left_anti")

@@ -125,3 +125,19 @@ def glob_scan(kv: DataFrame, pattern: str, now: int) -> DataFrame:
 def key_type(value: Column) -> Column:
     """string for UTF-8 text, bytes for other values, none for no value."""
     return F.when(value.isNull(), "none").when(F.is_valid_utf8(value), "string").otherwise("bytes")
+
+
+def exists(kv: DataFrame, keys: DataFrame, now: int) -> DataFrame:
+    """(key, found) for each key asked for."""
+    held = live(kv, now).select("key", F.lit(True).alias("found"))
+    return keys.select("key").join(held, "key", "left").select("key", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def get_and_set(kv: DataFrame, new: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """GETSET: the values that were there, and the table with the new ones."""
+    return get(kv, new, now), put(kv, new)
+
+
+def expire_time(kv: DataFrame, now: int) -> DataFrame:
+    """(key, second at which it goes), without keys that don't expire."""
+    return live(kv, now).where("expire_at > 0").select("key", F.floor(F.col("expire_at") / 1000).cast("long").alias("at"))

@@ -67,3 +67,33 @@ def nack(messages: DataFrame, state: DataFrame, refused: int, requeue: bool = Tr
     kept = messages.where(~dead).withColumn("retries", F.when(again, F.col("retries") + 1).otherwise(F.col("retries")))
     letters = messages.where(dead).withColumns({"deliver_at": F.lit(0).cast("long"), "expire_at": F.lit(0).cast("long"), "retries": F.col("retries") + 1})
     return kept, letters, state.withColumn("pending", F.array_remove("pending", refused))
+
+
+def describe(messages: DataFrame, now: int) -> DataFrame:
+    """Per topic: messages, those visible now, those still delayed, those expired, and the largest number."""
+    expired = (F.col("expire_at") != 0) & (F.col("expire_at") <= now)
+    delayed = ~expired & (F.col("deliver_at") > now)
+    return messages.groupBy("topic").agg(
+        F.count(F.lit(1)).alias("messages"), F.count_if(visible(now)).alias("visible"), F.count_if(delayed).alias("delayed"), F.count_if(expired).alias("expired"), F.max("id").alias("last_id")
+    )
+
+
+def describe_group(messages: DataFrame, states: DataFrame) -> DataFrame:
+    """Per consumer (topic, consumer, acked, pending): how many messages are out, and how many lie after the last confirmed one."""
+    ahead = states.join(messages.select("topic", "id"), "topic", "left").groupBy("topic", "consumer").agg(F.first(F.size("pending")).alias("pending"), F.count_if(F.col("id") > F.col("acked")).alias("lag"))
+    return ahead
+
+
+def reset(state: DataFrame, offset: int) -> DataFrame:
+    """Begins again after a message; what is out is forgotten."""
+    return state.select(F.lit(offset).cast("long").alias("acked"), F.lit(offset).cast("long").alias("max_acked"), F.array().cast("array<bigint>").alias("pending"))
+
+
+def purge(messages: DataFrame, topic: str) -> DataFrame:
+    return messages.where(F.col("topic") != topic)
+
+
+def effective_expiry(published: Column, ttl: Column, topic_ttl: int = 0) -> Column:
+    """When a message goes: by its own time to live, else by its topic's; 0 for never."""
+    own = F.when(ttl > 0, published + ttl)
+    return F.coalesce(own, F.when(F.lit(topic_ttl) > 0, published + topic_ttl), F.lit(0)).cast("long")

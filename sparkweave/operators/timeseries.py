@@ -149,3 +149,14 @@ def purge(df: DataFrame, before: int | None = None, tags: Mapping[str, str] | No
             hit = hit & F.col(tag).eqNullSafe(value)
         df = df.where(~hit)
     return df
+
+
+def all_tag_values(df: DataFrame, tags: Sequence[str]) -> DataFrame:
+    """(tag, value) of all tags, in one pass."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.col(t).cast("string").alias("value")) for t in tags]))
+    return df.select(pairs.alias("p")).select("p.tag", "p.value").where("value IS NOT NULL").distinct()
+
+
+def describe(df: DataFrame, by: Sequence[str], ts: str = "ts") -> DataFrame:
+    """Per series: points, and the first and last time in milliseconds."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("points"), F.unix_millis(F.min(ts)).alias("first_ms"), F.unix_millis(F.max(ts)).alias("last_ms"))

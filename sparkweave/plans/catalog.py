@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sparkweave.plans import analytics, relational, scalars, search, state
+from sparkweave.plans import analytics, models, relational, scalars, search, state
 from sparkweave.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = (relational, analytics, scalars, search, state)
+MODULES = (relational, analytics, scalars, search, models, state)
 
 
 def queries() -> dict[str, Query]:
