@@ -59,7 +59,7 @@ def aggregate_ungrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("sum_of_nothing", "SELECT 0::DOUBLE AS total, NULL::DOUBLE AS mean, 0 AS n")
+@register("sum_of_nothing", "SELECT 0::DOUBLE AS total, NULL::DOUBLE AS mean, 0::BIGINT AS n")
 def sum_of_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where("l_quantity < 0").agg(A.total(F.col("l_quantity")).alias("total"), F.avg("l_quantity").alias("mean"), F.count(F.lit(1)).alias("n"))
 
@@ -151,9 +151,9 @@ _BY_PRICE = "OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS FIRST
 @register(
     "window_ranking",
     f"""
-    SELECT o_orderkey, row_number() {_BY_PRICE} AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rk,
-           dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dr,
-           (floor((row_number() {_BY_PRICE} - 1) * 4 / count(*) OVER (PARTITION BY o_custkey)) + 1)::INT AS tile, ntile(4) {_BY_PRICE} AS standard_tile
+    SELECT o_orderkey, (row_number() {_BY_PRICE})::INT AS rn, (rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority))::INT AS rk,
+           (dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority))::INT AS dr,
+           (floor((row_number() {_BY_PRICE} - 1) * 4 / count(*) OVER (PARTITION BY o_custkey)) + 1)::INT AS tile, (ntile(4) {_BY_PRICE})::INT AS standard_tile
     FROM orders
     """,
 )

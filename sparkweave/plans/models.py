@@ -70,7 +70,7 @@ def queue_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.poll(messages, Q.reset(ST._state(spark, 90, 95, [91, 92]), 30), 5, ST.NOW).select("id")
 
 
-@register("queue_purge", "SELECT 0 AS n")
+@register("queue_purge", "SELECT 0::BIGINT AS n")
 def queue_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.purge(ST._messages(spark, sf_dir), "tasks").agg(F.count(F.lit(1)).alias("n"))
 

@@ -142,7 +142,7 @@ def functions_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("functions_random", "SELECT count(*) AS n, 0 AS outside FROM region")
+@register("functions_random", "SELECT count(*) AS n, 0::BIGINT AS outside FROM region")
 def functions_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").withColumn("x", F.rand()).agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("x") < 0) | (F.col("x") >= 1)).alias("outside"))
 

@@ -59,7 +59,7 @@ def vector_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "vector_batch_search",
     f"""
-    SELECT query_id, vec_id, round(d, 6) AS distance, rank FROM (
+    SELECT query_id, vec_id, round(d, 6) AS distance, rank::INT AS rank FROM (
       SELECT q.vec_id AS query_id, v.vec_id, {_sql_distance("l2", "v.e", "q.e")} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_sql_distance("l2", "v.e", "q.e")}, v.vec_id) AS rank
       FROM {_VECTORS} v CROSS JOIN (SELECT * FROM {_VECTORS} WHERE vec_id % 50 = 0) q)
     WHERE rank <= 5
@@ -559,7 +559,7 @@ def _sql_hybrid(where: str = "TRUE") -> str:
         _INDEX
         + f""", t AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM (SELECT doc_id, sum(score) AS s FROM scored WHERE term IN ('license', 'idiot') AND {where} GROUP BY doc_id ORDER BY s DESC, doc_id LIMIT 30)),
     v AS (SELECT doc_id, row_number() OVER (ORDER BY d, doc_id) AS r FROM (SELECT vec_id AS doc_id, {d} AS d FROM {_VECTORS} WHERE {where.replace("doc_id", "vec_id")} ORDER BY d, vec_id LIMIT 30))
-    SELECT coalesce(t.doc_id, v.doc_id) AS doc_id, t.r AS text_rank, v.r AS vector_rank, round(coalesce(1.0 / (60 + t.r), 0) + coalesce(0.5 / (60 + v.r), 0), 9) AS rrf
+    SELECT coalesce(t.doc_id, v.doc_id) AS doc_id, t.r::INT AS text_rank, v.r::INT AS vector_rank, round(coalesce(1.0 / (60 + t.r), 0) + coalesce(0.5 / (60 + v.r), 0), 9) AS rrf
     FROM t FULL JOIN v ON t.doc_id = v.doc_id ORDER BY coalesce(1.0 / (60 + t.r), 0) + coalesce(0.5 / (60 + v.r), 0) DESC, coalesce(t.doc_id, v.doc_id) LIMIT 10"""
     )
 
