@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Reads one table; zone-less timestamps become TIMESTAMP in the session's zone."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    zoneless = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
+    """Reads one table; zone-less timestamps are read as TIMESTAMP in the session's zone, by the scan itself, so filters on them reach it."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if not any(isinstance(f.dataType, T.TimestampNTZType) for f in df.schema.fields):
+        return df
+    fields = [T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType, f.nullable) for f in df.schema.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
