@@ -65,6 +65,9 @@ def test_joins_groups_and_windows(db):
     assert rows(db.run("SELECT u.id, d.dept_name FROM users u LEFT JOIN depts d ON u.dept_id = d.id ORDER BY u.id")) == [(1, "Engineering"), (2, "Marketing"), (3, "Engineering"), (4, None)]
     assert rows(db.run("SELECT dept_id, COUNT(*) AS n, GROUP_CONCAT(id) AS ids FROM users GROUP BY dept_id HAVING n > 1"))[0][:2] == (10, 2)
     assert rows(db.run("SELECT id, ROW_NUMBER() OVER (PARTITION BY dept_id ORDER BY id) AS rn FROM users ORDER BY id")) == [(1, 1), (2, 1), (3, 2), (4, 1)]
+    frame = "SELECT id, SUM(id) OVER (PARTITION BY dept_id ORDER BY id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM users ORDER BY id"
+    assert rows(db.run(frame)) == [(1, 1), (2, 2), (3, 4), (4, 4)]
+    assert rows(db.run("SELECT id, CASE WHEN dept_id != 10 THEN 'other' WHEN dept_id IN (10) THEN 'ten' END FROM users ORDER BY id LIMIT 2")) == [(1, "ten"), (2, "other")]
     assert rows(db.run("WITH x AS (SELECT id FROM users) SELECT COUNT(*) FROM x UNION ALL SELECT 0")) == [(4,), (0,)]
 
 
