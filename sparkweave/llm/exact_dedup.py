@@ -46,7 +46,7 @@ def exact_dedup(docs: DataFrame, keep: str = "min", fan_in: int = 8, runs: int |
         F.unhex(F.sha2("t", 256)).alias("digest"),
         F.xxhash64("t", F.octet_length("t")).alias("check"),
         F.pmod(F.xxhash64(F.coalesce("doc_id", "row")), F.lit(runs)).cast("int").alias("run"),
-    ).withColumn("slice", F.hex(F.substring("digest", 1, 1)))
+    ).withColumn("slice", F.hex(F.substring("digest", 1, 2)))
     rows = written(rows, "dedup-rows")
 
     candidate = F.struct(last.alias("last"), "doc_id", "row")
