@@ -87,7 +87,7 @@ def candidates(text: str) -> list[tuple[int, int, str, bool]]:
                 found.append((m.start(), m.end(), "phone", True))
         for kind, pattern in _MORE:
             found += [(m.start(), m.end(), kind, False) for m in pattern.finditer(text)]
-    if "at]" in text or "at)" in text or "AT]" in text:
+    if re.search(r"[\[(]at[\])]", text, re.IGNORECASE):
         found += [(m.start(), m.end(), "masked_email", False) for m in _MASKED.finditer(text)]
     found += [(m.start(), m.end(), "person", False) for m in _PERSON.finditer(text)]
     return sorted(found)
