@@ -11,7 +11,7 @@ from sparkweave.llm.exact_dedup import exact_dedup
 from sparkweave.llm.language_id import fit_filters, identify_languages
 from sparkweave.llm.ngram_join import ngram_jaccard_join
 from sparkweave.llm.packing import pack_documents
-from sparkweave.llm.storage import new_path
+from sparkweave.llm.storage import new_path, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,22 +26,38 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents, each with a number of its own, by which decisions find the very row that they were made for; written, so that it never changes."""
+    return written(pick(docs, *COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of documents with equal texts, the one with the smallest doc_id."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return pick(docs, *COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps, of documents with equal texts, the one with the smallest doc_id; a null doc_id only where there is no other, and one row of those that share a doc_id."""
+    rows = _numbered(docs)
+    kept = exact_dedup(rows, carry=["row"]).where("kept").select("row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of documents that links join, the one with the smallest doc_id."""
-    kept = ngram_jaccard_join(docs).where("doc_id = component_id").select("doc_id")
-    return pick(docs, *COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps, of documents that links join, the one with the smallest doc_id; a null doc_id only where there is no other.
+
+    Rows that share a doc_id are documents of their own, which only their texts link; of linked ones, one row stays.
+    """
+    rows = _numbered(docs)
+    linked = ngram_jaccard_join(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    kept = linked.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(best.alias("best")).select("best.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents, so that the words of the sources stand in the target weights; a document comes once for each pass that takes it."""
-    copies = mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    mixed = pick(docs, *COLUMNS).join(copies, "doc_id")
+    """Repeats or leaves out documents, so that the words of the sources stand in the target weights; a document comes once for each pass that takes it.
+
+    Rows that share a doc_id, or have none, are read and repeated one by one.
+    """
+    rows = _numbered(docs)
+    copies = mix_sources(rows, carry=["row"]).where("copies > 0").select("row", "copies")
+    mixed = rows.join(copies, "row")
     return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("pass")).select(*COLUMNS)
 
 

@@ -53,6 +53,7 @@ def mix_sources(
     max_repeats: float = 3,
     slopes: Sequence[float] = SLOPES,
     rows_per_bucket: int = 1000,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source), range-sorted by training position.
 
@@ -64,7 +65,7 @@ def mix_sources(
 
     Results: doc_id, source, size (words), source_size, target, taken (words that the mix takes, repeats counted; the last
     document that a source reaches is taken in part), copies (passes that take any of it), positions (one time in [0, 1)
-    for each), position (the first; null where the mix takes nothing, sorted last).
+    for each), position (the first; null where the mix takes nothing, sorted last), and the row's own columns that ``carry`` names.
 
     Defined cases: a null text has no words and is never taken; a null source is a source of its own, ranked last; rows that
     repeat a doc_id are separate reads; a null doc_id is read like any other, its text's digest giving the order. Ties
@@ -74,7 +75,8 @@ def mix_sources(
     size = word_count(F.col("text"))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit("")))
     key = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    sized = pick(docs, "doc_id", "text", "source").select("doc_id", "source", size.alias("size"), key.alias("key"))
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    sized = pick(docs, *dict.fromkeys(("doc_id", "text", "source", *carry))).select("doc_id", "source", size.alias("size"), key.alias("key"), *carried)
     sized = written(sized, "mix-sized")
     buckets = max(1, -(-sized.count() // rows_per_bucket))
     sized = sized.withColumn("bucket", F.shiftright(F.col("key") * buckets, 32))
@@ -97,7 +99,7 @@ def mix_sources(
     demand = F.round("target").cast("long")
     passes = F.ceil(F.col("demand") / F.greatest("source_size", F.lit(1))).cast("int")
     of_pass = lambda p: F.greatest(F.lit(0), F.least(F.col("size"), F.col("demand") - p * F.col("source_size") - F.col("start")))
-    placed = placed.select("doc_id", "source", "size", "source_size", "target", "slope", start.alias("start"), demand.alias("demand"))
+    placed = placed.select("doc_id", "source", "size", "source_size", "target", "slope", start.alias("start"), demand.alias("demand"), *["carried"] * bool(carry))
     reads = F.when(passes > 0, F.sequence(F.lit(0), passes - 1)).otherwise(F.array().cast("array<int>"))
     placed = placed.withColumn("reads", F.filter(reads, lambda p: of_pass(p) > 0))
     share = lambda p: (p * F.col("source_size") + F.col("start")) / F.col("target")
@@ -110,6 +112,8 @@ def mix_sources(
         F.aggregate("reads", F.lit(0).cast("long"), lambda taken, p: taken + of_pass(p)).alias("taken"),
         F.size("reads").alias("copies"),
         F.transform("reads", lambda p: _inverse_demand(share(p), F.col("slope"))).alias("positions"),
+        *["carried"] * bool(carry),
     )
     position = F.when(F.col("copies") > 0, F.element_at("positions", 1))
-    return mixed.withColumn("position", position).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    mixed = mixed.withColumn("position", position).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return mixed.select(*[c for c in mixed.columns if c != "carried"], "carried.*") if carry else mixed

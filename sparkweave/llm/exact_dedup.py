@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ def _sorted_run(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "run", "slice").sortWithinPartitions("run", "slice", "digest", "check")
 
 
-def exact_dedup(docs: DataFrame, keep: str = "min", fan_in: int = 8, runs: int | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, keep: str = "min", fan_in: int = 8, runs: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): which row of its group of equal texts stays.
 
     Method. Each document gets a digest (SHA-256 of the text, A-Z lower-cased) and an independent check
@@ -27,7 +28,8 @@ def exact_dedup(docs: DataFrame, keep: str = "min", fan_in: int = 8, runs: int |
     through the first-level runs, so a digest that a third of all rows share meets each run once and no task
     ever holds all rows of a group.
 
-    ``keep``: "min" or "max", the identifier that stays. Results: doc_id, keep_id, group_size, kept, text_sha256.
+    ``keep``: "min" or "max", the identifier that stays. Results: doc_id, keep_id, group_size, kept, text_sha256, and the row's own
+    columns that ``carry`` names.
 
     Defined cases: a null text counts as empty; a null doc_id is chosen only where the group has no other, and
     keep_id is null then; rows with the same doc_id and text count one by one in group_size, and exactly one row of
@@ -39,13 +41,15 @@ def exact_dedup(docs: DataFrame, keep: str = "min", fan_in: int = 8, runs: int |
     best = {"min": F.min, "max": F.max}[keep]
     last = F.col("doc_id").isNull() if keep == "min" else F.col("doc_id").isNotNull()
     text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    rows = pick(docs, "doc_id", "text").select("doc_id", text.alias("t"), F.monotonically_increasing_id().alias("row"))
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    rows = pick(docs, *dict.fromkeys(("doc_id", "text", *carry))).select("doc_id", text.alias("t"), F.monotonically_increasing_id().alias("row"), *carried)
     rows = rows.select(
         "doc_id",
         "row",
         F.unhex(F.sha2("t", 256)).alias("digest"),
         F.xxhash64("t", F.octet_length("t")).alias("check"),
         F.pmod(F.xxhash64(F.coalesce("doc_id", "row")), F.lit(runs)).cast("int").alias("run"),
+        *["carried"] * bool(carry),
     ).withColumn("slice", F.hex(F.substring("digest", 1, 2)))
     rows = written(rows, "dedup-rows")
 
@@ -63,4 +67,5 @@ def exact_dedup(docs: DataFrame, keep: str = "min", fan_in: int = 8, runs: int |
         F.col("size").alias("group_size"),
         (F.col("row") == F.col("winner.row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *["carried.*"] * bool(carry),
     )

@@ -133,3 +133,41 @@ def test_queries_return_their_columns(spark, corpus, name):
     assert COLUMNS[name.split("_")[0]].items() <= dict(found.dtypes).items()
     ids = {r.doc_id for r in found.select("doc_id").collect()}
     assert ids == set(rows)
+
+
+def test_null_and_repeated_ids_keep_their_own_decisions(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices(SYLLABLES["en"].split(), k=3))
+    a, b, c, d, e, f = ([word() for _ in range(60)] for _ in range(6))
+    near = [*a[:30], "zzz", *a[31:]]
+    words = [(None, a), (None, near), (7, b), (7, b), (7, c), (None, d), (8, d), (9, e), (9, [*e[:30], "zzz", *e[31:]]), (None, f), (None, f)]
+    rows = [(i, " ".join(w), "en", f"s{n % 2}", 0) for n, (i, w) in enumerate(words)]
+    text = {name: " ".join(w) for name, w in zip("abcdef", (a, b, c, d, e, f), strict=True)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    pairs = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+
+    identified = corpus_pipeline.identify(spark, docs, "")
+    assert pairs(identified) == Counter((i, t) for i, t, *_ in rows)
+
+    unique = corpus_pipeline.drop_copies(spark, identified, "").localCheckpoint()
+    assert pairs(unique) == Counter({(i, t) for i, t, *_ in rows} - {(None, text["d"])})
+
+    apart = corpus_pipeline.drop_near_copies(spark, unique, "").localCheckpoint()
+    found = pairs(apart)
+    assert sorted(found.values()) == [1] * 6
+    assert {(7, text["b"]), (7, text["c"]), (8, text["d"]), (None, text["f"])} < set(found)
+    assert sum(i == 9 for i, _ in found) == 1 and len({t for i, t in found if i is None}) == 2
+
+    # Every row once more as it is: rows that share a doc_id are read one by one, none by the decision of another.
+    doubled = apart.unionAll(apart).localCheckpoint()
+    mixed = corpus_pipeline.mix(spark, doubled, "").localCheckpoint()
+    reads = Counter()
+    for r in registry.mix_sources(doubled).collect():
+        reads[r.doc_id] += r.copies
+    taken = pairs(mixed)
+    assert Counter(r.doc_id for r in mixed.collect()) == +reads
+    assert set(taken) <= set(found) and max(taken.values()) <= 6
+
+    tokens = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    packed = corpus_pipeline.pack(spark, mixed, "").collect()
+    assert sum(p.length for p in packed) == sum(n * (len(tokens.encode(t, add_special_tokens=False).ids) + 1) for (_, t), n in taken.items())
