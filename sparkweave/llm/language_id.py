@@ -137,13 +137,14 @@ def fit_filters(
     return LanguageFilters(languages, slices, filled**hashes, tuple(sizes), hashes)
 
 
-def identify_languages(docs: DataFrame, filters: LanguageFilters, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+def identify_languages(docs: DataFrame, filters: LanguageFilters, carry: Sequence[str] = ("doc_id",), explained: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): the columns that ``carry`` names, lang_pred, score, n_grams and the corrected
     hits of each language.
 
     Method. Every n-gram of a text asks the bit-sliced filters once and gets the mask of all languages that contain it. Population
     counts of each bit over the text, less the hits that a filter of that fill would give by chance
     (hits - n * rate) / (1 - rate), decide; n-grams that all languages contain cancel out. ``score`` is the winner's share of the n-grams, 0 to 1.
+    With ``explained``, a column of that name has the share of the n-grams that any language contains, corrected in the same way.
 
     Defined cases: lang_pred is ``und`` with a score of 0 if the text is null, has no letters, or no language was learned; equal hits go to
     the language that sorts first. A null doc_id and repeated rows are rows of their own. Whole texts count, however long.
@@ -157,10 +158,12 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, carry: Sequenc
         for batch in batches:
             for part in chunks(batch):
                 texts = part.num_rows
-                total, hits = np.zeros(texts, np.int64), np.zeros((texts, max(1, len(f.languages))))
+                total, hits, anywhere = np.zeros(texts, np.int64), np.zeros((texts, max(1, len(f.languages)))), np.zeros(texts)
                 for grams, owner in gram_stretches(*text_bytes(part.column("text")), f.sizes):
                     total += np.bincount(owner, minlength=texts)
                     masks = f.masks(grams)
+                    if explained:
+                        anywhere += np.bincount(owner, masks != 0, texts)
                     for i in range(len(f.languages)):
                         hits[:, i] += np.bincount(owner, (masks >> masks.dtype.type(i)) & masks.dtype.type(1), texts)
                 rate = f.false_rate if len(f.languages) else np.zeros(1)
@@ -169,6 +172,8 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, carry: Sequenc
                 letters = np.array([bool(t) and _LETTER.search(t) is not None for t in part.column("text").to_pylist()], bool)
                 known = letters & bool(f.languages)
                 score = np.where(known, np.minimum(corrected[np.arange(texts), best] / np.maximum(total, 1), 1.0), 0.0)
+                by_chance = 1 - np.prod(1 - rate)
+                share = np.maximum(anywhere / np.maximum(total, 1) - by_chance, 0) / (1 - by_chance)
                 yield pa.RecordBatch.from_pydict(
                     {
                         **{c: part.column(c) for c in carry},
@@ -176,8 +181,9 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, carry: Sequenc
                         "score": score,
                         "n_grams": total,
                         "hits": pa.array(list(corrected), pa.list_(pa.float64())),
+                        **({"explained": share} if explained else {}),
                     }
                 )
 
     rows = pick(docs, *dict.fromkeys((*carry, "text")))
-    return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in carry], *T.StructType.fromDDL(SCHEMA).fields]))
+    return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in carry], *T.StructType.fromDDL(SCHEMA + ", explained double" * explained).fields]))

@@ -135,6 +135,34 @@ def test_queries_return_their_columns(spark, corpus, name):
     assert ids == set(rows)
 
 
+def test_short_and_mixed_documents_are_identified_or_kept(spark):
+    rng = random.Random(3)
+
+    def prose(lang, n):
+        return " ".join("".join(rng.choices(SYLLABLES[lang].split(), k=rng.randrange(2, 4))) for _ in range(n))
+
+    rows = [(n, prose(lang, 80), lang) for n, lang in enumerate(list(SYLLABLES) * 20)]
+    noise = "".join(rng.choice("qxzjvwkybg") + " " * (rng.random() < 0.2) for _ in range(3000))
+    odd = {
+        100: ("A.", "en"),
+        101: ("x zq 7", None),
+        102: (prose("de", 5) + ' token = "b64b244acde2e3b0aa8f051af1ec018ebaba3add"', "de"),
+        103: (prose("fr", 4) + " zqxj wvkk", "fr"),
+        104: (" ".join(prose(lang, 60) for lang in SYLLABLES), "en"),
+        105: (prose("de", 60) + " " + prose("fr", 50) + " " + prose("en", 50), "de"),
+    }
+    none = {200: (noise, "en"), 201: ("Съешь же ещё этих мягких французских булок да выпей чаю " * 3, "en"), 202: ("12 34", "en"), 203: (None, "en")}
+    rows += [(i, t, lang) for i, (t, lang) in (odd | none).items()]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    trained = corpus_pipeline.fit_filters(docs.where("doc_id < 100"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(corpus_pipeline, "fit_filters", lambda _: trained)
+        found = {r.doc_id: r.lang for r in corpus_pipeline.identify(spark, docs, "").collect()}
+    assert set(found) == {i for i, *_ in rows} - set(none)
+    assert found[100] == "en" and found[101] is None and found[102] == "de" and found[103] == "fr"
+    assert all(found[i] == lang for i, _, lang in rows if i < 100)
+
+
 def test_null_and_repeated_ids_keep_their_own_decisions(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices(SYLLABLES["en"].split(), k=3))
