@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -205,13 +206,32 @@ def supervise(counts: dict[int, int], rounds: int = 50) -> Supervision:
     return Supervision(reliability, dict(zip(KINDS, prior.tolist(), strict=True)), w)
 
 
+def decided(spans: Sequence[dict], sure: dict[int, float], threshold: float) -> list[tuple[dict, float]]:
+    """The spans that stay and their probabilities, by start and kind: base spans, and of the others over the threshold the most probable ones that don't overlap."""
+    scored = [(s, sure[s["pattern"]]) for s in spans]
+    likely = sorted((x for x in scored if not x[0]["base"] and x[1] >= threshold), key=lambda x: (-x[1], x[0]["start"] - x[0]["end"], x[0]["start"], x[0]["rank"]))
+    starts: list[int] = []
+    ends: list[int] = []
+    stay = [x for x in scored if x[0]["base"]]
+    for x in likely:
+        a, b = x[0]["start"], x[0]["end"]
+        at = bisect.bisect(starts, a)
+        if (at and ends[at - 1] > a) or (at < len(starts) and starts[at] < b):
+            continue
+        starts.insert(at, a)
+        ends.insert(at, b)
+        stay.append(x)
+    return sorted(stay, key=lambda x: (x[0]["start"], x[0]["rank"], x[0]["end"]))
+
+
 def find_personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``spans``, an array of (start, rank, kind, end, base, probability) in code points, by start and kind.
 
     Method. Expressions for formats, gazetteers and context words are labelers that vote on candidate spans of the whole text. The votes of all documents
     are counted by pattern, of which there are at most len(KINDS) * 3**len(LABELERS), whatever the size of the corpus; from these
     counts expectation-maximisation estimates how reliable each labeler is, and a logistic classifier learns the posteriors.
-    Spans that the base rules report stay; others are added if the classifier gives them at least ``threshold`` and they overlap no base span.
+    Spans that the base rules report stay; others are added if the classifier gives them at least ``threshold`` and they overlap no base span. All
+    of these vote; where some that reach the threshold overlap each other, the most probable one stays, at equal probability the longest, then the first.
 
     Defined cases: a null text counts as empty and has no spans; a null doc_id and repeated rows are rows of their own; without candidates nothing
     is learned or reported. An empty table gives an empty result. Further columns are ignored.
@@ -225,15 +245,14 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
                 out = []
                 for text in part.column("text").to_pylist():
                     found = candidates(text) if text else []
-                    taken, reach = [], -1  # where base spans begin and end, to drop others that overlap them
-                    base = [(a, b) for a, b, _, is_base in found if is_base]
+                    taken = []
+                    base = [(a, b) for a, b, _, is_base in found if is_base]  # where base spans begin and end, to drop others that overlap them
                     starts, ends = np.array([a for a, _ in base]), np.maximum.accumulate([b for _, b in base]) if base else np.array([])
                     for i, (a, b, k, is_base) in enumerate(found):
                         if not is_base:
                             before = int(np.searchsorted(starts, b)) - 1
-                            if a < reach or (before >= 0 and ends[before] > a):
+                            if before >= 0 and ends[before] > a:
                                 continue
-                            reach = b
                         near = (i > 0 and a - found[i - 1][1] <= 80) or (i + 1 < len(found) and found[i + 1][0] - b <= 80)
                         taken.append({"start": a, "rank": KINDS.index(k), "kind": k, "end": b, "base": is_base, "pattern": encode(k, votes(text, a, b, k, near))})
                     out.append(taken)
@@ -243,14 +262,14 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     patterns = voted.select(F.explode("spans.pattern").alias("pattern")).groupBy("pattern").count().collect()
     learned = supervise({r["pattern"]: r["count"] for r in patterns})
     sure = {r["pattern"]: learned.probability(r["pattern"]) for r in patterns}
-    known = F.create_map(*[F.lit(x) for pair in sorted(sure.items()) for x in pair]) if sure else F.create_map().cast("map<int,double>")
 
-    def decided(s: Column) -> Column:
-        fields = [s[x].alias(x) for x in ("start", "rank", "kind", "end", "base")]
-        return F.struct(*fields, F.element_at(known, s["pattern"]).alias("probability"))
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("base", pa.bool_()), ("probability", pa.float64())]))
+        for batch in batches:
+            out = [[{**{x: s[x] for x in ("start", "rank", "kind", "end", "base")}, "probability": p} for s, p in decided(spans, sure, threshold)] for spans in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], names=["doc_id", "spans"])
 
-    spans = F.filter(F.transform("spans", decided), lambda s: s["base"] | (s["probability"] >= threshold))
-    return voted.select("doc_id", F.array_sort(spans).alias("spans"))
+    return voted.mapInArrow(decide, _SPANS.replace("pattern:int", "probability:double"))
 
 
 def joined(spans: Column) -> Column:

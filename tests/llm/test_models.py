@@ -146,6 +146,25 @@ def test_personal_data_spans(spark):
     assert all(not s.base and s.probability >= 0.5 for i in range(100, 120) for s in found[i])
 
 
+def test_number_before_phone_or_national_id_does_not_hide_it(spark):
+    rows = [(i, f"contact mail{i}: user{i}@mail.example.com phone +1 (555) 010-{2000 + i}") for i in range(40)]
+    rows += [(100 + i, f"call me, phone 555-010-{3000 + i} please") for i in range(20)]
+    rows += [(150 + i, f"mail: user{i}@mail.example.com, social number: 123-45-{6000 + i}, phone +1 (555) 010-{4000 + i}") for i in range(20)]
+    rows += [(300 + i, f"order serial {9000123412340 + 37 * i}_x") for i in range(80) if not pii.luhn(str(9000123412340 + 37 * i))]
+    texts = {200: ("phone Since 2019 555-123-4567 ok", "local_phone", "555-123-4567"), 201: ("social in 2023 123-45-6789 ok", "national_id", "123-45-6789")}
+    rows += [(i, t) for i, (t, *_) in texts.items()]
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (t, kind, part) in texts.items():
+        assert [(s.kind, t[s.start : s.end]) for s in found[i]] == [(kind, part)]
+
+
+def test_most_probable_of_overlapping_spans_stays():
+    span = lambda a, b, code, base=False: {"start": a, "rank": code, "kind": str(code), "end": b, "base": base, "pattern": code}
+    sure = {1: 0.6, 2: 0.9, 3: 0.4, 4: 0.1}
+    spans = [span(0, 9, 1), span(5, 12, 2), span(10, 20, 1), span(12, 15, 1), span(30, 35, 3), span(40, 45, 4, True)]
+    assert [(s["start"], p) for s, p in pii.decided(spans, sure, 0.5)] == [(5, 0.9), (12, 0.6), (40, 0.1)]
+
+
 def test_expectation_maximisation_finds_the_unreliable_labeler():
     rng = np.random.default_rng(0)
     counts = Counter()
