@@ -1,4 +1,5 @@
 import random
+import string
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -57,6 +58,24 @@ def test_compression_bands(spark):
     assert found[4].ratio is None and not found[5].kept
 
 
+def test_bands_reject_repetition_and_noise_at_each_length(spark):
+    rng = random.Random(4)
+    # Two-word phrases from a list of twelve, with a word of its own after each: no three-word window repeats, but the text compresses far more than prose does.
+    phrase = [" ".join("".join(rng.choices("etaoinshrdlu", k=6)) for _ in range(2)) for _ in range(12)]
+    rows, want = [], {}
+    for n, size in enumerate((600, 1500, 3000, 6000, 20000, 40000)):
+        letters = string.ascii_letters + string.digits + "+/"
+        noise = " ".join("".join(rng.choices(letters, k=8)) for _ in range(size // 9 + 1))
+        repeats = ""
+        while len(repeats) < size:
+            repeats += rng.choice(phrase) + " " + "".join(rng.choices("etaoinshrdlu", k=4)) + " "
+        rows += [(10 * n, noise), (10 * n + 1, repeats)]
+        want |= {10 * n: False, 10 * n + 1: False}
+    found = {r.doc_id: r for r in quality.compression_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert {i: r.kept for i, r in found.items()} == want
+
+
 def test_quality_of_empty_table(empty):
     assert quality.compression_quality(empty).count() == 0
 
