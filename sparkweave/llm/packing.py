@@ -15,7 +15,7 @@ from sparkweave.llm.columns import pick
 from sparkweave.llm.storage import small_batches, written
 from sparkweave.llm.textblocks import Words, chunks, lower_ascii, piece_hashes, runs, text_bytes, trim_memory
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
+PIECES = "doc_id long, start long, length long, doc_tokens long, block long, ids binary"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 #: A separator that word-wise tokenizers give one id of its own; units that contain it are encoded alone.
@@ -53,14 +53,15 @@ class WordEncoder:
     """Ids of whole texts, from the ids of their units.
 
     Right for tokenizers that lower-case, drop white space and never join across it. Each distinct unit is encoded once and
-    kept; the memory is emptied when it has ``limit`` units, so it is bounded.
+    kept in arrays: an open-addressing table from its hash to its number, and the ids of all units one after the other. The table is emptied when it
+    has ``limit`` units, so it is bounded; a single chunk of text with more than that gets a larger one.
     """
 
-    def __init__(self, path: str, limit: int = 700_000, joined: int = 256):
+    def __init__(self, path: str, limit: int = 600_000, joined: int = 256):
         self.tokenizer = Tokenizer.from_file(path)
         self.limit, self.joined = limit, joined
         (self.mark,) = self.tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids
-        self._reset()
+        self._reset(limit)
 
     @classmethod
     def of_process(cls, path: str) -> WordEncoder:
@@ -70,63 +71,96 @@ class WordEncoder:
             kept[path] = cls(path)
         return kept[path]
 
-    def _reset(self) -> None:
-        self.known: dict[int, int] = {}
+    def _reset(self, units: int) -> None:
+        slots = 1 << (2 * units).bit_length()
+        self.keys = np.zeros(slots, np.uint64)
+        self.number = np.full(slots, -1, np.int32)
+        self.units, self.used, self.room = 0, 0, max(units, self.limit)
         self.pool = np.zeros(1 << 20, np.uint32)
-        self.ends = np.zeros(1 << 18, np.int64)
-        self.used = 0
-
-    def _store(self, hashes: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
-        before = self.ends[len(self.known)]
+        self.ends = np.zeros(units + 2, np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's unit, -1 where there is none."""
+        last = np.uint64(len(self.keys) - 1)
+        at = (hashes & last).astype(np.int64)
+        found = self.number[at]
+        pending = np.flatnonzero((found >= 0) & (self.keys[at] != hashes))
+        while len(pending):
+            step = (at[pending] + 1) & int(last)
+            at[pending] = step
+            found[pending] = self.number[step]
+            pending = pending[(found[pending] >= 0) & (self.keys[step] != hashes[pending])]
+        return found
+
+    def _insert(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct hashes that the table doesn't have. Of several that want one free slot the last gets it, the others go on to the next."""
+        last = len(self.keys) - 1
+        at = (hashes & np.uint64(last)).astype(np.int64)
+        while len(hashes):
+            free = self.number[at] < 0
+            self.keys[at[free]], self.number[at[free]] = hashes[free], numbers[free]
+            rest = self.number[at] != numbers
+            hashes, numbers, at = hashes[rest], numbers[rest], (at[rest] + 1) & last
+
+    def _store(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        while len(self.known) + len(hashes) + 1 > len(self.ends):
-            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        at = len(self.known)
-        self.ends[at + 1 : at + 1 + len(hashes)] = before + np.cumsum(lengths)
-        self.known.update(zip(hashes, range(at, at + len(hashes)), strict=True))
-
-    def _learn(self, fresh: list[tuple[int, str]], odd: bool) -> None:
-        alone = [x for x in fresh if "|" in x[1] or "<" in x[1]] if odd else []
-        plain = [x for x in fresh if "|" not in x[1] and "<" not in x[1]] if odd else fresh
-        for of, word in alone:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            self._store([of], np.array(ids, np.uint32), np.array([len(ids)]))
-        for i in range(0, len(plain), 64 * self.joined):
-            group = plain[i : i + 64 * self.joined]
-            texts = [f" {_SEPARATOR} ".join(w for _, w in group[j : j + self.joined]) + f" {_SEPARATOR}" for j in range(0, len(group), self.joined)]
+        at = self.units
+        self.ends[at + 1 : at + 1 + len(hashes)] = self.ends[at] + np.cumsum(lengths)
+        self._insert(hashes, np.arange(at, at + len(hashes), dtype=np.int32))
+        self.units += len(hashes)
+
+    def _learn(self, hashes: np.ndarray, words: list[str], odd: bool) -> None:
+        plain = np.ones(len(words), bool)
+        if odd:
+            plain = np.array(["|" not in w and "<" not in w for w in words], bool)
+            for i in np.flatnonzero(~plain).tolist():
+                ids = self.tokenizer.encode(words[i], add_special_tokens=False).ids
+                self._store(hashes[i : i + 1], np.array(ids, np.uint32), np.array([len(ids)]))
+            words = [w for w, p in zip(words, plain.tolist(), strict=True) if p]
+        hashes = hashes[plain]
+        for i in range(0, len(words), 64 * self.joined):
+            group = words[i : i + 64 * self.joined]
+            texts = [f" {_SEPARATOR} ".join(group[j : j + self.joined]) + f" {_SEPARATOR}" for j in range(0, len(group), self.joined)]
             ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
             marks = np.flatnonzero(ids == self.mark)
-            lengths = np.diff(marks, prepend=-1) - 1
-            self._store([of for of, _ in group], ids[ids != self.mark], lengths)
+            self._store(hashes[i : i + len(group)], ids[ids != self.mark], np.diff(marks, prepend=-1) - 1)
 
     def encode(self, texts: pa.Array, last: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``last``, and where each text's ids begin (and the end)."""
         words = units_of(texts)
-        distinct, where, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > self.limit:
-            self._reset()
-        known, data = self.known, words.data
-        keys = distinct.tolist()
-        fresh = [(k, bytes(data[a:b]).decode()) for k, a, b in zip(keys, words.starts[where].tolist(), words.ends[where].tolist(), strict=True) if k not in known]
-        self._learn(fresh, odd=bool((data == 124).any() or (data == 60).any()))
-        index = np.fromiter((known[k] for k in keys), np.int64, len(keys))[which]
-        begins, lengths = self.ends[index], self.ends[index + 1] - self.ends[index]
+        data = words.data
+        index = self._find(words.hashes)
+        fresh = np.flatnonzero(index < 0)
+        if len(fresh):
+            distinct, where = np.unique(words.hashes[fresh], return_index=True)
+            if self.units + len(distinct) > self.room:
+                fresh = np.arange(len(words.hashes))
+                distinct, where = np.unique(words.hashes, return_index=True)
+                self._reset(max(self.limit, len(distinct)))
+            where = fresh[where]
+            new = [bytes(data[a:b]).decode() for a, b in zip(words.starts[where].tolist(), words.ends[where].tolist(), strict=True)]
+            self._learn(distinct, new, odd=bool((data == 124).any() or (data == 60).any()))
+            index[fresh] = self._find(words.hashes[fresh])
+        begins = self.ends[index]
+        lengths = self.ends[index + 1] - begins
         sums = np.concatenate(([0], np.cumsum(lengths)))
         first = sums[words.first] + np.arange(len(words.first))
         out = np.empty(int(first[-1]), np.uint32)
-        out[first[1:] - 1] = last
-        # Word i's ids go to sums[i] and on, moved by one for each text that ended before.
-        target = np.arange(int(sums[-1])) + np.repeat(np.repeat(np.arange(len(first) - 1), words.counts), lengths)
+        # The ids of all words in a row, and where each of them goes: on by one for each text that ended before.
         source = np.arange(int(sums[-1])) + np.repeat(begins - sums[:-1], lengths)
-        out[target] = self.pool[source]
+        own = np.ones(len(out), bool)
+        own[first[1:] - 1] = False
+        out[own] = self.pool[source]
+        out[first[1:] - 1] = last
         return out, first
 
 
-def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048) -> DataFrame:
-    """Rows of PIECES: every document's ids, cut at multiples of ``window``. ``ids`` are little-endian, of 2 bytes each where the vocabulary allows it, else 4."""
+def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048, block: str | None = None) -> DataFrame:
+    """Rows of PIECES: every document's ids, cut at multiples of ``window``. ``ids`` are little-endian, of 2 bytes each where the vocabulary allows it, else 4.
+    ``block`` is the value of the column of that name, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of_process(tokenizer_path)
@@ -149,13 +183,15 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window:
                         "start": start.astype(np.int64),
                         "length": length.astype(np.int64),
                         "doc_tokens": size[doc].astype(np.int64),
+                        "block": part.column("block").take(pa.array(doc)),
                         "ids": blob.cast(pa.binary()),
                     }
                 )
                 yield from table.to_batches(max_chunksize=2000)
             trim_memory()
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, PIECES)
+    number = F.col(f"`{block}`") if block else F.lit(None)
+    return docs.select("doc_id", "text", number.cast("long").alias("block")).mapInArrow(run, PIECES)
 
 
 def sum_of_squares(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,35 +227,45 @@ def sum_of_squares(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.nda
 
 
 def _place(lengths: np.ndarray, window: int) -> list[tuple[int, int, int, int, int]]:
-    """(item, start in it, length, sequence, offset) for all items: sum of squares first; then the bins still open give their pieces, cut where
-    needed, to fill each other up; what is left over for the last bin goes to sequences of power-of-two lengths."""
+    """(item, start in it, length, sequence, offset) for all items.
+
+    The sum-of-squares rule places everything first. Of the bins that it leaves open, as many of the fullest as the open bins' tokens fill stay as they
+    are; the pieces of the others are cut to fill their gaps, and what is left over goes to sequences of power-of-two lengths. So no more is moved than the
+    gaps of the bins that stay.
+    """
     bins, offsets, fill = sum_of_squares(lengths, window)
-    full = fill[bins] == window
-    out = [(i, 0, int(lengths[i]), int(bins[i]), int(offsets[i])) for i in np.flatnonzero(full)]
-    rest = np.flatnonzero(~full)
-    rest = rest[np.lexsort((offsets[rest], bins[rest], -fill[bins[rest]]))]
-    total = int(lengths[rest].sum())
-    sizes = [window] * (total // window) + [1 << k for k in range(window.bit_length() - 1, -1, -1) if total % window >> k & 1]
-    sequence, at = len(fill), 0
-    sizes.reverse()
-    for i in rest.tolist():
+    open_ = np.flatnonzero(fill < window)
+    open_ = open_[np.argsort(-fill[open_], kind="stable")]
+    total = int(fill[open_].sum())
+    moved = np.zeros(len(fill), bool)
+    moved[open_[total // window :]] = True
+    moved = moved[bins]
+    out = [(i, 0, int(lengths[i]), int(bins[i]), int(offsets[i])) for i in np.flatnonzero(~moved).tolist()]
+    # Where there is room: (sequence, offset, length), the gaps first.
+    room = [(b, int(fill[b]), window - int(fill[b])) for b in open_[: total // window].tolist()]
+    sizes = [1 << k for k in range(window.bit_length() - 1, -1, -1) if total % window >> k & 1]
+    room += [(len(fill) + n, 0, size) for n, size in enumerate(sizes)]
+    room.reverse()
+    rest = np.flatnonzero(moved)
+    for i in rest[np.lexsort((offsets[rest], bins[rest], -fill[bins[rest]]))].tolist():
         start = 0
         while start < lengths[i]:
-            take = min(int(lengths[i]) - start, sizes[-1] - at)
+            sequence, at, free = room.pop()
+            take = min(int(lengths[i]) - start, free)
             out.append((i, start, take, sequence, at))
-            start, at = start + take, at + take
-            if at == sizes[-1]:
-                sizes.pop()
-                sequence, at = sequence + 1, 0
+            start += take
+            if take < free:
+                room.append((sequence, at + take, free - take))
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048, docs_per_group: int = 10_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048, docs_per_group: int = 10_000, block: str | None = None) -> DataFrame:
     """Rows of PACKED, one per piece: ``ids`` (little-endian unsigned 32-bit) fill sequence ``sequence_id`` from ``offset`` on.
 
-    Method. Documents are encoded whole. Full windows are sequences of their own. Remainders are dealt by a hash into groups of about
-    ``docs_per_group`` and placed online by the sum-of-squares rule in a level array; see _place() for the few windows that stay open at a group's end, which
-    are cut, so that no sequence needs padding. A group's order is doc_id, start, then length, so reruns agree.
+    Method. Documents are encoded whole. Full windows are sequences of their own. Remainders are placed online by the sum-of-squares rule in a level array, group
+    by group; see _place() for the windows that stay open at a group's end, some of which are cut, so that no sequence needs padding. Groups are those of
+    the column ``block`` (0 to 2**38 - 1, with some 10,000 documents for each value, such as ranges of training positions), which comes back as a column; without it documents are
+    dealt by a hash into groups of about ``docs_per_group``. A group's order is doc_id, start, then length, so reruns agree.
 
     Defined cases: a null or empty text is ``end_id`` alone; a null doc_id and repeated rows are packed like others; very long texts give
     many full windows. An empty table gives an empty result. Further columns are ignored.
@@ -227,11 +273,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     small_batches(docs.sparkSession)
-    pieces = written(encode_pieces(docs, tokenizer_path, end_id, window), "pack-pieces")
-    groups = max(1, -(-docs.count() // docs_per_group))
+    pieces = written(encode_pieces(docs, tokenizer_path, end_id, window, block), "pack-pieces")
+    if not block:
+        groups = max(1, -(-pieces.where("start = 0").count() // docs_per_group))
+        pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", F.crc32("ids")), F.lit(groups)))
     whole = pieces.where(F.col("length") == window)
     rest = pieces.where(F.col("length") < window)
-    rest = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", F.crc32("ids")), F.lit(groups)))
 
     def wide(blobs: list[bytes], ids: int) -> pa.Array:
         """Ids of 2 or 4 bytes as ids of 4, text by text."""
@@ -249,15 +296,16 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window
         blobs = table.column("ids").combine_chunks()
         width = len(blobs[0].as_buffer()) // int(lengths[0])
         cut = [blobs[i].as_buffer()[a * width : (a + n) * width].to_pybytes() for i, a, n in zip(item.tolist(), start.tolist(), length.tolist(), strict=True)]
-        taken = table.select(["doc_id", "start", "doc_tokens"]).take(pa.array(item))
+        taken = table.select(["doc_id", "start", "doc_tokens", "block"]).take(pa.array(item))
         out = pa.table(
             {
                 "doc_id": taken.column("doc_id"),
                 "start": taken.column("start").to_numpy() + start,
                 "length": length,
                 "doc_tokens": taken.column("doc_tokens"),
+                "block": taken.column("block"),
                 "ids": wide(cut, int(length.sum())),
-                "sequence_id": ((key[0].as_py() << 32) + sequence) * 2 + 1,
+                "sequence_id": sequence,
                 "offset": offset,
             }
         )
@@ -273,6 +321,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window
                 yield batch.set_column(at, "ids", ids)
             trim_memory()
 
-    packed = rest.groupBy("group").applyInArrow(place, PACKED)
+    # Each group numbers its sequences from 0.
+    packed = rest.groupBy("block").applyInArrow(place, PACKED).withColumn("sequence_id", (F.shiftleft("block", 24) + F.col("sequence_id")) * 2 + 1)
     alone = whole.select("*", (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return alone.mapInArrow(widen, PACKED).unionAll(packed)
