@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -14,12 +15,12 @@ from pyspark.sql import types as T
 
 from sparkweave.llm.columns import pick
 from sparkweave.llm.storage import small_batches
-from sparkweave.llm.textblocks import CHUNK_BYTES, chunks, lower_ascii, mix, text_bytes
+from sparkweave.llm.textblocks import CHUNK_BYTES, chunks, lower_ascii, mix, text_bytes, trim_memory
 
 SCHEMA = "lang_pred string, score double, n_grams long, hits array<double>"
 
-#: A mask has one bit for each language.
-MAX_LANGUAGES = 64
+#: A mask has one bit for each language; with more languages than bits, there are several masks.
+MASK_BITS = 64
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -31,21 +32,22 @@ _WORD_BYTE[128:] = True
 
 @dataclass(frozen=True)
 class LanguageFilters:
-    """``slices[p]`` has a bit for each language whose filter has position p set. ``false_rate``: per language."""
+    """``slices[m][p]`` has a bit for each of the m-th MASK_BITS languages whose filter has position p set. ``false_rate``: per language."""
 
     languages: tuple[str, ...]
-    slices: np.ndarray
+    slices: tuple[np.ndarray, ...]
     false_rate: np.ndarray
     sizes: tuple[int, ...]
     hashes: int
 
-    def masks(self, grams: np.ndarray) -> np.ndarray:
-        """One row of bit masks per gram: all languages whose filters contain it."""
-        positions = np.uint64(len(self.slices) - 1)
-        found = self.slices[(grams & positions).astype(np.int64)]
+    def masks(self, grams: np.ndarray) -> list[np.ndarray]:
+        """Bit masks per gram, one array for each MASK_BITS languages: all languages whose filters contain it."""
+        positions = np.uint64(len(self.slices[0]) - 1)
         step = grams >> np.uint64(40) | np.uint64(1)
-        for k in range(1, self.hashes):
-            found = found & self.slices[((grams + np.uint64(k) * step) & positions).astype(np.int64)]
+        found: list[np.ndarray] = []
+        for k in range(self.hashes):
+            at = ((grams + np.uint64(k) * step) & positions).astype(np.int64)
+            found = [f & s[at] for f, s in zip(found, self.slices, strict=True)] if k else [s[at] for s in self.slices]
         return found
 
 
@@ -97,16 +99,13 @@ def fit_filters(
     The sample has at most ``rows_per_language`` rows of each language, the first ones by a hash of text and doc_id, and is
     read whole. A language's filter gets its ``grams_per_language`` most frequent n-grams, of those with a share
     of over ``min_share``. Only these, and one row for each language, reach the driver: the filters take 2**bits positions times
-    one bit for each language, whatever the size of the input.
+    one bit for each language, whatever the size of the input. There may be any number of languages.
     """
     rows = pick(docs if trains is None else docs.where(trains), "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["of"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"filters have room for {MAX_LANGUAGES} languages")
+    counts = {r["lang"]: r["of"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of")).collect()}
     # A hash under a language's threshold pre-selects rows where they are read; the window then takes the exact number.
-    threshold = F.lit(0.0)
-    for lang, of in sorted(counts.items()):
-        threshold = F.when(F.col("lang") == lang, F.lit(min(1.0, (1.3 * rows_per_language + 200) / of) * (1 << 30))).otherwise(threshold)
+    limits = [x for lang, of in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, (1.3 * rows_per_language + 200) / of) * (1 << 30)))]
+    threshold = F.coalesce(F.element_at(F.create_map(*limits), F.col("lang")), F.lit(0.0)) if limits else F.lit(0.0)
     keyed = rows.select("lang", "text", F.xxhash64("text", "doc_id").alias("key")).where(F.pmod("key", F.lit(1 << 30)) < threshold)
     first = Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1 << 30)), "text")
     sample = keyed.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows_per_language).select("lang", "text")
@@ -119,6 +118,8 @@ def fit_filters(
                 for k, name in enumerate(names):
                     gram, n = np.unique(grams[code[owner] == k], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(gram), pa.string()), "gram": gram.view(np.int64), "n": n.astype(np.int64)})
+                del grams, owner
+            trim_memory()
 
     total = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
@@ -126,17 +127,27 @@ def fit_filters(
     chosen = shares.where((F.col("rank") <= grams_per_language) & (F.col("n") > min_share * F.col("all"))).select("lang", "gram").toArrow()
 
     languages = tuple(sorted(chosen.column("lang").unique().to_pylist()))
-    width = next(w for w in (1, 2, 4, 8) if 8 * w >= len(languages))
-    slices = np.zeros(1 << bits, np.dtype(f"u{width}"))
+    width = next((w for w in (1, 2, 4) if 8 * w >= len(languages)), MASK_BITS // 8)
+    slices = tuple(np.zeros(1 << bits, np.dtype(f"u{width}")) for _ in range(max(1, -(-len(languages) // MASK_BITS))))
     grams = chosen.column("gram").to_numpy().view(np.uint64)
-    code = np.array([languages.index(x) for x in chosen.column("lang").to_pylist()], np.uint64)
+    number = {lang: i for i, lang in enumerate(languages)}
+    code = np.array([number[x] for x in chosen.column("lang").to_pylist()], np.int64)
     step = grams >> np.uint64(40) | np.uint64(1)
-    for k in range(hashes):
-        np.bitwise_or.at(slices, ((grams + np.uint64(k) * step) & np.uint64(len(slices) - 1)).astype(np.int64), (np.uint64(1) << code).astype(slices.dtype))
-    filled = np.array([((slices >> slices.dtype.type(i)) & slices.dtype.type(1)).mean() for i in range(len(languages))])
+    for m, part in enumerate(slices):
+        own = code // MASK_BITS == m
+        bit = (np.uint64(1) << (code[own] % MASK_BITS).astype(np.uint64)).astype(part.dtype)
+        for k in range(hashes):
+            np.bitwise_or.at(part, ((grams[own] + np.uint64(k) * step[own]) & np.uint64(len(part) - 1)).astype(np.int64), bit)
+    filled = np.array([bits_of(slices, i).mean() for i in range(len(languages))])
     return LanguageFilters(languages, slices, filled**hashes, tuple(sizes), hashes)
 
 
+def bits_of(masks: Sequence[np.ndarray], language: int) -> np.ndarray:
+    """One language's bits, 0 or 1, of masks or slices."""
+    mask = masks[language // MASK_BITS]
+    return (mask >> mask.dtype.type(language % MASK_BITS)) & mask.dtype.type(1)
+
+
 def identify_languages(docs: DataFrame, filters: LanguageFilters, carry: Sequence[str] = ("doc_id",), explained: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): the columns that ``carry`` names, lang_pred, score, n_grams and the corrected
     hits of each language.
@@ -159,13 +170,14 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, carry: Sequenc
             for part in chunks(batch):
                 texts = part.num_rows
                 total, hits, anywhere = np.zeros(texts, np.int64), np.zeros((texts, max(1, len(f.languages)))), np.zeros(texts)
+                grams = owner = masks = None
                 for grams, owner in gram_stretches(*text_bytes(part.column("text")), f.sizes):
                     total += np.bincount(owner, minlength=texts)
                     masks = f.masks(grams)
                     if explained:
-                        anywhere += np.bincount(owner, masks != 0, texts)
+                        anywhere += np.bincount(owner, functools.reduce(np.logical_or, masks), texts)
                     for i in range(len(f.languages)):
-                        hits[:, i] += np.bincount(owner, (masks >> masks.dtype.type(i)) & masks.dtype.type(1), texts)
+                        hits[:, i] += np.bincount(owner, bits_of(masks, i), texts)
                 rate = f.false_rate if len(f.languages) else np.zeros(1)
                 corrected = np.maximum(hits - total[:, None] * rate, 0) / (1 - rate)
                 best = corrected.argmax(1)
@@ -184,6 +196,8 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, carry: Sequenc
                         **({"explained": share} if explained else {}),
                     }
                 )
+                del grams, owner, masks
+            trim_memory()
 
     rows = pick(docs, *dict.fromkeys((*carry, "text")))
     return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in carry], *T.StructType.fromDDL(SCHEMA + ", explained double" * explained).fields]))
