@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from sparkweave.llm.columns import pick
 from sparkweave.llm.storage import small_batches
-from sparkweave.llm.textblocks import Words, chunks, piece_hashes, windows, words_of
+from sparkweave.llm.textblocks import Words, chunks, piece_hashes, trim_memory, windows, words_of
 
 
 @dataclass(frozen=True)
@@ -162,5 +162,7 @@ def compression_quality(docs: DataFrame, bands: Sequence[Band] = BANDS, chunk_by
                 columns |= {"bad_chunks": pa.array(bad, pa.int64()), "n_chunks": pa.array(pieces, pa.int64())}
                 columns["kept"] = pa.array(~base["base_failed"] & np.array(good, bool))
                 yield pa.RecordBatch.from_pydict(columns)
+                del words, view
+            trim_memory()
 
     return pick(docs, "doc_id", "text").mapInArrow(run, SCHEMA)

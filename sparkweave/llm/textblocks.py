@@ -7,6 +7,7 @@ sums give every piece of a chunk at once, so the cost per byte doesn't depend on
 from __future__ import annotations
 
 import ctypes
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,16 +20,14 @@ CHUNK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def _power(which: str, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1), of the base or of its inverse."""
-    if len(_powers[which]) < n:
-        steps = np.full(max(n, CHUNK_BYTES), _BASE if which == "up" else _INVERSE, np.uint64)
-        steps[0] = 1
-        _powers[which] = np.multiply.accumulate(steps)
-    return _powers[which][:n]
+@functools.cache
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1), kept for the life of the process; n is bounded by the length of a stretch."""
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,20 +84,34 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def _polynomial(data: np.ndarray) -> np.uint64:
+    """The sum of data[i] * base**i, stretch by stretch."""
+    total = 0
+    for at in range(0, len(data), CHUNK_BYTES):
+        part = data[at : at + CHUNK_BYTES].astype(np.uint64)
+        inner = int(np.sum(part * _powers(_BASE, CHUNK_BYTES + 1)[: len(part)], keepdims=True)[0])
+        total = (total + inner * pow(_BASE, at, 1 << 64)) % (1 << 64)
+    return np.uint64(total)
+
+
 def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each piece and of its length. Pieces are in order and don't overlap, so a long text is worked off in stretches."""
+    """A 64-bit hash of the bytes of each piece and of its length. Pieces are in order and don't overlap. They are worked off in stretches, and so
+    is a piece that is longer than one, so the memory this takes doesn't grow with a text."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
-        j = max(int(np.searchsorted(starts, starts[i] + CHUNK_BYTES)), i + 1)
+        j = int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, "right"))
+        if j <= i:
+            out[i] = _polynomial(data[starts[i] : ends[i]])
+            i += 1
+            continue
         low, high = int(starts[i]), int(ends[j - 1])
         first, last = starts[i:j] - low, ends[i:j] - low
         sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(data[low:high].astype(np.uint64) * _power("up", high - low), out=sums[1:])
-        value = (sums[last] - sums[first]) * _power("down", high - low + 1)[first]
-        out[i:j] = mix(value ^ ((last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        np.cumsum(data[low:high].astype(np.uint64) * _powers(_BASE, CHUNK_BYTES + 1)[: high - low], out=sums[1:])
+        out[i:j] = (sums[last] - sums[first]) * _powers(_INVERSE, CHUNK_BYTES + 1)[first]
         i = j
-    return out
+    return mix(out ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
 @dataclass

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from sparkweave.llm.columns import pick
 from sparkweave.llm.storage import small_batches
-from sparkweave.llm.textblocks import chunks, text_bytes
+from sparkweave.llm.textblocks import chunks, text_bytes, trim_memory
 
 SCHEMA = "doc_id long, section long, char_start long, char_end long, n_tokens long, n_crossing long"
 
@@ -95,5 +95,7 @@ def section_token_counts(docs: DataFrame, ranks_path: str, pattern: str, rule: s
                 ids = part.column("doc_id").cast(pa.int64()).take(pa.array(flat[0]))
                 names = ("doc_id", "section", "char_start", "char_end", "n_tokens", "n_crossing")
                 yield pa.RecordBatch.from_arrays([ids, *map(pa.array, flat[1:])], names=names)
+                del columns, flat, data, chars, breaks
+            trim_memory()
 
     return pick(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
