@@ -11,13 +11,15 @@ a third of all rows share costs one entry for each block. Everything that leaves
 3. classes: texts with equal shingle sets become one class, by a 128-bit digest and the number of shingles.
 4. candidates: classes that share a shingle of their prefixes, against one hub for each shingle, the class whose
    shingles are most frequent. Then, for shingles whose classes still lie in several components, each class outside the largest
-   component against the others. Pairs inside one component need no test, so groups of near copies cost linear work.
+   component against the others, of sizes in reach and only if their parity sketches don't rule out the overlap. Pairs inside one component need no
+   test, so groups of near copies cost linear work.
 5. overlaps: the global order is cut into fragments; a candidate pair's partial overlaps are counted in each fragment
    separately and summed per pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +29,29 @@ from pyspark.sql import functions as F
 
 from sparkweave.llm.columns import pick
 from sparkweave.llm.components import components
-from sparkweave.llm.storage import small_batches, written
+from sparkweave.llm.storage import free_shuffles, small_batches, text_size, written
 from sparkweave.llm.textblocks import chunks, mix, pack, pack_sorted, trim_memory, unpack, unpack_sorted, windows, words_of
 
 #: Bytes of text in a block. Its hashes and text numbers take some ten times as much memory while they are sorted.
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 6 << 20
 
 _ANSWER = "block long, shard int, payload binary"
-_TEXTS = "doc_id long, n long, digest long, digest2 long, alone int, weight double, tokens array<bigint>"
+_TEXTS = "doc_id long, n long, digest long, digest2 long, alone int, weight double, tokens array<bigint>, sketch array<bigint>"
 
-#: A shared shingle in global order: 15 bits of frequency, 20 of shard, 28 of the number within the shard.
-_SHARD_BITS, _RANK_BITS, _MOST = 20, 28, (1 << 15) - 1
+#: A shared shingle in global order: 11 bits of frequency, 26 of shard, 26 of the number within the shard.
+_SHARD_BITS, _RANK_BITS = 26, 26
+
+#: Bytes of text for each shard, so that what one task sorts doesn't grow with the input.
+SHARD_BYTES = 4 << 20
+
+#: Bits of a text's parity sketch.
+SKETCH_BITS = 256
+
+
+def _frequency_code(frequency: np.ndarray) -> np.ndarray:
+    """Frequencies up to 1024 as they are, greater ones by their logarithm, below 2048: the order only has to put rare shingles first."""
+    beyond = 1024 + 64 * np.log2(np.maximum(frequency, 1024) / 1024)
+    return np.minimum(np.where(frequency <= 1024, frequency, beyond), 2047).astype(np.int64)
 
 
 class _Block:
@@ -147,7 +161,7 @@ def _frequencies(rows: DataFrame, width: int, shards: int) -> DataFrame:
         frequency = np.bincount(group, np.concatenate(times)[order]).astype(np.int64)
         number = np.cumsum(frequency > 1) - 1
         if len(number) and number[-1] >= 1 << _RANK_BITS:
-            raise ValueError("a shard has too many shared shingles; raise the number of shards")
+            raise ValueError("a shard has too many shared shingles for its number; shards are to be sized by SHARD_BYTES")
         back = np.empty(len(every), np.int64)
         back[order] = group
         out, at = [], 0
@@ -155,7 +169,7 @@ def _frequencies(rows: DataFrame, width: int, shards: int) -> DataFrame:
             g = back[at : at + len(h)]
             at += len(h)
             shared = frequency[g] > 1
-            out.append(len(h).to_bytes(4, "little") + np.packbits(shared).tobytes() + pack_sorted(number[g[shared]].astype(np.uint64)) + pack(np.minimum(frequency[g[shared]], _MOST)))
+            out.append(len(h).to_bytes(4, "little") + np.packbits(shared).tobytes() + pack_sorted(number[g[shared]].astype(np.uint64)) + pack(_frequency_code(frequency[g[shared]])))
         del hashes, times, every, order, sorted_, back, group
         trim_memory()
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "payload": pa.array(out, pa.binary())})
@@ -213,6 +227,12 @@ def _texts(rows: DataFrame, answers: DataFrame, width: int, numerator: int) -> D
         order = np.lexsort((token, owner))
         ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=texts)))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(token[order].view(np.int64)), mask=pa.array(~possible))
+        # Parities of the shared shingles by bucket; two texts' sketches differ in no more bits than their sets do in shingles.
+        bucket, times_in = np.unique(owner * SKETCH_BITS + (mix(token) % np.uint64(SKETCH_BITS)).astype(np.int64), return_counts=True)
+        bucket = bucket[times_in % 2 == 1]
+        words = np.zeros(texts * SKETCH_BITS // 64, np.uint64)
+        np.bitwise_or.at(words, bucket // 64, np.uint64(1) << (bucket % 64).astype(np.uint64))
+        sketches = pa.ListArray.from_arrays(pa.array(np.arange(texts + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(words.view(np.int64)), mask=pa.array(~possible))
         out = pa.table(
             {
                 "doc_id": pa.array(ids, mask=known == 0),
@@ -222,9 +242,10 @@ def _texts(rows: DataFrame, answers: DataFrame, width: int, numerator: int) -> D
                 "alone": pa.array(alone.astype(np.int32), mask=leads == 0),
                 "weight": pa.array(weight, mask=leads == 0),
                 "tokens": lists,
+                "sketch": sketches,
             }
         )
-        del token, owner, order, shared, times, tokens, flags, fields, data
+        del bucket, words, token, owner, order, shared, times, tokens, flags, fields, data
         trim_memory()
         return pa.concat_tables([out] * alike)
 
@@ -242,6 +263,18 @@ def _reachable(left: str, right: str, numerator: int) -> Column:
     return rest >= _needed(F.col(f"{left}.n"), F.col(f"{right}.n"), numerator)
 
 
+def _apart(left: str, right: str, numerator: int) -> Column:
+    """Whether shingles that no other text has and the bits in which two sketches differ already are more than two similar sets differ by."""
+    bits = F.aggregate(F.zip_with(f"{left}.sketch", f"{right}.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    both = F.col(f"{left}.n") + F.col(f"{right}.n")
+    return bits + F.col(f"{left}.alone") + F.col(f"{right}.alone") > both - 2 * _needed(F.col(f"{left}.n"), F.col(f"{right}.n"), numerator)
+
+
+def _band(n: str, numerator: int) -> Column:
+    """Sizes of similar sets lie in the same or in neighbouring bands."""
+    return F.floor(F.log(F.col(n)) / math.log(100 / numerator) + 1e-9).cast("int")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, cuts: list[int], numerator: int) -> DataFrame:
     """The pairs (a, b) that are similar: partial overlaps by fragment of the global order, summed per pair."""
     limits = F.array(*[F.lit(x) for x in cuts])
@@ -271,13 +304,15 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, numerator: int = 75, sha
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shards = shards or min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << _SHARD_BITS) - 1)
     rows = pick(docs, "doc_id", "text")
+    if not shards:
+        shards = min(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_size(rows) // SHARD_BYTES)), (1 << _SHARD_BITS) - 1)
     texts = written(_texts(rows, _frequencies(rows, width, shards), width, numerator), "shingle-texts")
+    free_shuffles(spark)
     same = ["n", "digest", "digest2"]
     # A class with a single text that has no possible partner needs nothing further.
     classes = texts.where("n > 0").groupBy(*same).agg(
-        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("alone", True).alias("alone"), F.first("weight", True).alias("weight"), F.first("tokens", True).alias("tokens")
+        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("alone", True).alias("alone"), F.first("weight", True).alias("weight"), F.first("tokens", True).alias("tokens"), F.first("sketch", True).alias("sketch")
     )
     classes = classes.withColumn("class", F.xxhash64(*same)).where("copies > 1 OR tokens IS NOT NULL")
     classes = written(classes, "shingle-classes")
@@ -305,11 +340,14 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, numerator: int = 75, sha
     marked = written(marked, "shingle-entries")
     per_label = marked.groupBy("token", "label").agg(F.count(F.lit(1)).alias("members"))
     split = per_label.groupBy("token").agg(F.max(F.struct("members", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", F.col("top.label").alias("main"))
-    active = marked.join(split, "token")
-    minor, other = active.where("label != main").alias("m"), active.alias("o")
+    sketches = able.select("class", "alone", "sketch")
+    active = marked.join(split, "token").withColumn("band", _band("n", numerator)).join(sketches, "class")
+    minor = active.where("label != main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("m")
+    other = active.alias("o")
     # Two classes outside the largest component meet twice; the smaller number goes first.
     once = (F.col("o.label") == F.col("o.main")) | (F.col("m.class") < F.col("o.class"))
-    second = minor.join(other, (F.col("m.token") == F.col("o.token")) & (F.col("m.label") != F.col("o.label")) & once & _reachable("m", "o", numerator))
+    same_key = (F.col("m.token") == F.col("o.token")) & (F.col("m.band") == F.col("o.band"))
+    second = minor.join(other, same_key & (F.col("m.label") != F.col("o.label")) & once & _reachable("m", "o", numerator) & ~_apart("m", "o", numerator))
     fresh = second.select(*pair("m", "o")).distinct().join(tested, ["a", "b"], "left_anti")
     fresh = written(fresh, "shingle-pairs")
     links = links.unionByName(written(_verified(fresh, able, cuts, numerator), "shingle-links"))

@@ -2,31 +2,46 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset, as in tests, a temporary one is set for the session."""
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, as in tests, a temporary one is set for the session, if all of it runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="sparkweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-#: Tables written in this process; see clear().
+#: Tables written in this process and not deleted yet, in order; see clear().
 _paths: list[str] = []
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes all intermediate tables of this process, once the results that were made from them have been written or read."""
+def mark() -> int:
+    """A place in the order of intermediate tables; written_since() names those that are written after it."""
+    return len(_paths)
+
+
+def written_since(place: int) -> list[str]:
+    return _paths[place:]
+
+
+def clear(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes intermediate tables of this process, all or those that are named, once the results that were made from them have been written or read."""
     jvm = spark.sparkContext._jvm
-    while _paths:
-        path = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+    for name in list(_paths if paths is None else paths):
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if name in _paths:
+            _paths.remove(name)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -43,6 +58,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_size(docs: DataFrame, column: str = "text") -> int:
+    """Bytes of all texts, by which operators size their shards."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets go of shuffle files that no plan needs any more, once a table has been written from them; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Rows reach Python in Arrow batches of at most ``most`` bytes, or of fewer if the session says so."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
