@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.llm.columns import pick
-from sparkweave.llm.storage import new_path, small_batches, written
+from sparkweave.llm.storage import free_shuffles, new_path, small_batches, text_size, written
 from sparkweave.llm.textblocks import chunks, mix, pack, pack_sorted, trim_memory, unpack, unpack_sorted, words_of
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 6 << 20
 
+#: Bytes of text for each shard of an order.
+SHARD_BYTES = 8 << 20
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _START, _END = np.uint64(0x51A27), np.uint64(0xE4D)
 _ANSWER = "block long, shard int, payload binary, stats array<bigint>"
@@ -98,8 +101,8 @@ def _unpack_counts(data: bytes, at: int) -> tuple[np.ndarray, int]:
 
 
 def _counts(rows: DataFrame, order: int, shards: int, thin: int) -> DataFrame:
-    """(block, shard, payload): counts over all training texts of the n-grams that a block asked for, and which of them the block stands for; and
-    rows without a block, with (order, tokens, distinct n-grams, distinct n-grams seen 1 .. ``thin`` + 1 times)."""
+    """(block, shard, payload): counts over all training texts of the n-grams that a block asked for, which of them the block stands for, and which of them any text
+    outside the training has; and rows without a block, with (order, tokens, distinct n-grams, distinct n-grams seen 1 .. ``thin`` + 1 times)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits = np.array([(i << 64) // shards for i in range(1, shards)], dtype=np.uint64)
@@ -110,10 +113,12 @@ def _counts(rows: DataFrame, order: int, shards: int, thin: int) -> DataFrame:
             for k in range(order):
                 distinct, which = np.unique(grams.hashes[k], return_inverse=True)
                 counts = np.bincount(which, learn, len(distinct)).astype(np.int64)
+                outside = np.bincount(which, ~learn, len(distinct)) > 0
                 cuts = np.concatenate(([0], np.searchsorted(distinct, limits), [len(distinct)]))
                 for s in np.flatnonzero(np.diff(cuts)).tolist():
                     shard.append(k * shards + s)
-                    payload.append(pack_sorted(distinct[cuts[s] : cuts[s + 1]]) + _pack_counts(counts[cuts[s] : cuts[s + 1]]))
+                    own = slice(cuts[s], cuts[s + 1])
+                    payload.append(pack_sorted(distinct[own]) + _pack_counts(counts[own]) + np.packbits(outside[own]).tobytes())
             count = len(shard)
             yield pa.RecordBatch.from_pydict(
                 {"block": pa.array([name] * count, pa.int64()), "shard": pa.array(shard, pa.int32()), "payload": pa.array(payload, pa.binary()), "stats": pa.nulls(count, pa.list_(pa.int64()))}
@@ -128,27 +133,29 @@ def _counts(rows: DataFrame, order: int, shards: int, thin: int) -> DataFrame:
             times[name] = times.get(name, 0) + 1
             asked[name] = payload.as_py()
         names = sorted(asked)
-        hashes, counts = [], []
+        hashes, counts, outside = [], [], []
         for name in names:
             h, at = unpack_sorted(asked[name])
-            c, _ = _unpack_counts(asked[name], at)
+            c, at = _unpack_counts(asked[name], at)
             hashes.append(h)
             counts.append(c * times[name])
+            outside.append(np.unpackbits(np.frombuffer(asked[name], np.uint8, offset=at), count=len(h)))
         every = np.concatenate(hashes)
         _, first, group = np.unique(every, return_index=True, return_inverse=True)
         total = np.bincount(group, np.concatenate(counts)).astype(np.int64)
+        wanted = np.bincount(group, np.concatenate(outside)) > 0
         owned = np.zeros(len(every), bool)
         owned[first] = True
         out, at = [], 0
         for h in hashes:
             own = slice(at, at + len(h))
             at += len(h)
-            out.append(np.packbits(owned[own]).tobytes() + _pack_counts(total[group[own]]))
+            out.append(np.packbits(owned[own]).tobytes() + np.packbits(wanted[group[own]]).tobytes() + _pack_counts(total[group[own]]))
         seen = total[total > 0]
         stats = [key[0].as_py() // shards + 1, int(seen.sum()), len(seen), *np.bincount(np.minimum(seen, thin + 2), minlength=thin + 3)[1 : thin + 2].tolist()]
         shard = pa.array([key[0].as_py()] * (len(names) + 1), pa.int32())
         lists = pa.array([None] * len(names) + [stats], pa.list_(pa.int64()))
-        del hashes, counts, every, first, group, owned, asked
+        del hashes, counts, outside, every, first, group, owned, wanted, asked
         trim_memory()
         return pa.table({"block": pa.array([*names, None], pa.int64()), "shard": shard, "payload": pa.array([*out, None], pa.binary()), "stats": lists})
 
@@ -156,10 +163,10 @@ def _counts(rows: DataFrame, order: int, shards: int, thin: int) -> DataFrame:
 
 
 def discounts(seen: list[int], thin: int) -> np.ndarray:
-    """Katz's factors d[r] for counts r up to ``thin``, by Good-Turing; d[thin + 1] is the amount taken from any larger count.
+    """Katz's factors d[r] for counts r up to ``thin``, by Good-Turing; d[thin + 1] is that of any larger count, which is left whole.
 
     seen[r - 1]: distinct n-grams with count r, for r up to thin + 1. Where counts of counts are too few or too uneven for a factor between 0.05 and 0.95, the nearer bound
-    holds. Larger counts lose the same amount as the count ``thin`` does, so every context keeps mass for words that it has not been seen with.
+    holds.
     """
     n = np.array([0, *seen], float)
     d = np.ones(thin + 2)
@@ -168,20 +175,20 @@ def discounts(seen: list[int], thin: int) -> np.ndarray:
         turing = (r + 1) * n[r + 1] / (r * n[r]) if n[r] else 0.5
         factor = (turing - cut) / (1 - cut) if abs(1 - cut) > 1e-9 else turing
         d[r] = min(max(factor, 0.05), 0.95)
-    d[thin + 1] = thin * (1 - d[thin])
     return d
 
 
-def katz_scores(docs: DataFrame, trains: Column, order: int = 2, added: float = 0.1, thin: int = 5, shards: int | None = None) -> DataFrame:
+def katz_scores(docs: DataFrame, trains: Column, order: int = 3, added: float = 0.1, thin: int = 5, shards: int | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score and score, in log10.
 
     Method. N-grams up to ``order`` are counted over the rows for which ``trains`` holds. A token's probability after its history is
-    d * c(history, token) / c(history), with Katz's Good-Turing factor d, if the n-gram has been seen; else alpha(history)
+    d * c(history, token) / c(history), with Katz's Good-Turing factor d for counts up to ``thin`` and none above, if the n-gram has been seen; else alpha(history)
     times the probability after the history without its first word, and so on down to single tokens, where it is (c + added) /
-    (N + added * (V + 1)), the last share being that of all unknown words. alpha(history) is exactly what the factors leave, divided by what the shorter history
+    (N + added * (V + 1)), the last share being that of all unknown words. As counts above ``thin`` stay whole, a history seen more often than that might be left without
+    mass for tokens that are new after it; so its c(history) is taken to be one more. alpha(history) is exactly what the seen tokens leave, divided by what the shorter history
     gives to tokens not seen after this one, so each history's probabilities add up to 1. The sums over a history's distinct tokens come
-    from the blocks: each n-gram is counted by the one block that a shard names. Alphas lie in a table partitioned by order, and join the
-    texts that back off, once for each text and history.
+    from the blocks: each n-gram is counted by the one block that a shard names. Only texts outside the training can back off, so sums go on only for histories that
+    such a text has. Alphas lie in a table partitioned by order, and join the texts that back off, once for each text and history.
 
     Tokens are lower-cased (A-Z) words and one end for each text, as 64-bit hashes. The input must give the same rows in the same order when
     read again, as Parquet files do. Defined cases: a null or empty text is its end alone; ``trains`` null counts as false; a null doc_id and
@@ -190,9 +197,10 @@ def katz_scores(docs: DataFrame, trains: Column, order: int = 2, added: float =
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shards = shards or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pick(docs.withColumn("trains", F.coalesce(trains, F.lit(False))), "doc_id", "text", "trains")
+    shards = shards or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_size(rows) // SHARD_BYTES))
     answers = written(_counts(rows, order, shards, thin), "gram-counts")
+    free_shuffles(spark)
     by_order = answers.where("block IS NULL").select(F.col("stats")[0].alias("order"), *[F.col("stats")[i + 1].alias(f"s{i}") for i in range(thin + 3)])
     stats = {r["order"]: [int(r[f"s{i}"]) for i in range(thin + 3)] for r in by_order.groupBy("order").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(thin + 3)]).collect()}
     total, kinds = stats.get(1, [0, 0])[:2]
@@ -234,13 +242,13 @@ def katz_scores(docs: DataFrame, trains: Column, order: int = 2, added: float =
         del stream, word, distinct, number
 
         probability = np.zeros(0)
-        below = np.zeros(0, np.int64)
+        below, below_wanted = np.zeros(0, np.int64), np.zeros(0, bool)
         known_score = np.zeros(len(grams.text))
         open_ = np.ones(len(grams.text), bool)
         levels, parts = [], []
         for k in range(1, order + 1):
             unique, first, which = np.unique(grams.hashes[k - 1], return_index=True, return_inverse=True)
-            owned, counts = np.zeros(len(unique), bool), np.zeros(len(unique), np.int64)
+            owned, wanted, counts = np.zeros(len(unique), bool), np.zeros(len(unique), bool), np.zeros(len(unique), np.int64)
             done = 0
             limits = np.array([(i << 64) // shards for i in range(1, shards)], dtype=np.uint64)
             cuts = np.concatenate(([0], np.searchsorted(unique, limits), [len(unique)]))
@@ -249,7 +257,8 @@ def katz_scores(docs: DataFrame, trains: Column, order: int = 2, added: float =
                 size = int(cuts[s + 1] - cuts[s])
                 flags = (size + 7) // 8
                 owned[done : done + size] = np.unpackbits(np.frombuffer(raw, np.uint8, flags), count=size)
-                counts[done : done + size], _ = _unpack_counts(raw, flags)
+                wanted[done : done + size] = np.unpackbits(np.frombuffer(raw, np.uint8, flags, flags), count=size)
+                counts[done : done + size], _ = _unpack_counts(raw, 2 * flags)
                 done += size
             c = counts[which]
             if k == 1:
@@ -261,14 +270,18 @@ def katz_scores(docs: DataFrame, trains: Column, order: int = 2, added: float =
                 history[1:] = below[:-1]
                 history[grams.begins] = texts_learned
                 d = taken.get(k, np.ones(thin + 2))
-                left = np.where(c > thin, c - d[thin + 1], c * d[np.minimum(c, thin)])
-                own = np.divide(left, history, out=np.zeros(len(c)), where=(c > 0) & (history > 0))
+                left = c * d[np.minimum(c, thin + 1)]
+                own = np.divide(left, history + (history > thin), out=np.zeros(len(c)), where=(c > 0) & (history > 0))
+                asked_for = np.ones(len(c), bool)
+                asked_for[1:] = below_wanted[:-1]
+                asked_for[grams.begins] = True
                 at = first[owned & (counts > 0)]
+                at = at[asked_for[at]]
                 context, index = np.unique(grams.histories[k - 1][at], return_inverse=True)
                 parts.append((k, context, np.bincount(index, own[at], len(context)), np.bincount(index, probability[at], len(context))))
                 levels.append((own, c > 0, history > 0))
                 probability = own
-            below = c
+            below, below_wanted = c, wanted[which]
         text = grams.text
         orders, contexts, owners = [], [], []
         for k in range(order, 1, -1):
