@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sparkweave.llm import registry
+from sparkweave.llm.storage import written
 
 from .test_pairs_and_copies import LOWER, shingles
 
@@ -177,18 +178,18 @@ def test_null_and_repeated_ids_keep_their_own_decisions(spark):
     identified = corpus_pipeline.identify(spark, docs, "")
     assert pairs(identified) == Counter((i, t) for i, t, *_ in rows)
 
-    unique = corpus_pipeline.drop_copies(spark, identified, "").localCheckpoint()
+    unique = written(corpus_pipeline.drop_copies(spark, identified, ""), "test")
     assert pairs(unique) == Counter({(i, t) for i, t, *_ in rows} - {(None, text["d"])})
 
-    apart = corpus_pipeline.drop_near_copies(spark, unique, "").localCheckpoint()
+    apart = written(corpus_pipeline.drop_near_copies(spark, unique, ""), "test")
     found = pairs(apart)
     assert sorted(found.values()) == [1] * 6
     assert {(7, text["b"]), (7, text["c"]), (8, text["d"]), (None, text["f"])} < set(found)
     assert sum(i == 9 for i, _ in found) == 1 and len({t for i, t in found if i is None}) == 2
 
     # Every row once more as it is: rows that share a doc_id are read one by one, none by the decision of another.
-    doubled = apart.unionAll(apart).localCheckpoint()
-    mixed = corpus_pipeline.mix(spark, doubled, "").localCheckpoint()
+    doubled = written(apart.unionAll(apart), "test")
+    mixed = written(corpus_pipeline.mix(spark, doubled, ""), "test")
     reads = Counter()
     for r in registry.mix_sources(doubled).collect():
         reads[r.doc_id] += r.copies
@@ -198,4 +199,38 @@ def test_null_and_repeated_ids_keep_their_own_decisions(spark):
 
     tokens = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     packed = corpus_pipeline.pack(spark, mixed, "").collect()
+    assert len({p.block for p in packed}) >= 1 and all(p.block >= 0 for p in packed)
     assert sum(p.length for p in packed) == sum(n * (len(tokens.encode(t, add_special_tokens=False).ids) + 1) for (_, t), n in taken.items())
+
+
+def test_training_order_reaches_the_packer(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["red", "green", "blue"], k=rng.randrange(5, 60))), "en", f"s{i % 3}", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    docs = written(docs, "test")
+    position = {(r.doc_id, n): p for r in registry.mix_sources(docs).collect() for n, p in enumerate(r.positions)}
+    path = str(tmp_path / "mixed")
+    corpus_pipeline.mix(spark, docs, "").write.parquet(path)
+    mixed = spark.read.parquet(path)
+    at = corpus_pipeline._in_blocks(mixed, rows_per_block=7)
+    blocks = Counter(r.block for r in at.select("block").collect())
+    assert max(blocks.values()) <= 7 and sum(blocks.values()) == len(position)
+    # Blocks are stretches of the order of positions.
+    want = [i for (i, _), _ in sorted(position.items(), key=lambda x: x[1])]
+    sums = defaultdict(list)
+    for r in at.select("doc_id", "block").collect():
+        sums[r.block].append(r.doc_id)
+    place = 0
+    for block in sorted(sums):
+        expected = Counter(want[place : place + len(sums[block])])
+        assert Counter(sums[block]) == expected
+        place += len(sums[block])
+    packed = corpus_pipeline.pack(spark, mixed, "")
+    assert set(packed.columns) >= {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "block"}
+
+
+def test_stages_of_an_empty_table_and_clashing_columns(spark, empty):
+    docs = empty
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = written(stage(spark, docs.selectExpr("*", "1 AS row", "2 AS position") if n < 4 else docs, ""), "test")
+        assert docs.count() == 0
