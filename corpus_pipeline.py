@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +15,7 @@ from sparkweave.llm.exact_dedup import exact_dedup
 from sparkweave.llm.language_id import fit_filters, identify_languages
 from sparkweave.llm.ngram_join import ngram_jaccard_join
 from sparkweave.llm.packing import pack_documents
-from sparkweave.llm.storage import new_path, written
+from sparkweave.llm.storage import clear, mark, new_path, written, written_since
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,6 +27,27 @@ LEAST_SCORE = 0.5
 LEAST_EXPLAINED, SLACK = 0.65, 3.3
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: The tables that the stage before worked with.
+_left: list[str] = []
+
+
+def _stage(function: Stage) -> Stage:
+    """As a stage begins, the result of the one before it has been written, so the tables that one worked with are deleted: no more than one stage's tables take up room."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        clear(spark, _left)
+        begun = mark()
+        found = function(spark, docs, sf_dir)
+        _left[:] = written_since(begun)
+        return found
+
+    return run_stage
+
+
+@_stage
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in learned languages and labels them with the one that explains most; rejects those without letters and those that no learned languages explain.
 
@@ -41,6 +66,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return written(pick(docs, *COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
 
 
+@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of documents with equal texts, the one with the smallest doc_id; a null doc_id only where there is no other, and one row of those that share a doc_id."""
     rows = _numbered(docs)
@@ -48,6 +74,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of documents that links join, the one with the smallest doc_id; a null doc_id only where there is no other.
 
@@ -60,23 +87,38 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents, so that the words of the sources stand in the target weights; a document comes once for each pass that takes it.
+    """Repeats or leaves out documents, so that the words of the sources stand in the target weights, and sorts them by training position; a document comes once for
+    each pass that takes it, at the position of that pass.
 
     Rows that share a doc_id, or have none, are read and repeated one by one.
     """
     rows = _numbered(docs)
-    copies = mix_sources(rows, carry=["row"]).where("copies > 0").select("row", "copies")
-    mixed = rows.join(copies, "row")
-    return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("pass")).select(*COLUMNS)
+    reads = mix_sources(rows, carry=["row"]).where("copies > 0").select("row", "positions")
+    passes = rows.join(reads, "row").select(*COLUMNS, "row", F.explode("positions").alias("position"))
+    return passes.orderBy("position", "row").select(*COLUMNS)
+
+
+def _in_blocks(docs: DataFrame, rows_per_block: int = 10_000) -> DataFrame:
+    """The documents with a column "block" that numbers stretches of the table's files in order: the files of a sorted table hold its rows in order."""
+    try:
+        docs.select("_metadata.file_name")
+    except AnalysisException:  # not a table of files
+        docs = written(docs, "pipeline-ordered")
+    part = F.regexp_extract("_metadata.file_name", r"part-([0-9]+)", 1).try_cast("long")
+    block = F.shiftleft(F.coalesce(part, F.lit(0)), 18) + F.floor(F.col("_metadata.row_index") / rows_per_block)
+    return docs.select("doc_id", "text", block.alias("block"))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of 2048-token sequences."""
+    """Pieces of 2048-token sequences. Documents that are near each other in training are packed together: ``block`` numbers stretches of
+    the training order, so the sequences are to be read in the order of ``block``."""
     import public_tokenizers
 
-    packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    packed = pack_documents(_in_blocks(docs), public_tokenizers.path("word_bpe_49k.json"), block="block")
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "block")
 
 
 STAGES = [
@@ -94,10 +136,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents, each to what the one before wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = None
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            path = new_path(spark, f"pipeline-{number}")
+            before, path = path, new_path(spark, f"pipeline-{number}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            clear(spark, [before] if before else [])
     return docs
