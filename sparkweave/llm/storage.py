@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,7 +67,9 @@ def text_size(docs: DataFrame, column: str = "text") -> int:
 def free_shuffles(spark: SparkSession) -> None:
     """Lets go of shuffle files that no plan needs any more, once a table has been written from them; else they stay until the driver happens to collect its garbage."""
     gc.collect()
+    time.sleep(1)  # Python's references to plans are handed back by a thread of their own
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
 
 
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
