@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.functions.geo import SET_RADIUS, UNITS, geohash, haversine, within
 
+# Fixed value: the latitude at which a square map ends.
 MAX_LATITUDE = 85.05112878
 
 
@@ -44,9 +45,13 @@ def hashes(members: DataFrame, length: int = 11) -> DataFrame:
 
 
 def add(members: DataFrame, new: DataFrame, mode: str = "any") -> DataFrame:
-    """The set with members added or moved: any, only new ones ("nx"), or only ones that exist ("xx"). Points beyond the latitudes that a square map has are left out."""
-    valid = new.where((F.abs("lat") <= MAX_LATITUDE) & (F.abs("lng") <= 180)).select("member", "lng", "lat")
-    both = members.select("member", F.struct("lng", "lat").alias("old")).join(valid.select("member", F.struct("lng", "lat").alias("fresh")), "member", "full")
+    """The set with members added or moved: any, only new ones ("nx"), or only ones that exist ("xx"). Points beyond the latitudes that a square map has are left out.
+    Of several points for one member the last stays, with "nx" the first, by a column "seq" or else in the order of the rows."""
+    valid = new.where((F.abs("lat") <= MAX_LATITUDE) & (F.abs("lng") <= 180))
+    valid = valid if "seq" in valid.columns else valid.withColumn("seq", F.monotonically_increasing_id())
+    choose = F.min_by if mode == "nx" else F.max_by
+    fresh = valid.groupBy("member").agg(choose(F.struct("lng", "lat"), F.col("seq")).alias("fresh"))
+    both = members.select("member", F.struct("lng", "lat").alias("old")).join(fresh, "member", "full")
     choice = {"any": F.coalesce("fresh", "old"), "nx": F.coalesce("old", "fresh"), "xx": F.when(F.col("old").isNotNull(), F.coalesce("fresh", "old"))}[mode]
     return both.withColumn("point", choice).where("point IS NOT NULL").select("member", "point.lng", "point.lat")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweave.functions.predicates import glob_to_regex
@@ -17,6 +17,11 @@ def live(kv: DataFrame, now: int) -> DataFrame:
     return kv.where((F.col("expire_at") == 0) | (F.col("expire_at") > now))
 
 
+def in_order(writes: DataFrame, sequence: str = "seq") -> DataFrame:
+    """Writes with their order: a column of that name, or else the order of the rows."""
+    return writes if sequence in writes.columns else writes.withColumn(sequence, F.monotonically_increasing_id())
+
+
 def _merged(kv: DataFrame, new: DataFrame, choice: Column) -> DataFrame:
     old = kv.select("key", F.struct("value", "expire_at").alias("old"))
     fresh = new.select("key", F.struct("value", "expire_at").alias("fresh"))
@@ -24,13 +29,14 @@ def _merged(kv: DataFrame, new: DataFrame, choice: Column) -> DataFrame:
 
 
 def put(kv: DataFrame, new: DataFrame) -> DataFrame:
-    """SET and MSET."""
-    return _merged(kv, new, F.coalesce("fresh", "old"))
+    """SET and MSET; of several values for one key the last (see in_order()) stays."""
+    return _merged(kv, last_of(in_order(new)), F.coalesce("fresh", "old"))
 
 
 def put_new(kv: DataFrame, new: DataFrame, now: int) -> DataFrame:
-    """SETNX: only keys that are not there."""
-    return _merged(live(kv, now), new, F.coalesce("old", "fresh"))
+    """SETNX: only keys that are not there; of several values for one key the first stays."""
+    first = in_order(new).groupBy("key").agg(F.min_by(F.struct("value", "expire_at"), "seq").alias("r")).select("key", "r.value", "r.expire_at")
+    return _merged(live(kv, now), first, F.coalesce("old", "fresh"))
 
 
 def last_of(writes: DataFrame, sequence: str = "seq") -> DataFrame:
@@ -81,32 +87,42 @@ def increase_float(kv: DataFrame, deltas: DataFrame, now: int) -> DataFrame:
     return both.select("key", F.when(F.col("delta").isNotNull(), number.cast("string")).otherwise(F.col("value")).alias("value"), F.coalesce("expire_at", F.lit(0)).cast("long").alias("expire_at"))
 
 
-def append(kv: DataFrame, parts: DataFrame) -> DataFrame:
-    """APPEND (key, part); a key that is new begins empty."""
-    both = kv.join(parts.select("key", "part"), "key", "full")
+def append(kv: DataFrame, parts: DataFrame, now: int) -> DataFrame:
+    """APPEND (key, part), in order; a key that is new or has expired begins empty, others keep their time limit."""
+    listed = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("part", F.lit("")).alias("part"))))
+    joined = in_order(parts).groupBy("key").agg(F.array_join(F.transform(listed, lambda x: x["part"]), "").alias("part"))
+    both = live(kv, now).join(joined, "key", "full")
     return both.select("key", F.concat(F.coalesce("value", F.lit("")), F.coalesce("part", F.lit(""))).alias("value"), F.coalesce("expire_at", F.lit(0)).cast("long").alias("expire_at"))
 
 
 def get_range(value: Column, start: int, end: int) -> Column:
-    """GETRANGE: both ends included, negative ones from the end."""
-    n = F.char_length(value)
+    """GETRANGE in bytes: both ends included, negative ones from the end. Bytes that are no whole characters are cut off as they are."""
+    data = value.cast("binary")
+    n = F.octet_length(value)
     low = F.lit(start) if start >= 0 else F.greatest(n + start, F.lit(0))
     high = F.lit(end) if end >= 0 else n + end
-    return F.substring(value, low + 1, F.greatest(F.least(high, n - 1) - low + 1, F.lit(0)))
+    return F.substring(data, low + 1, F.greatest(F.least(high, n - 1) - low + 1, F.lit(0))).cast("string")
 
 
 def set_range(value: Column, offset: int, part: str) -> Column:
-    """SETRANGE: what is missing before the offset becomes zero characters."""
-    padded = F.rpad(value, offset, "\0") if offset else F.lit("")
-    return F.concat(padded, F.lit(part), F.substring(value, F.lit(offset + len(part) + 1), F.greatest(F.char_length(value) - offset - len(part), F.lit(0))))
+    """SETRANGE in bytes: what is missing before the offset becomes zero bytes."""
+    data, size = value.cast("binary"), len(part.encode())
+    head = F.rpad(F.substring(data, F.lit(1), F.lit(offset)), F.lit(offset), F.lit(b"\0")) if offset else F.lit(b"")
+    tail = F.substring(data, F.lit(offset + size + 1), F.greatest(F.octet_length(value) - offset - size, F.lit(0)))
+    return F.concat(head, F.lit(part.encode()), tail).cast("string")
+
+
+def rename(kv: DataFrame, old: str, new: str, now: int) -> DataFrame:
+    """The value under another key, with its time limit; that key's own value goes. KeyError if there is no such key or it has expired."""
+    moved = live(kv, now).where(F.col("key") == old).withColumn("key", F.lit(new))
+    if moved.isEmpty():
+        raise KeyError(old)
+    return kv if old == new else kv.where(~F.col("key").isin(old, new)).unionByName(moved)
 
 
-def rename(kv: DataFrame, old: str, new: str) -> DataFrame:
-    """The value under another key, whose own value goes."""
-    moved = kv.where(F.col("key") == old).withColumn("key", F.lit(new))
-    present = F.broadcast(moved.select(F.lit(True).alias("__moved")))
-    rest = kv.where(F.col("key") != old).join(present, F.col("key") == new, "left").where("__moved IS NULL").drop("__moved")
-    return rest.unionByName(moved)
+def random_key(kv: DataFrame, now: int) -> DataFrame:
+    """One row with a key that has not expired, the first in order; none if there is none."""
+    return live(kv, now).select("key").orderBy("key").limit(1)
 
 
 def prefix_scan(kv: DataFrame, prefix: str, now: int, limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -134,8 +150,12 @@ def exists(kv: DataFrame, keys: DataFrame, now: int) -> DataFrame:
 
 
 def get_and_set(kv: DataFrame, new: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
-    """GETSET: the values that were there, and the table with the new ones."""
-    return get(kv, new, now), put(kv, new)
+    """GETSET: the values that were there, and the table with the new ones. Of several writes to one key each finds the value of the one before."""
+    ordered = in_order(new)
+    before = ordered.withColumns({"__n": F.row_number().over(each := Window.partitionBy("key").orderBy("seq")), "__before": F.lag("value").over(each)})
+    held = live(kv, now).select("key", F.col("value").alias("__old"))
+    found = before.join(held, "key", "left").select("key", F.when(F.col("__n") == 1, F.col("__old")).otherwise(F.col("__before")).alias("value"))
+    return found, put(kv, ordered)
 
 
 def expire_time(kv: DataFrame, now: int) -> DataFrame:

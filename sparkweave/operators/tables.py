@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkweave.scratch import scratch
+
 
 def _struct(df: DataFrame, name: str) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
@@ -26,16 +28,29 @@ def insert_or_ignore(df: DataFrame, new: DataFrame, key: str, sequence: str) ->
     return both.select(F.coalesce("old", "fresh").alias("r")).select("r.*")
 
 
-def upsert(df: DataFrame, new: DataFrame, key: str, assign: Mapping[str, Column | None], sequence: str) -> DataFrame:
-    """INSERT ... ON CONFLICT (key) DO UPDATE: columns of ``assign`` get the new row's value (None) or an expression over it. Rows apply in order, so the last decides."""
-    ordered = new.groupBy(key).agg(F.min_by(F.struct(*df.columns), sequence).alias("first"), F.max_by(F.struct(*df.columns), sequence).alias("last"), F.count(F.lit(1)).alias("__n")).withColumnRenamed(key, "__k")
+def upsert(df: DataFrame, new: DataFrame, key: str, assign: Mapping[str, str | None], sequence: str) -> DataFrame:
+    """INSERT ... ON CONFLICT (key) DO UPDATE: columns of ``assign`` get the new row's value (None) or that of a SQL expression over ``base``, the row that is there, and
+    ``last``, the new one, such as "base.v + last.v". Rows apply one after the other."""
+    rows = new.groupBy(key)
+    if any(text is not None for text in assign.values()):
+        # Each row sees what the one before left, so a key's new rows are folded in their order.
+        listed = F.array_sort(F.collect_list(F.struct(F.col(sequence).alias("__at"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))))
+        grouped = rows.agg(F.transform(listed, lambda x: x["row"]).alias("__rows")).withColumnRenamed(key, "__k")
+        both = df.select(F.col(key).alias("__k"), _struct(df, "old")).join(grouped, "__k", "full")
+        kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        fields = []
+        for c in df.columns:
+            text = f"base.`{c}`" if c == key or c not in assign else f"last.`{c}`" if assign[c] is None else f"CAST({assign[c]} AS {kinds[c]})"
+            fields.append(f"'{c}', {text}")
+        merged = f"aggregate(CASE WHEN old IS NULL THEN slice(__rows, 2, size(__rows)) ELSE __rows END, coalesce(old, __rows[0]), (base, last) -> named_struct({', '.join(fields)}))"
+        return both.select(F.expr(f"CASE WHEN __rows IS NULL THEN old ELSE {merged} END").alias("r")).select("r.*")
+    ordered = rows.agg(F.min_by(F.struct(*df.columns), sequence).alias("first"), F.max_by(F.struct(*df.columns), sequence).alias("last"), F.count(F.lit(1)).alias("__n")).withColumnRenamed(key, "__k")
     both = df.select(F.col(key).alias("__k"), _struct(df, "old")).join(ordered, "__k", "full")
     base = both.withColumn("base", F.coalesce("old", "first")).withColumn("__conflict", F.col("last").isNotNull() & (F.col("old").isNotNull() | (F.col("__n") > 1)))
     out = []
     for c in df.columns:
         if c in assign and c != key:
-            new_value = F.col(f"last.`{c}`") if assign[c] is None else assign[c]
-            out.append(F.when(F.col("__conflict"), new_value).otherwise(F.col(f"base.`{c}`")).alias(c))
+            out.append(F.when(F.col("__conflict"), F.col(f"last.`{c}`")).otherwise(F.col(f"base.`{c}`")).alias(c))
         else:
             out.append(F.col(f"base.`{c}`").alias(c))
     return base.select(*out)
@@ -103,9 +118,12 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataF
 
 
 def number_rows(df: DataFrame, by: Sequence[str], start: int = 1, name: str = "id") -> DataFrame:
-    """AUTOINCREMENT in the order of ``by``. Consecutive numbers need one order over all rows: ranges are numbered by themselves and moved by what comes before."""
-    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__p", F.spark_partition_id())
-    local = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*by)))
-    sizes = local.groupBy("__p").agg(F.max("__n").alias("__size"))
+    """AUTOINCREMENT in the order of ``by``. Consecutive numbers need one order over all rows: ranges are sorted and written once, numbered by themselves and moved by what comes
+    before. The numbers of the ranges come from the files that hold them, so both readings agree."""
+    path = scratch(df.sparkSession, "ranges")
+    df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__p", F.spark_partition_id()).write.parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
+    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__size"))
     offsets = sizes.select("__p", (F.coalesce(F.sum("__size").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__off"))
+    local = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*by)))
     return local.join(F.broadcast(offsets), "__p").withColumn(name, (F.col("__n") + F.col("__off") + start - 1).cast("long")).drop("__p", "__n", "__off")

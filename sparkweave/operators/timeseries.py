@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: grids with more buckets than this are not filled.
 MAX_GRID = 100_000
 
 
@@ -93,16 +94,20 @@ def state(df: DataFrame, field: str, value: str, measures: Sequence[str], by: Se
 
 def fill(buckets: DataFrame, width: int, value: str, how: str = "null", constant: float = 0.0, start: int | None = None, end: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """One row for each bucket of the grid from start to end, by default from the first to the last one there is, with NaN, a constant, the previous value or a straight
-    line in the empty ones. How "none", or a grid of over MAX_GRID buckets, leaves the rows as they are.
+    line in the empty ones. How "none" leaves the rows as they are, and so do grids of over MAX_GRID buckets, group by group; a null in ``by`` is a group of its own.
     """
     if how == "none":
         return buckets
     limits = buckets.groupBy(*by).agg(F.min("bucket").alias("__a"), F.max("bucket").alias("__z"))
     low = F.lit(start - start % width) if start is not None else F.col("__a")
     high = F.lit(end) if end is not None else F.col("__z") + width
-    grid = limits.select(*by, low.alias("__low"), high.alias("__high")).where(f"(__high - __low) / {width} <= {MAX_GRID} AND __high > __low")
-    grid = grid.select(*by, F.explode(F.sequence(F.col("__low"), F.col("__high") - 1, F.lit(width))).alias("bucket"))
-    filled = grid.join(buckets, [*by, "bucket"], "left")
+    limits = limits.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], low.alias("__low"), high.alias("__high"), ((high - low) / width > MAX_GRID).alias("__large"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(f"__by{i}").eqNullSafe(buckets[c])
+    grid = limits.where("NOT __large AND __high > __low").withColumn("__bucket", F.explode(F.sequence(F.col("__low"), F.col("__high") - 1, F.lit(width))))
+    names = [F.col(f"__by{i}").alias(c) for i, c in enumerate(by)]
+    filled = grid.join(buckets, same & (F.col("__bucket") == buckets["bucket"]), "left").select(*names, F.col("__bucket").alias("bucket"), *[c for c in buckets.columns if c not in (*by, "bucket")])
     ordered = Window.partitionBy(*by).orderBy("bucket")
     before, after = ordered.rowsBetween(Window.unboundedPreceding, 0), ordered.rowsBetween(0, Window.unboundedFollowing)
     here, nan = F.col(value), F.lit(float("nan"))
@@ -120,8 +125,10 @@ def fill(buckets: DataFrame, width: int, value: str, how: str = "null", constant
         new = F.coalesce(here, line, nan)
     else:
         raise ValueError("how must be none, null, value, previous or linear")
-    others = [F.coalesce(c, F.lit(0)).alias(c) if c == "count" else F.col(c) for c in buckets.columns if c not in (*by, "bucket", value)]
-    return filled.select(*by, "bucket", new.alias(value), *others)
+    others = [c for c in buckets.columns if c not in (*by, "bucket", value)]
+    done = filled.select(*by, "bucket", new.alias(value), *[F.coalesce(c, F.lit(0)).alias(c) if c == "count" else F.col(c) for c in others])
+    large = buckets.join(limits.where("__large"), same, "left_semi")
+    return done.unionByName(large.select(*by, "bucket", value, *others))
 
 
 def downsample(df: DataFrame, width: int, value: str, how: str, by: Sequence[str] = (), ts: str = "ts") -> DataFrame:

@@ -324,6 +324,21 @@ _register_fill("previous", f"coalesce({_P}, -999)")
 _register_fill("linear", f"coalesce(v, {_P} + (bucket - {_GP}) / (({_GP.replace('last_value', 'first_value').replace('UNBOUNDED PRECEDING AND CURRENT ROW', 'CURRENT ROW AND UNBOUNDED FOLLOWING')}) - {_GP}) * (({_P.replace('last_value', 'first_value').replace('UNBOUNDED PRECEDING AND CURRENT ROW', 'CURRENT ROW AND UNBOUNDED FOLLOWING')}) - {_P}), -999)")
 
 
+@register(
+    "ts_fill_long_gap",
+    """WITH b AS (SELECT event_type, (epoch_us(ts) // 1000 - (epoch_us(ts) // 1000) % 3600000) * CASE WHEN event_type = 'click' THEN 1000000 ELSE 1 END AS bucket, count(value) AS count FROM events GROUP BY 1, 2),
+    l AS (SELECT event_type, min(bucket) AS a, max(bucket) AS z FROM b GROUP BY event_type),
+    g AS (SELECT event_type, unnest(range(a, z + 3600000, 3600000)) AS bucket FROM l WHERE (z + 3600000 - a) / 3600000 <= 100000)
+    SELECT g.event_type, g.bucket, coalesce(b.count::DOUBLE, -1) AS v FROM g LEFT JOIN b ON g.event_type IS NOT DISTINCT FROM b.event_type AND g.bucket = b.bucket
+    UNION ALL SELECT event_type, bucket, count::DOUBLE FROM b WHERE event_type IN (SELECT event_type FROM l WHERE (z + 3600000 - a) / 3600000 > 100000)""",
+)
+def ts_fill_long_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One group's grid is far too long to be filled; its rows stay as they are."""
+    hours = T.tumbling(_events(spark, sf_dir), 3_600_000, "value", ["count"], ["event_type"])
+    apart = hours.select("event_type", (F.col("bucket") * F.when(F.col("event_type") == "click", 1_000_000).otherwise(1)).alias("bucket"), F.col("count").cast("double").alias("v"))
+    return T.fill(apart, 3_600_000, "v", "value", constant=-1.0, by=["event_type"])
+
+
 @register("ts_fill_none", f"SELECT bucket, round(v + 1e-9, 6) AS v, count FROM ({_HOURS})")
 def ts_fill_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(T.fill(_hours(spark, sf_dir), 600_000, "v", "none"))

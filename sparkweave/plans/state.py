@@ -102,9 +102,45 @@ def kv_incrbyfloat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return KV.increase_float(kv, deltas, NOW).select("key", F.round(F.col("value").cast("double"), 3).alias("value"))
 
 
-@register("kv_append", f"SELECT coalesce(o.key, n.key) AS key, coalesce(o.value, '') || coalesce(n.value, '') AS value FROM {_KV} o FULL JOIN {_NEW} n ON o.key = n.key")
+@register("kv_append", f"SELECT coalesce(o.key, n.key) AS key, coalesce(o.value, '') || coalesce(n.value, '') AS value, coalesce(o.expire_at, 0) AS expire_at FROM {_LIVE} o FULL JOIN {_NEW} n ON o.key = n.key")
 def kv_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return KV.append(_kv(spark, sf_dir), _new(spark, sf_dir).withColumnRenamed("value", "part")).select("key", "value")
+    return KV.append(_kv(spark, sf_dir), _new(spark, sf_dir).withColumnRenamed("value", "part"), NOW)
+
+
+def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch in which every key stands as often as a customer has orders, with expired keys among them."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.select(F.concat(F.lit("user:"), F.col("o_custkey").cast("string")).alias("key"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("value"), F.lit(0).cast("long").alias("expire_at"), F.col("o_orderkey").alias("seq"))
+
+
+_TWICE = "(SELECT 'user:' || o_custkey AS key, 'o' || o_orderkey AS value, 0::BIGINT AS expire_at, o_orderkey AS seq FROM orders)"
+_FOLDED = f"(SELECT key, arg_max(value, seq) AS last, arg_min(value, seq) AS first, string_agg(value, '' ORDER BY seq) AS every FROM {_TWICE} GROUP BY key)"
+
+
+@register("kv_mset_repeated", f"SELECT coalesce(n.key, o.key) AS key, coalesce(n.last, o.value) AS value, CASE WHEN n.key IS NULL THEN o.expire_at ELSE 0 END AS expire_at FROM {_KV} o FULL JOIN {_FOLDED} n ON o.key = n.key")
+def kv_mset_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return KV.put(_kv(spark, sf_dir), _twice(spark, sf_dir))
+
+
+@register("kv_setnx_repeated", f"SELECT coalesce(o.key, n.key) AS key, coalesce(o.value, n.first) AS value FROM {_LIVE} o FULL JOIN {_FOLDED} n ON o.key = n.key")
+def kv_setnx_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return KV.put_new(_kv(spark, sf_dir), _twice(spark, sf_dir), NOW).select("key", "value")
+
+
+@register("kv_append_repeated", f"SELECT coalesce(o.key, n.key) AS key, coalesce(o.value, '') || coalesce(n.every, '') AS value FROM {_LIVE} o FULL JOIN {_FOLDED} n ON o.key = n.key")
+def kv_append_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return KV.append(_kv(spark, sf_dir), _twice(spark, sf_dir).withColumnRenamed("value", "part"), NOW).select("key", "value")
+
+
+@register("kv_getset_repeated", f"SELECT n.key, CASE WHEN lag(n.value) OVER w IS NULL THEN o.value ELSE lag(n.value) OVER w END AS value FROM {_TWICE} n LEFT JOIN {_LIVE} o ON n.key = o.key WINDOW w AS (PARTITION BY n.key ORDER BY n.seq)")
+def kv_getset_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = KV.get_and_set(_kv(spark, sf_dir), _twice(spark, sf_dir), NOW)
+    return found
+
+
+@register("kv_random_key", f"SELECT min(key) AS key FROM {_LIVE}")
+def kv_random_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return KV.random_key(_kv(spark, sf_dir), NOW)
 
 
 @register(
@@ -126,7 +162,7 @@ def kv_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("kv_rename", f"SELECT CASE WHEN key = 'user:5' THEN 'user:7' ELSE key END AS key, value, expire_at FROM {_KV} WHERE key <> 'user:7'")
 def kv_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return KV.rename(_kv(spark, sf_dir), "user:5", "user:7")
+    return KV.rename(_kv(spark, sf_dir), "user:5", "user:7", NOW)
 
 
 @register("kv_prefix_scan", f"SELECT key, value FROM {_LIVE} WHERE starts_with(key, 'user:12') ORDER BY key LIMIT 5 OFFSET 2")
@@ -227,9 +263,9 @@ def queue_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.trim(_messages(spark, sf_dir), 100).select("id")
 
 
-@register("queue_publish", f"SELECT id, payload FROM {_MESSAGES} WHERE id <= 50 UNION ALL SELECT 50 + row_number() OVER (ORDER BY r_regionkey), r_name FROM region")
+@register("queue_publish", f"SELECT id, payload FROM {_MESSAGES} UNION ALL SELECT (SELECT max(id) FROM {_MESSAGES}) + row_number() OVER (ORDER BY r_regionkey), r_name FROM region")
 def queue_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = _messages(spark, sf_dir).where("id <= 50")
+    messages = _messages(spark, sf_dir)
     fresh = table(spark, sf_dir, "region").select(
         F.lit("tasks").alias("topic"), F.lit(5).alias("priority"), F.lit(None).cast("string").alias("key"), F.col("r_name").alias("payload"), F.lit(0).cast("long").alias("deliver_at"), F.lit(0).cast("long").alias("expire_at"), F.lit(0).alias("retries"), F.col("r_regionkey").alias("seq")
     )
@@ -244,13 +280,13 @@ def _stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows for keys that exist and keys that don't, some of them twice."""
+    """Rows for keys that exist and keys that don't, each of them three times."""
     key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").where("c_custkey <= 150").select((key % 60 * 3).alias("s_suppkey"), F.col("c_name").alias("s_name"), F.col("c_acctbal").alias("s_acctbal"), key.alias("seq"))
+    return table(spark, sf_dir, "customer").select((F.floor(key / 3) * 2).cast("long").alias("s_suppkey"), F.col("c_name").alias("s_name"), F.col("c_acctbal").alias("s_acctbal"), key.alias("seq"))
 
 
 _STOCK = "(SELECT s_suppkey, s_name, s_acctbal FROM supplier)"
-_ARRIVALS = "(SELECT c_custkey % 60 * 3 AS s_suppkey, c_name AS s_name, c_acctbal AS s_acctbal, c_custkey AS seq FROM customer WHERE c_custkey <= 150)"
+_ARRIVALS = "(SELECT c_custkey // 3 * 2 AS s_suppkey, c_name AS s_name, c_acctbal AS s_acctbal, c_custkey AS seq FROM customer)"
 _LAST = f"(SELECT s_suppkey, arg_max(s_name, seq) AS s_name, arg_max(s_acctbal, seq) AS s_acctbal, arg_min(s_name, seq) AS first_name, arg_min(s_acctbal, seq) AS first_bal, count(*) AS n FROM {_ARRIVALS} GROUP BY s_suppkey)"
 
 
@@ -273,6 +309,17 @@ def insert_on_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DML.upsert(_stock(spark, sf_dir), _arrivals(spark, sf_dir), "s_suppkey", {"s_acctbal": None}, "seq")
 
 
+@register(
+    "insert_on_conflict_adds",
+    f"""SELECT coalesce(o.s_suppkey, n.k) AS s_suppkey, round(coalesce(o.s_acctbal, 0) + coalesce(n.total, 0), 4) AS s_acctbal
+    FROM {_STOCK} o FULL JOIN (SELECT s_suppkey AS k, sum(s_acctbal) AS total FROM {_ARRIVALS} GROUP BY s_suppkey) n ON s_suppkey = k""",
+)
+def insert_on_conflict_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one key add up one after the other."""
+    merged = DML.upsert(_stock(spark, sf_dir), _arrivals(spark, sf_dir), "s_suppkey", {"s_acctbal": "base.s_acctbal + last.s_acctbal"}, "seq")
+    return merged.select("s_suppkey", F.round("s_acctbal", 4).alias("s_acctbal"))
+
+
 @register("insert_select", f"SELECT s_suppkey, s_name, s_acctbal FROM {_STOCK} UNION ALL SELECT s_suppkey + 100000, s_name, s_acctbal FROM {_STOCK} WHERE s_acctbal > 0")
 def insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     stock = _stock(spark, sf_dir)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkweave.functions import geo, predicates, vectors
-from sparkweave.operators import fulltext, fusion, geosets, graph, nearest, queue, relational, tables, timeseries
+from sparkweave.operators import fulltext, fusion, geosets, graph, keyvalue, nearest, queue, relational, tables, timeseries
 from sparkweave.sources import files
 
 
@@ -147,3 +147,47 @@ def test_line_protocol():
 
 def test_statements_are_split_outside_quotes():
     assert files.split_statements("a 'x;y' -- c;d\n; b /* ; */; ") == ["a 'x;y'", "b"]
+
+
+def test_key_value_batches_with_repeated_and_expired_keys(spark):
+    kv = spark.createDataFrame([("a", "1", 0), ("old", "x", 500), ("b", "2", 2000)], "key string, value string, expire_at long")
+    new = spark.createDataFrame([("a", "5", 0, 1), ("a", "6", 0, 2), ("c", "7", 0, 3), ("c", "8", 0, 4), ("old", "9", 0, 5)], "key string, value string, expire_at long, seq long")
+    assert sorted(rows(keyvalue.put(kv, new))) == [("a", "6", 0), ("b", "2", 2000), ("c", "8", 0), ("old", "9", 0)]
+    assert sorted(rows(keyvalue.put_new(kv, new, 1000))) == [("a", "1", 0), ("b", "2", 2000), ("c", "7", 0), ("old", "9", 0)]
+    parts = spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("old", "new", 3), ("b", "!", 4)], "key string, part string, seq long")
+    assert sorted(rows(keyvalue.append(kv, parts, 1000))) == [("a", "1yx", 0), ("b", "2!", 2000), ("old", "new", 0)]
+    found, _ = keyvalue.get_and_set(kv, new, 1000)
+    assert sorted(rows(found), key=str) == sorted([("a", "1"), ("a", "5"), ("c", None), ("c", "7"), ("old", None)], key=str)
+    assert sorted(rows(keyvalue.rename(kv, "b", "a", 1000))) == [("a", "2", 2000), ("old", "x", 500)]
+    for gone in ("old", "none"):
+        with pytest.raises(KeyError):
+            keyvalue.rename(kv, gone, "z", 1000)
+    assert rows(keyvalue.random_key(kv, 1000)) == [("a",)]
+
+
+def test_ranges_of_values_are_in_bytes(spark):
+    frame = spark.createDataFrame([("aéz",)], "v string")
+    assert rows(frame.select(keyvalue.get_range(F.col("v"), 0, 2), keyvalue.get_range(F.col("v"), -1, -1), keyvalue.set_range(F.col("v"), 1, "bc"))) == [("aé", "z", "abcz")]
+
+
+def test_members_added_twice_in_one_batch(spark):
+    held = spark.createDataFrame([("m", 1.0, 1.0)], "member string, lng double, lat double")
+    new = spark.createDataFrame([("m", 2.0, 2.0, 1), ("m", 3.0, 3.0, 2), ("n", 4.0, 4.0, 3), ("n", 5.0, 5.0, 4)], "member string, lng double, lat double, seq long")
+    assert sorted(rows(geosets.add(held, new))) == [("m", 3.0, 3.0), ("n", 5.0, 5.0)]
+    assert sorted(rows(geosets.add(held, new, "nx"))) == [("m", 1.0, 1.0), ("n", 4.0, 4.0)]
+
+
+def test_fill_keeps_long_grids_and_null_groups(spark):
+    data = [("long", 0, 1.0), ("long", 10_000_000, 2.0), (None, 0, 3.0), (None, 20, 4.0)]
+    buckets = spark.createDataFrame(data, "tag string, bucket long, v double")
+    found = rows(timeseries.fill(buckets, 10, "v", "value", constant=-1.0, by=["tag"]))
+    assert sorted(found, key=str) == sorted([*data, (None, 10, -1.0)], key=str)
+    alone = spark.createDataFrame([(0, 1.0), (10_000_000, 2.0)], "bucket long, v double")
+    assert sorted(rows(timeseries.fill(alone, 10, "v", "linear"))) == [(0, 1.0), (10_000_000, 2.0)]
+
+
+def test_upsert_folds_rows_in_order(spark):
+    held = spark.createDataFrame([(1, 10.0, "a")], "k long, v double, t string")
+    new = spark.createDataFrame([(1, 1.0, "x", 1), (1, 2.0, "y", 2), (1, 3.0, "z", 3), (2, 5.0, "p", 4), (2, 6.0, "q", 5)], "k long, v double, t string, seq long")
+    found = tables.upsert(held, new, "k", {"v": "base.v + last.v", "t": None}, "seq")
+    assert sorted(rows(found)) == [(1, 16.0, "z"), (2, 11.0, "q")]
