@@ -226,12 +226,13 @@ def bind_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders_and_customers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    orders = table(spark, sf_dir, "orders").where("o_custkey % 3 != 0").select("o_orderkey", F.col("o_custkey"))
-    customers = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name")
+    """Whole tables, with keys that only one side has and keys that are null: customer numbers are doubled, and orders of every third customer have none."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey")).alias("o_custkey"))
+    customers = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("c_custkey"), "c_name")
     return orders, customers
 
 
-_SIDES = "(SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 3 != 0) o {} JOIN (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0) c ON o_custkey = c_custkey"
+_SIDES = "(SELECT o_orderkey, CASE WHEN o_custkey % 3 != 0 THEN o_custkey END AS o_custkey FROM orders) o {} JOIN (SELECT c_custkey * 2 AS c_custkey, c_name FROM customer) c ON o_custkey = c_custkey"
 
 
 def _register_join(kind: str, sql: str) -> None:
@@ -258,14 +259,14 @@ def join_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "join_null_safe",
-    "SELECT a.c_custkey AS left_key, b.c_custkey AS right_key FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer WHERE c_custkey <= 60) a "
-    "JOIN (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer WHERE c_custkey > 60 AND c_custkey <= 120) b ON a.k IS NOT DISTINCT FROM b.k",
+    "SELECT a.k, customers, suppliers FROM (SELECT nullif(c_nationkey, 3) AS k, count(*) AS customers FROM customer GROUP BY 1) a "
+    "JOIN (SELECT nullif(s_nationkey, 3) AS k, count(*) AS suppliers FROM supplier GROUP BY 1) b ON a.k IS NOT DISTINCT FROM b.k",
 )
 def join_null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").withColumn("k", F.nullif("c_nationkey", F.lit(3)))
-    left = customers.where("c_custkey <= 60").select(F.col("c_custkey").alias("left_key"), "k")
-    right = customers.where("c_custkey > 60 AND c_custkey <= 120").select(F.col("c_custkey").alias("right_key"), F.col("k").alias("k2"))
-    return R.join(left, right, [("k", "k2")], null_safe=True).select("left_key", "right_key")
+    """Whole tables, grouped by the key before the join, so that a hot key or null meets once."""
+    left = table(spark, sf_dir, "customer").groupBy(F.nullif("c_nationkey", F.lit(3)).alias("k")).agg(F.count(F.lit(1)).alias("customers"))
+    right = table(spark, sf_dir, "supplier").groupBy(F.nullif("s_nationkey", F.lit(3)).alias("k2")).agg(F.count(F.lit(1)).alias("suppliers"))
+    return R.join(left, right, [("k", "k2")], null_safe=True).select("k", "customers", "suppliers")
 
 
 @register("join_semi", "SELECT s_suppkey, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49)")

@@ -193,17 +193,17 @@ def geo_search_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geosets.search_box(_places(spark, sf_dir), -10, 35, 40, 70, 25).select("member", "lng", "lat")
 
 
-@register("geo_fence", f"SELECT n.member, CASE WHEN lat IS NOT NULL THEN {_TO_BERLIN} <= 4000000 END AS inside FROM (SELECT c_name || CASE WHEN c_custkey % 5 = 0 THEN '?' ELSE '' END AS member FROM customer WHERE c_custkey <= 40) n LEFT JOIN {_PLACES} p ON n.member = p.member")
+@register("geo_fence", f"SELECT n.member, CASE WHEN lat IS NOT NULL THEN {_TO_BERLIN} <= 4000000 END AS inside FROM (SELECT c_name || CASE WHEN c_custkey % 5 = 0 THEN '?' ELSE '' END AS member FROM customer) n LEFT JOIN {_PLACES} p ON n.member = p.member")
 def geo_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "customer").where("c_custkey <= 40").select(F.concat("c_name", F.when(F.col("c_custkey") % 5 == 0, "?").otherwise("")).alias("member"))
+    names = table(spark, sf_dir, "customer").select(F.concat("c_name", F.when(F.col("c_custkey") % 5 == 0, "?").otherwise("")).alias("member"))
     return geosets.fence(_places(spark, sf_dir), names, 13.405, 52.52, 4000, "km")
 
 
-@register("geo_distance_pairs", f"SELECT a.member AS a, b.member AS b, round(({_sql_haversine('a.lat', 'a.lng', 'b.lat', 'b.lng', G.SET_RADIUS)}) / 1609.344, 6) AS distance FROM {_PLACES} a JOIN {_PLACES} b ON b.id = a.id + 1 WHERE a.id <= 50")
+@register("geo_distance_pairs", f"SELECT a.member AS a, b.member AS b, round(({_sql_haversine('a.lat', 'a.lng', 'b.lat', 'b.lng', G.SET_RADIUS)}) / 1609.344, 6) AS distance FROM {_PLACES} a JOIN {_PLACES} b ON b.id = a.id + 1")
 def geo_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = _places(spark, sf_dir)
     follows = places.select((F.col("id") - 1).alias("id"), F.col("member").alias("b"))
-    pairs = places.where("id <= 50").select("id", F.col("member").alias("a")).join(follows, "id").select("a", "b")
+    pairs = places.select("id", F.col("member").alias("a")).join(follows, "id").select("a", "b")
     return geosets.distances(places, pairs, "mi").select("a", "b", F.round("distance", 6).alias("distance"))
 
 
@@ -228,12 +228,12 @@ def geo_hash_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New places for some customers of the first hundred and for names that are new; some beyond the map."""
+    """New places for every second customer, half of them under names that are new; some beyond the map."""
     moved = F.when(F.col("id") % 4 == 0, F.concat("member", F.lit("+"))).otherwise(F.col("member"))
-    return _places(spark, sf_dir).where("id <= 100 AND id % 2 = 0").select(moved.alias("member"), (F.col("lng") / 2).alias("lng"), (F.col("lat") * 1.2).alias("lat"))
+    return _places(spark, sf_dir).where("id % 2 = 0").select(moved.alias("member"), (F.col("lng") / 2).alias("lng"), (F.col("lat") * 1.2).alias("lat"))
 
 
-_MOVES = f"(SELECT * FROM (SELECT CASE WHEN id % 4 = 0 THEN member || '+' ELSE member END AS member, lng / 2 AS lng, lat * 1.2 AS lat FROM {_PLACES} WHERE id <= 100 AND id % 2 = 0) WHERE abs(lat) <= 85.05112878)"
+_MOVES = f"(SELECT * FROM (SELECT CASE WHEN id % 4 = 0 THEN member || '+' ELSE member END AS member, lng / 2 AS lng, lat * 1.2 AS lat FROM {_PLACES} WHERE id % 2 = 0) WHERE abs(lat) <= 85.05112878)"
 _ADDS = {"any": "coalesce(n.{c}, o.{c})", "nx": "coalesce(o.{c}, n.{c})", "xx": "coalesce(n.{c}, o.{c})"}
 
 
@@ -278,12 +278,15 @@ scored AS (SELECT p.doc_id, p.term, greatest(ln(1 + (n_docs - df + 0.5) / (df +
 _RANKED = "GROUP BY doc_id ORDER BY sum(score) DESC, doc_id LIMIT {n}"
 
 
-_indexes: dict[tuple[str, str], fulltext.TextIndex] = {}
+_indexes: dict[tuple[str, ...], fulltext.TextIndex] = {}
 
 
 def _index(spark: SparkSession, sf_dir: str) -> fulltext.TextIndex:
-    """The index of the documents, which the first search of a session writes and all later ones read."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The index of the documents, which the first search of a session writes and later ones read, as long as the files and their times are the same."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}" for s in system.listStatus(hadoop)]
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(files))
     if key not in _indexes:
         _indexes[key] = fulltext.TextIndex.build(table(spark, sf_dir, "documents")).written(scratch(spark, "index"))
     return _indexes[key]
@@ -603,13 +606,13 @@ def fusion_graph_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph over documents: each leads to two others."""
-    key = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("src"))
-    n = 200
-    return key.where(F.col("src") < n).select("src", F.explode(F.array((F.col("src") * 2 + 1) % n, (F.col("src") * 3 + 2) % n)).alias("dst"))
+    """A graph over all documents: each leads to two others."""
+    docs = table(spark, sf_dir, "documents")
+    every = docs.select(F.col("doc_id").alias("src")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n"))))
+    return every.select("src", F.explode(F.array((F.col("src") * 2 + 1) % F.col("n"), (F.col("src") * 3 + 2) % F.col("n"))).alias("dst"))
 
 
-_LINKS = "(SELECT doc_id AS src, unnest([(doc_id * 2 + 1) % 200, (doc_id * 3 + 2) % 200]) AS dst FROM documents WHERE doc_id < 200)"
+_LINKS = "(SELECT doc_id AS src, unnest([(doc_id * 2 + 1) % (SELECT count(*) FROM documents), (doc_id * 3 + 2) % (SELECT count(*) FROM documents)]) AS dst FROM documents)"
 
 
 @register("fusion_graph_text", _INDEX.replace("WITH split", "WITH RECURSIVE split") + f", walk AS (SELECT 5::BIGINT AS id, 0 AS depth UNION SELECT e.dst, depth + 1 FROM walk JOIN {_LINKS} e ON walk.id = e.src WHERE depth < 5), around AS (SELECT id AS doc_id, min(depth) AS depth FROM walk GROUP BY id HAVING id <> 5), hits AS (SELECT doc_id, sum(score) AS s FROM scored WHERE term IN ('er', 'ed') GROUP BY doc_id ORDER BY s DESC, doc_id LIMIT (SELECT greatest(10 * count(*), 100) FROM around)) SELECT doc_id, round(s, 6) AS score, depth FROM hits JOIN around USING (doc_id) ORDER BY s DESC, doc_id LIMIT 10")
