@@ -32,21 +32,31 @@ class Table:
     foreign: tuple[tuple[str, str, str], ...] = ()
     auto: str | None = None
     comments: Mapping[str, str] = field(default_factory=dict)
+    #: The folders that hold the rows; none for rows that the caller gave, and for a definition that has no rows yet.
+    paths: tuple[str, ...] = ()
+    defined: bool = False
 
 
 class Database:
-    """Tables and views by name. A changed table is written below a folder and read back, so plans don't grow with the number of statements and a lost executor costs no more than the statement at hand.
+    """Tables, views and indexes by name. Rows lie in folders that never change: an INSERT writes the new rows alone and adds their folder to the table's, other changes write
+    the table anew, so plans don't grow with the number of statements and a lost executor costs no more than the statement at hand.
 
-    A transaction is a copy of the dictionary of tables, for rows never change in place.
+    A transaction is a copy of the dictionaries. Folders that no table and no open transaction names any more stay for results that still read them, until vacuum() deletes them.
     """
 
+    #: A table in more folders than this is written anew by the next INSERT.
+    most_folders = 64
+
     def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame] | None = None):
         self.spark = spark
         documents.register(spark)
         self.tables: dict[str, Table] = {k: Table(v) for k, v in (tables or {}).items()}
         self.views: dict[str, str] = {}
-        self._begun: tuple[dict[str, Table], dict[str, str]] | None = None
-        self._savepoints: dict[str, tuple[dict[str, Table], dict[str, str]]] = {}
+        #: (table, columns, whether unique) by name.
+        self.indexes: dict[str, tuple[str, tuple[str, ...], bool]] = {}
+        self._begun: tuple[dict, dict, dict] | None = None
+        self._savepoints: dict[str, tuple[dict, dict, dict]] = {}
+        self._written: set[str] = set()
 
     # ------------------------------------------------------------ entry
 
@@ -67,7 +77,7 @@ class Database:
         handler = {
             "CREATE": self._create, "DROP": self._drop, "ALTER": self._alter, "TRUNCATE": self._truncate, "INSERT": self._insert, "REPLACE": self._insert, "UPDATE": self._update,
             "DELETE": self._delete, "SHOW": self._show, "DESCRIBE": self._describe, "DESC": self._describe, "EXPLAIN": self._explain, "ANALYZE": self._analyze, "COMMENT": self._comment,
-            "BEGIN": self._begin, "START": self._begin, "COMMIT": self._commit, "ROLLBACK": self._rollback, "SAVEPOINT": self._savepoint, "RELEASE": self._release,
+            "BEGIN": self._begin, "START": self._begin, "COMMIT": self._commit, "ROLLBACK": self._rollback, "SAVEPOINT": self._savepoint, "RELEASE": self._release, "VACUUM": lambda _: self._done(self.vacuum()),
         }.get(first)
         if handler is None:
             raise DialectError(f"no statement begins with {first}")
@@ -111,10 +121,38 @@ class Database:
     def _expression(self, tokens: list[Token]) -> Column:
         return F.expr(rewrite(tokens))
 
-    def _stored(self, name: str, rows: DataFrame) -> None:
+    def _written_to(self, name: str, rows: DataFrame) -> str:
         path = scratch(self.spark, f"table-{name}")
         rows.write.parquet(path)
-        self.tables[name] = replace(self._table(name), rows=self.spark.read.schema(rows.schema).parquet(path))
+        self._written.add(path)
+        return path
+
+    def _held(self, table: Table, paths: tuple[str, ...]) -> Table:
+        return replace(table, rows=self.spark.read.schema(table.rows.schema).parquet(*paths), paths=paths)
+
+    def _stored(self, name: str, rows: DataFrame) -> None:
+        """The table with these rows instead of its own."""
+        self.tables[name] = self._held(self._table(name), (self._written_to(name, rows),))
+
+    def _appended(self, name: str, new: DataFrame) -> None:
+        """The table with more rows; only these are written, unless the table has come apart into many folders."""
+        table = self._table(name)
+        if (not table.paths and not table.defined) or len(table.paths) >= self.most_folders:
+            self._stored(name, table.rows.unionByName(new))
+        else:
+            self.tables[name] = self._held(table, (*table.paths, self._written_to(name, new)))
+
+    def vacuum(self) -> int:
+        """Deletes the folders that no table, open transaction or savepoint names; how many there were. Results of earlier statements that haven't been read can't be read any more."""
+        states = [self.tables, *[s[0] for s in (self._begun, *self._savepoints.values()) if s]]
+        used = {path for tables in states for table in tables.values() for path in table.paths}
+        gone = self._written - used
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in gone:
+            folder = hadoop(path)
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        self._written -= gone
+        return len(gone)
 
     def _done(self, count: int = 0) -> DataFrame:
         return self.spark.createDataFrame([(count,)], "affected long")
@@ -131,12 +169,17 @@ class Database:
             self.spark.sql(self.views[name])
             return self._done()
         if "INDEX" in words[:3]:
-            if "UNIQUE" in words[:3]:
-                at = words.index("ON")
-                table = self._table(name_of(tokens[at + 1]))
-                columns = tuple(name_of(p[0]) for p in split_at(tokens[at + 3 : closing(tokens, at + 2)]))
-                self.tables[name_of(tokens[at + 1])] = self._valid(replace(table, unique=(*table.unique, columns)))
-            return self._done()  # partitioning and file statistics take the place of other indexes
+            at = words.index("ON")
+            table, of = self._table(name_of(tokens[at + 1])), name_of(tokens[at + 1])
+            open_ = find(tokens, "USING", start=at)
+            open_ = open_ + 2 if open_ > 0 and tokens[at + 2].word == "USING" else at + 2
+            columns = tuple(name_of(p[0]) for p in split_at(tokens[open_ + 1 : closing(tokens, open_)]))
+            unique = "UNIQUE" in words[:3]
+            if unique:
+                self.tables[of] = self._valid(replace(table, unique=(*table.unique, columns)))
+            # An index is a name and, if unique, a constraint; partitioning and file statistics take the place of its structure.
+            self.indexes[name_of(tokens[at - 1])] = (of, columns, unique)
+            return self._done()
         if "TABLE" not in words[:3]:
             raise DialectError("CREATE of TABLE, VIEW or INDEX")
         at = words.index("TABLE") + 1
@@ -193,7 +236,7 @@ class Database:
                 elif w == "REFERENCES":
                     foreign.append((name, name_of(part[i + 1]), name_of(part[i + 3])))
         rows = self.spark.createDataFrame([], ", ".join(columns))
-        return Table(rows, key, tuple(not_null), tuple(unique), tuple(checks), defaults, tuple(foreign), auto)
+        return Table(rows, key, tuple(not_null), tuple(unique), tuple(checks), defaults, tuple(foreign), auto, defined=True)
 
     def _valid(self, table: Table) -> Table:
         """The table, if its rows keep its constraints. Foreign keys are tested against the tables as they are."""
@@ -205,22 +248,49 @@ class Database:
                 raise DML.ConstraintError(f"FOREIGN KEY {column}")
         return table
 
+    def _valid_new(self, table: Table, new: DataFrame) -> None:
+        """Tests rows that are to be added: by themselves, and their unique keys and foreign keys against what is there."""
+        checks = {n: F.expr(t) for n, t in table.checks}
+        if table.not_null or table.unique or checks:
+            DML.checked(new, table.not_null, table.unique, checks)
+        for columns in table.unique:
+            known = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)]
+            same = [f"k{i}" for i in range(len(columns))]
+            if not new.select(*known).join(table.rows.select(*known), same, "left_semi").isEmpty():
+                raise DML.ConstraintError(f"UNIQUE {', '.join(columns)}")
+        for column, parent, key in table.foreign:
+            held = self._table(parent).rows
+            if self._table(parent) is table:
+                held = held.unionByName(new)
+            if not DML.orphans(new, column, held, key).isEmpty():
+                raise DML.ConstraintError(f"FOREIGN KEY {column}")
+
     def _drop(self, tokens: list[Token]) -> DataFrame:
         words = [t.word for t in tokens]
-        if words[1] == "INDEX":
-            return self._done()
         optional = words[2:4] == ["IF", "EXISTS"]
         name = name_of(tokens[4 if optional else 2])
+        if words[1] == "INDEX":
+            if name in self.indexes:
+                table, columns, unique = self.indexes.pop(name)
+                if unique and table in self.tables:
+                    left = list(self.tables[table].unique)
+                    left.remove(columns)
+                    self.tables[table] = replace(self.tables[table], unique=tuple(left))
+            elif not optional:
+                raise DialectError(f"no index {name}")
+            return self._done()
         held = self.views if words[1] == "VIEW" else self.tables
         if name not in held and not optional:
             raise DialectError(f"no {words[1].lower()} {name}")
         held.pop(name, None)
+        if words[1] == "TABLE":
+            self.indexes = {k: v for k, v in self.indexes.items() if v[0] != name}
         return self._done()
 
     def _truncate(self, tokens: list[Token]) -> DataFrame:
         name = name_of(tokens[-1])
         table = self._table(name)
-        self.tables[name] = replace(table, rows=self.spark.createDataFrame([], table.rows.schema))
+        self.tables[name] = replace(table, rows=self.spark.createDataFrame([], table.rows.schema), paths=(), defined=True)
         return self._done()
 
     def _alter(self, tokens: list[Token]) -> DataFrame:
@@ -255,7 +325,8 @@ class Database:
                 changed = replace(table, rows=rows.withColumn(column, F.expr(f"try_cast(`{column}` AS {type_of(rest[-1].text.lower())})")))
         else:
             raise DialectError(f"no ALTER TABLE {words[0]}")
-        self.tables[name] = self._valid(changed)
+        changed = self._valid(changed)
+        self.tables[name] = changed if changed.rows is table.rows else replace(changed, paths=(), defined=False)
         return self._done()
 
     # ------------------------------------------------------------ changes
@@ -320,23 +391,41 @@ class Database:
             if action[0].word == "NOTHING":
                 rows = DML.insert_or_ignore(table.rows, new, key, _SEQUENCE)
             else:
-                rows = DML.upsert(table.rows, new, key, self._assignments(action[2:]), _SEQUENCE)
+                rows = DML.upsert(table.rows, new, key, self._assignments(action[2:], name, table.rows.columns), _SEQUENCE)
         elif mode == "replace":
             rows = DML.replace_into(table.rows, new, key, _SEQUENCE)
         elif mode == "ignore":
             rows = DML.insert_or_ignore(table.rows, new, key, _SEQUENCE)
         else:
-            rows = table.rows.unionByName(new.drop(_SEQUENCE))
+            self._valid_new(table, new.drop(_SEQUENCE))
+            self._appended(name, new.drop(_SEQUENCE))
+            return self._projected(new.orderBy(_SEQUENCE).drop(_SEQUENCE), returning)
         self._valid(replace(table, rows=rows))
         self._stored(name, rows)
         return self._projected(new.orderBy(_SEQUENCE).drop(_SEQUENCE), returning)
 
-    def _assignments(self, tokens: list[Token]) -> dict[str, Column | None]:
-        """Of DO UPDATE SET: None for EXCLUDED.column."""
-        out: dict[str, Column | None] = {}
+    @staticmethod
+    def _assignments(tokens: list[Token], table: str, columns: Sequence[str]) -> dict[str, str | None]:
+        """Of DO UPDATE SET: None for EXCLUDED.column alone, else an expression in which EXCLUDED is ``last`` and the table's own columns are those of ``base``."""
+        out: dict[str, str | None] = {}
         for part in split_at(tokens):
             value = part[2:]
-            out[name_of(part[0])] = None if value[0].word == "EXCLUDED" else F.expr(rewrite(value))
+            if len(value) == 3 and value[0].word == "EXCLUDED" and name_of(value[2]) == name_of(part[0]):
+                out[name_of(part[0])] = None
+                continue
+            named: list[Token] = []
+            for i, t in enumerate(value):
+                qualified = i > 0 and value[i - 1].text == "."
+                before_dot = i + 1 < len(value) and value[i + 1].text == "."
+                if before_dot and t.word == "EXCLUDED":
+                    named.append(Token("last"))
+                elif before_dot and t.is_name and name_of(t) == table:
+                    named.append(Token("base"))
+                elif t.is_name and not qualified and not before_dot and name_of(t) in columns:
+                    named += [Token("base"), Token("."), t]
+                else:
+                    named.append(t)
+            out[name_of(part[0])] = rewrite(named)
         return out
 
     def _update(self, tokens: list[Token]) -> DataFrame:
@@ -362,13 +451,20 @@ class Database:
             rows = DML.update_first(table.rows, test, assign, key, [*ordering, F.col(key)], int(tokens[limit_at + 1].text))
         else:
             rows = DML.update(table.rows, test, assign)
-        self._valid(replace(table, rows=rows))
+        self._valid(self._touched(replace(table, rows=rows), set(assign)))
         before = table.rows
         self._stored(name, rows)
         # The rows are named by the test as it held before the update.
         changed = DML.update(before.where(F.coalesce(test, F.lit(False))), F.lit(True), assign) if limit_at < 0 else rows.exceptAll(before)
         return self._projected(changed, returning)
 
+    @staticmethod
+    def _touched(table: Table, columns: set[str]) -> Table:
+        """The table with the constraints alone that a change of these columns can break. A check may name any column."""
+        return replace(
+            table, not_null=tuple(c for c in table.not_null if c in columns), unique=tuple(u for u in table.unique if columns & set(u)), foreign=tuple(f for f in table.foreign if f[0] in columns)
+        )
+
     def _pair(self, tokens: list[Token], mine: set[str], theirs: set[str]) -> tuple[str, str]:
         """The columns of mine.a = theirs.b."""
         for part in re.split(r"\bAND\b", " ".join(t.text for t in tokens), flags=re.IGNORECASE):
@@ -394,7 +490,7 @@ class Database:
         pair = self._pair(condition, {name, name_of(tokens[2]) if tokens[2].is_name else name}, {name_of(named[0]), name_of(named[-1])})
         assign = {name_of(p[2] if p[1].text == "." else p[0]): name_of(p[-1]) for p in parts}
         rows = DML.update_from(table.rows, source.withColumn(_SEQUENCE, F.monotonically_increasing_id()), pair, assign, _SEQUENCE)
-        self._valid(replace(table, rows=rows))
+        self._valid(self._touched(replace(table, rows=rows), set(assign)))
         self._stored(name, rows)
         return self._projected(rows, returning)
 
@@ -425,8 +521,11 @@ class Database:
     # ------------------------------------------------------------ metadata and transactions
 
     def _show(self, tokens: list[Token]) -> DataFrame:
-        names = [(n,) for n in sorted({*self.tables, *self.views})] if tokens[1].word == "TABLES" else []
-        return self.spark.createDataFrame(names, "name string")
+        if tokens[1].word == "TABLES":
+            return self.spark.createDataFrame([(n,) for n in sorted({*self.tables, *self.views})], "name string")
+        of = name_of(tokens[-1]) if len(tokens) > 2 else None
+        rows = [(name, table, ",".join(columns), unique) for name, (table, columns, unique) in sorted(self.indexes.items()) if of in (None, table)]
+        return self.spark.createDataFrame(rows, "index_name string, table_name string, columns string, is_unique boolean")
 
     def _describe(self, tokens: list[Token]) -> DataFrame:
         table = self._table(name_of(tokens[-1]))
@@ -447,10 +546,13 @@ class Database:
     def _analyze(self, tokens: list[Token]) -> DataFrame:
         return aggregates.analyze(self._table(name_of(tokens[-1])).rows)
 
+    def _state(self) -> tuple[dict, dict, dict]:
+        return dict(self.tables), dict(self.views), dict(self.indexes)
+
     def _begin(self, tokens: list[Token]) -> DataFrame:
         if self._begun is not None:
             raise DialectError("a transaction is open")
-        self._begun = (dict(self.tables), dict(self.views))
+        self._begun = self._state()
         return self._done()
 
     def _commit(self, tokens: list[Token]) -> DataFrame:
@@ -470,13 +572,13 @@ class Database:
         else:
             state, self._begun = self._begun, None
             self._savepoints.clear()
-        self.tables, self.views = dict(state[0]), dict(state[1])
+        self.tables, self.views, self.indexes = (dict(x) for x in state)
         return self._done()
 
     def _savepoint(self, tokens: list[Token]) -> DataFrame:
         if self._begun is None:
             raise DialectError("no transaction is open")
-        self._savepoints[name_of(tokens[-1])] = (dict(self.tables), dict(self.views))
+        self._savepoints[name_of(tokens[-1])] = self._state()
         return self._done()
 
     def _release(self, tokens: list[Token]) -> DataFrame:

@@ -120,3 +120,23 @@ def test_definitions_and_transactions(db):
         db.run("DROP TABLE nothing")
     with pytest.raises(DialectError):
         db.run("SELECT id FROM users WHERE id = ?")
+
+
+def test_inserts_append_and_vacuum_deletes_what_nothing_names(spark):
+    d = Database(spark)
+    d.run("CREATE TABLE t (id INT PRIMARY KEY, v INT)")
+    for i in range(3):
+        d.run(f"INSERT INTO t VALUES ({i}, {i * i})")
+    assert len(d.tables["t"].paths) == 3 and d.vacuum() == 0
+    with pytest.raises(ConstraintError):
+        d.run("INSERT INTO t VALUES (1, 5)")
+    d.run("BEGIN")
+    d.run("UPDATE t SET v = 7 WHERE id = 1")
+    assert d.vacuum() == 0  # a rollback needs the folders
+    d.run("COMMIT")
+    assert d.vacuum() == 3
+    assert sorted(rows(d.run("SELECT id, v FROM t"))) == [(0, 0), (1, 7), (2, 4)]
+    d.most_folders = 2
+    d.run("INSERT INTO t VALUES (5, 5)")
+    d.run("INSERT INTO t VALUES (6, 6)")
+    assert len(d.tables["t"].paths) == 1 and d.run("SELECT COUNT(*) FROM t").first()[0] == 5
