@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,11 +43,23 @@ def tokens(text: Column, analyzer: str = "standard") -> Column:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """``postings``: term, doc_id, tf, positions; ``lengths``: doc_id, dl. Both are tables that a caller may write, bucketed by term or not."""
+    """``postings``: term, doc_id, tf, positions, dl (the document's length); ``lengths``: doc_id, dl; ``terms_of``: term, df; ``totals``: one row with n_docs and avgdl.
+
+    All are tables that a caller may write. A search then reads the postings and frequencies of its terms and one row of totals, and nothing that grows with the documents.
+    """
 
     postings: DataFrame
     lengths: DataFrame
     fields: DataFrame
+    terms_of: DataFrame
+    totals: DataFrame
+    source: Sequence[str] = ("text",)
+    key: str = "doc_id"
+
+    @staticmethod
+    def _of(postings: DataFrame, lengths: DataFrame, fields: DataFrame, source: Sequence[str], key: str) -> TextIndex:
+        terms_of = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return TextIndex(postings, lengths, fields, terms_of, lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")), tuple(source), key)
 
     @staticmethod
     def build(docs: DataFrame, fields: Sequence[str] = ("text",), key: str = "doc_id") -> TextIndex:
@@ -55,34 +67,56 @@ class TextIndex:
         text = F.concat_ws(" ", *[F.col(f) for f in sorted(fields)])
         split = docs.select(F.col(key).alias("doc_id"), tokens(text).alias("tokens"))
         lengths = split.select("doc_id", F.size("tokens").alias("dl"))
-        each = split.select("doc_id", F.posexplode("tokens").alias("position", "term"))
-        postings = each.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-        return TextIndex(postings, lengths, docs.withColumnRenamed(key, "doc_id"))
+        each = split.select("doc_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("position", "term"))
+        postings = each.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"), F.first("dl").alias("dl"))
+        return TextIndex._of(postings, lengths, docs.withColumnRenamed(key, "doc_id"), fields, key)
 
     def statistics(self) -> DataFrame:
         """One row: the number of documents and their mean length."""
-        return self.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+        return self.totals
 
     def written(self, folder: str) -> TextIndex:
-        """The index as tables below a folder, for many searches: postings partitioned by a hash of the term, so that a search reads a few files."""
+        """The index as tables below a folder, for many searches: postings by ranges of (term, document), so that a search reads a few files and a frequent term is spread over several."""
         spark = self.postings.sparkSession
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.postings.repartitionByRange(parts, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+        self.postings.repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
-        return TextIndex(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), self.fields)
+        read = spark.read.parquet
+        whole = TextIndex._of(read(f"{folder}/postings"), read(f"{folder}/lengths"), self.fields, self.source, self.key)
+        whole.terms_of.repartitionByRange(parts, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
+        whole.totals.write.mode("overwrite").parquet(f"{folder}/totals")
+        return replace(whole, terms_of=read(f"{folder}/terms"), totals=read(f"{folder}/totals"))
+
+    def without(self, keys: DataFrame) -> TextIndex:
+        """The index without documents (doc_id); the postings of the others are taken over, their texts are not read again."""
+        gone = keys.select("doc_id").distinct()
+        keep = lambda df: df.join(gone, "doc_id", "left_anti")
+        return TextIndex._of(keep(self.postings), keep(self.lengths), keep(self.fields), self.source, self.key)
+
+    def with_documents(self, docs: DataFrame) -> TextIndex:
+        """The index with documents added, or put in the place of those with their keys; only their texts are read."""
+        new = TextIndex.build(docs, self.source, self.key)
+        rest = self.without(new.lengths)
+        names = [c for c in rest.fields.columns if c in new.fields.columns]
+        return TextIndex._of(
+            rest.postings.unionByName(new.postings), rest.lengths.unionByName(new.lengths), rest.fields.select(*names).unionByName(new.fields.select(*names)), self.source, self.key
+        )
 
     def _hits(self, times: Mapping[str, int]) -> DataFrame:
         """Postings of the terms of a query, with the number of times each counts. The terms are literals, so the filter goes before the grouping of postings."""
         terms = sorted(times)
         if not terms:
-            return self.postings.where(F.lit(False)).withColumn("times", F.lit(1))
+            return self.postings.where(F.lit(False)).withColumns({"times": F.lit(1), "df": F.lit(0).cast("long")})
         weight = F.element_at(F.create_map(*[F.lit(x) for t in terms for x in (t, times[t])]), F.col("term"))
-        return self.postings.where(F.col("term").isin(terms)).withColumn("times", weight)
-
-    def _weighted(self, hits: DataFrame, few_terms: bool = True) -> DataFrame:
-        """BM25 of each (doc_id, term) among hits (postings and times)."""
-        frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        wide = hits.join(F.broadcast(frequency) if few_terms else frequency, "term").join(self.lengths, "doc_id").crossJoin(F.broadcast(self.statistics()))
+        # As many rows as the query has terms.
+        frequency = F.broadcast(self.terms_of.where(F.col("term").isin(terms)))
+        return self.postings.where(F.col("term").isin(terms)).withColumn("times", weight).join(frequency, "term")
+
+    def _weighted(self, hits: DataFrame) -> DataFrame:
+        """BM25 of each (doc_id, term) among hits (postings and times, with df where it is known)."""
+        if "df" not in hits.columns:
+            hits = hits.join(self.terms_of, "term")
+        wide = hits.crossJoin(F.broadcast(self.statistics()))
         idf = F.greatest(F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
         tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         return wide.select("doc_id", "term", "positions", (F.col("times") * idf * tf).alias("score"))
@@ -102,10 +136,12 @@ class TextIndex:
         return self._ranked(self._weighted(self._hits(Counter(self._tokens(text)))), limit)
 
     def _expanded(self, test: Column, limit: int | None) -> DataFrame:
-        return self._ranked(self._weighted(self.postings.where(test).withColumn("times", F.lit(1)), few_terms=False), limit)
+        """Terms that pass a test, which runs once for each term and not for each posting."""
+        chosen = self.terms_of.where(test)
+        return self._ranked(self._weighted(self.postings.join(chosen, "term").withColumn("times", F.lit(1))), limit)
 
     def dictionary(self) -> DataFrame:
-        return self.postings.select("term").distinct()
+        return self.terms_of.select("term")
 
     def fuzzy(self, text: str, max_distance: int = 1, limit: int | None = 10) -> DataFrame:
         """Terms within an edit distance of any token; each counts once."""
@@ -164,7 +200,9 @@ class TextIndex:
         if not weights:
             return self.search(text, limit)
         candidates = self.search(text, max(3 * limit, 30)).select("doc_id")
-        frequency = self._hits(Counter(self._tokens(text))).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.first("times").alias("times"))
+        times = Counter(self._tokens(text))
+        weight = F.element_at(F.create_map(*[F.lit(x) for t in sorted(times) for x in (t, times[t])]), F.col("term")) if times else F.lit(1)
+        frequency = self.terms_of.where(F.col("term").isin(sorted(times))).withColumn("times", weight)
         chosen = self.fields.join(candidates, "doc_id", "left_semi")
         sides = []
         for name, weight in weights.items():
@@ -183,8 +221,8 @@ class TextIndex:
 
     def suggest(self, prefix: str, limit: int = 10) -> DataFrame:
         """Terms with a prefix by the number of documents that have them."""
-        near = self.postings.where(F.startswith("term", F.lit(prefix.lower())))
-        return near.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq")).orderBy(F.col("doc_freq").desc(), "term").limit(limit)
+        near = self.terms_of.where(F.startswith("term", F.lit(prefix.lower())))
+        return near.select("term", F.col("df").alias("doc_freq")).orderBy(F.col("doc_freq").desc(), "term").limit(limit)
 
     def sorted_by(self, text: str, field: str, descending: bool = False, limit: int = 10) -> DataFrame:
         """Matches in the order of a field: numbers before texts."""

@@ -28,6 +28,11 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _by_source(steps: DataFrame) -> DataFrame:
+    """The edges of a traversal, without repetitions, written once and sorted by where they begin, so that a round reads the row groups of its vertices and shuffles no more than it needs."""
+    return _kept(steps.sortWithinPartitions("src"))
+
+
 def neighbors(edges: DataFrame, vertex: int, direction: str = "out") -> DataFrame:
     return _oriented(edges, direction).where(F.col("src") == vertex).select(F.col("dst").alias("id")).distinct()
 
@@ -41,6 +46,7 @@ def bfs(edges: DataFrame, start: int, max_depth: int, direction: str = "out", al
     if allow is not None and vertices is not None:
         passing = vertices.where(allow(F.col("id"))).select("id")
         steps = steps.join(passing.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    steps = _by_source(steps)
     frontier = seen = spark.createDataFrame([(start, 0)], "id long, depth int")
     for depth in range(1, max_depth + 1):
         reached = frontier.join(steps, frontier["id"] == steps["src"]).select(F.col("dst").alias("id")).distinct()
@@ -58,7 +64,7 @@ def k_hop(edges: DataFrame, start: int, hops: int, direction: str = "out") -> Da
 def shortest_path(edges: DataFrame, start: int, end: int, max_depth: int) -> DataFrame:
     """One row with the vertices of a path with the fewest edges, the smallest of equal ones; none if there is no path."""
     spark = edges.sparkSession
-    steps = edges.select("src", "dst").distinct()
+    steps = _by_source(edges.select("src", "dst").distinct())
     frontier = spark.createDataFrame([(start, [start])], "id long, path array<bigint>")
     found, seen = frontier, frontier.select("id")
     for _ in range(max_depth):
@@ -75,7 +81,7 @@ def weighted_path(edges: DataFrame, start: int, end: int, max_depth: int, weight
     """One row with the cheapest path of at most ``max_depth`` edges; weights that are missing or no numbers are 1."""
     spark = edges.sparkSession
     cost = F.lit(1.0) if weight is None else F.coalesce(weight.try_cast("double"), F.lit(1.0))
-    steps = edges.select("src", "dst", cost.alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w"))
+    steps = _by_source(edges.select("src", "dst", cost.alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w")))
     best = spark.createDataFrame([(start, 0.0, [start])], "id long, cost double, path array<bigint>")
     for _ in range(max_depth):
         longer = best.join(steps, best["id"] == steps["src"]).select(F.col("dst").alias("id"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
@@ -98,7 +104,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, round
     ids = vertices.select("id")
     total = ids.agg(F.count(F.lit(1)).alias("total"))
     outward = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    steps = edges.join(outward, "src").groupBy("src", "dst").agg((F.count(F.lit(1)) / F.first("out")).alias("share"))
+    steps = _by_source(edges.join(outward, "src").groupBy("src", "dst").agg((F.count(F.lit(1)) / F.first("out")).alias("share")))
     ranks = ids.crossJoin(F.broadcast(total)).select("id", (F.lit(1.0) / F.col("total")).alias("rank"))
     for n in range(1, rounds + 1):
         given = ranks.join(steps, ranks["id"] == steps["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))

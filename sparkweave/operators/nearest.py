@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkweave.functions.vectors import distance, literal, norm
+from sparkweave.functions.vectors import METRICS, MISMATCH, distance, literal, norm
 
 
 def with_distance(df: DataFrame, column: str, query: Sequence[float], metric: str = "cosine", name: str = "distance") -> DataFrame:
@@ -21,12 +24,65 @@ def nearest(df: DataFrame, column: str, query: Sequence[float] | Column, k: int,
     return scored.orderBy("distance", key).limit(k)
 
 
+#: Most values (queries times dimensions) that a set of queries may have to be handed to every task.
+MOST_QUERY_VALUES = 1 << 24
+
+
+def _gaps(metric: str, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Distances of all rows from all queries; NaN where there is none."""
+    if metric == "l2":
+        # Differences, not the expanded square, which loses digits for near vectors.
+        return np.stack([np.sqrt(((rows - q) ** 2).sum(1)) for q in queries], 1) if len(queries) else np.zeros((len(rows), 0))
+    dots = rows @ queries.T
+    if metric == "dot":
+        return -dots
+    lengths = np.sqrt((rows**2).sum(1))[:, None] * np.sqrt((queries**2).sum(1))[None, :]
+    return 1 - np.divide(dots, lengths, out=np.full_like(dots, np.nan), where=lengths > 0)
+
+
 def nearest_to_each(df: DataFrame, column: str, queries: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", query_key: str = "query_id", query_column: str = "query") -> DataFrame:
-    """The k nearest rows of each query. The queries are a stated, small set and go to all tasks, which each keep k rows for a query before these meet (Spark limits the groups of a
-    row_number below its exchange)."""
-    pairs = df.select(F.col(key), F.col(column).alias("__v")).join(F.broadcast(queries.select(query_key, F.col(query_column).alias("__q"))))
-    scored = pairs.select(query_key, key, distance(F.col("__v"), F.col("__q"), metric).alias("distance"))
+    """The k nearest rows of each query. The queries are a stated set whose size is checked; they go to all tasks, which take the distances of a batch of rows as one product of
+    matrices and hand on k rows for each query before these meet (Spark limits the groups of a row_number below its exchange). Rows of another length than a query's come last, at
+    the distance that stands for that; null vectors are left out."""
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    sizes = queries.where(F.col(query_column).isNotNull()).agg(F.coalesce(F.sum(F.size(query_column)), F.lit(0))).first()[0]
+    if sizes > MOST_QUERY_VALUES:
+        raise ValueError(f"{sizes} values of queries are more than {MOST_QUERY_VALUES}; ask in several sets")
+    asked = queries.where(F.col(query_column).isNotNull()).select(query_key, F.col(query_column).cast("array<double>").alias("q")).toArrow()
+    by_length: dict[int, list[int]] = {}
+    vectors = asked.column("q").to_pylist()
+    for i, v in enumerate(vectors):
+        by_length.setdefault(len(v), []).append(i)
+    matrices = {n: (np.array(at), np.array([vectors[i] for i in at], float)) for n, at in by_length.items()}
+    names = asked.column(query_key).combine_chunks()
+    shared = df.sparkSession.sparkContext.broadcast((matrices, names, len(vectors)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrices, names, count = shared.value
+        for big in batches:
+            for batch in (big.slice(i, 2048) for i in range(0, big.num_rows, 2048)):
+                batch = batch.filter(batch.column("v").is_valid())
+                if not batch.num_rows or not count:
+                    continue
+                lists = batch.column("v")
+                values, offsets = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+                lengths = np.diff(offsets)
+                gaps = np.full((batch.num_rows, count), MISMATCH)
+                for n, (at, matrix) in matrices.items():
+                    rows = np.flatnonzero(lengths == n)
+                    if len(rows):
+                        gaps[np.ix_(rows, at)] = _gaps(metric, values[offsets[rows][:, None] + np.arange(n)].reshape(len(rows), n), matrix)
+                keys = batch.column("k")
+                # Ties at the k-th distance stay, so that the keys can decide among them.
+                limit = np.partition(np.where(np.isnan(gaps), np.inf, gaps), min(k, len(gaps)) - 1, axis=0)[min(k, len(gaps)) - 1]
+                row, query = np.nonzero(gaps <= limit)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), keys.take(pa.array(row)), pa.array(gaps[row, query])], names=["q", "k", "distance"])
+
+    kinds = T.StructType([T.StructField("q", queries.schema[query_key].dataType), T.StructField("k", df.schema[key].dataType), T.StructField("distance", T.DoubleType())])
+    scored = df.select(F.col(key).alias("k"), F.col(column).cast("array<double>").alias("v")).mapInArrow(run, kinds)
     ranked = Window.partitionBy(query_key).orderBy("distance", key)
+    scored = scored.select(F.col("q").alias(query_key), F.col("k").alias(key), "distance")
     return scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select(query_key, key, "distance", "rank")
 
 
@@ -43,6 +99,7 @@ def recommend(df: DataFrame, column: str, positive: DataFrame, negative: DataFra
         target = target.crossJoin(mean_vector(negative, column).withColumnRenamed("mean", "__n"))
         target = target.withColumn("__p", F.when(F.size("__n") > 0, F.zip_with("__p", "__n", lambda a, b: a - b)).otherwise(F.col("__p")))
     length = norm(F.col("__p"))
+    # Fixed value: shorter vectors stay as they are.
     target = target.select(F.when(length > 1e-10, F.transform("__p", lambda x: x / length)).otherwise(F.col("__p")).alias("__q"))
     scored = df.crossJoin(F.broadcast(target)).withColumn("distance", distance(F.col(column), F.col("__q"), metric)).drop("__q")
     return scored.where("distance IS NOT NULL").orderBy("distance", key).limit(k)
@@ -61,6 +118,7 @@ def discover(df: DataFrame, column: str, target: Sequence[float], context: Seque
 def quantization(df: DataFrame, column: str) -> DataFrame:
     """One row: per dimension the smallest and largest value, one apart where they are equal."""
     each = df.select(F.posexplode(column).alias("i", "v")).groupBy("i").agg(F.min(F.col("v").cast("double")).alias("lo"), F.max(F.col("v").cast("double")).alias("hi"))
+    # Fixed value: a range of less than a 32-bit epsilon counts as none.
     each = each.withColumn("hi", F.when(F.abs(F.col("hi") - F.col("lo")) <= 1.1920929e-07, F.col("lo") + 1).otherwise(F.col("hi")))
     rows = F.array_sort(F.collect_list(F.struct("i", "lo", "hi")))
     return each.agg(F.transform(rows, lambda x: x["lo"]).alias("lo"), F.transform(rows, lambda x: x["hi"]).alias("hi"))

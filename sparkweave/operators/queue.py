@@ -78,10 +78,19 @@ def describe(messages: DataFrame, now: int) -> DataFrame:
     )
 
 
-def describe_group(messages: DataFrame, states: DataFrame) -> DataFrame:
-    """Per consumer (topic, consumer, acked, pending): how many messages are out, and how many lie after the last confirmed one."""
-    ahead = states.join(messages.select("topic", "id"), "topic", "left").groupBy("topic", "consumer").agg(F.first(F.size("pending")).alias("pending"), F.count_if(F.col("id") > F.col("acked")).alias("lag"))
-    return ahead
+def describe_group(messages: DataFrame, states: DataFrame, width: int = 10_000) -> DataFrame:
+    """Per consumer (topic, consumer, acked, pending): how many messages are out, and how many lie after the last confirmed one.
+
+    Messages are counted by topic and stretches of ``width`` numbers first, so a consumer meets counts, and single messages only in the stretch that its position lies in.
+    """
+    stretch = F.floor(F.col("id") / width).cast("long")
+    counts = messages.groupBy("topic", stretch.alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
+    at = states.select("topic", "consumer", "acked", F.size("pending").alias("pending"), F.floor(F.col("acked") / width).cast("long").alias("__at"))
+    later = at.join(counts, (at["topic"] == counts["topic"]) & (counts["__s"] > F.col("__at"))).groupBy(at["topic"], "consumer").agg(F.sum("__n").alias("__later"))
+    inside = at.join(messages.select(F.col("topic").alias("__t"), "id", stretch.alias("__s")), (F.col("topic") == F.col("__t")) & (F.col("__s") == F.col("__at")) & (F.col("id") > F.col("acked")))
+    near = inside.groupBy("topic", "consumer").agg(F.count(F.lit(1)).alias("__near"))
+    lag = F.coalesce("__later", F.lit(0)) + F.coalesce("__near", F.lit(0))
+    return at.join(later, ["topic", "consumer"], "left").join(near, ["topic", "consumer"], "left").select("topic", "consumer", "pending", lag.alias("lag"))
 
 
 def reset(state: DataFrame, offset: int) -> DataFrame:

@@ -162,9 +162,14 @@ def text_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are replaced are found by their new words and no longer by their old ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    new = docs.where("doc_id % 100 = 7").select("doc_id", F.lit("zyzzyva unheard words").alias("text"), F.lit(1).alias("seq"))
-    index = fulltext.TextIndex.build(DML.replace_into(docs, new, "doc_id", "seq"))
-    return index.search("zyzzyva", None).agg(F.count(F.lit(1)).alias("n"))
+    new = docs.where("doc_id % 100 = 7").select("doc_id", F.lit("zyzzyva unheard words").alias("text"))
+    return S._index(spark, sf_dir).with_documents(new).search("zyzzyva", None).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("text_delete", S._INDEX + "SELECT count(DISTINCT doc_id) AS n FROM postings WHERE term = 'license' AND doc_id % 2 = 1")
+def text_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id")
+    return S._index(spark, sf_dir).without(gone).search("license", None).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("text_whitespace", r"SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '\S+'), lambda x: x NOT IN (" + S._STOPS + r") AND strlen(x) <= 256))::INT AS n FROM documents")
