@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re._constants as ops
 import re._parser as parser
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -154,12 +154,17 @@ def _candidates(index: DataFrame, queries: dict[str, tuple[Clause, ...]]) -> Dat
     return lists.select(pairs.alias("p")).select("p.*").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
+#: Matches of one text that are worked off together. Arrays grow by copying, so a text's matches are cut into stretches of this many.
+STRETCH = 512
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, rank, kind, end) by code points: the pieces between matches, and the matches, give the positions."""
     between, matches = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     tested = matches if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     parts = F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("gap"), matches.alias("match"), tested.alias("tested"))
     kind = "array<struct<start:int,rank:int,kind:string,end:int>>"
+    taken = lambda x: F.length(x["gap"]) + F.length(x["match"])
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
@@ -167,8 +172,24 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         span = F.array(F.struct(start.alias("start"), F.lit(order).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(F.length(x["tested"]) >= rule.least, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
-    return F.when(F.rlike(text, F.lit(rule.pattern)), F.aggregate(parts, first, step, lambda s: s["spans"])).otherwise(F.array().cast(kind))
+    def of_stretch(stretch: Column, begin: Column) -> Column:
+        first = F.struct(begin.alias("at"), F.array().cast(kind).alias("spans"))
+        return F.aggregate(stretch, first, step, lambda s: s["spans"])
+
+    def every(p: Column) -> Column:
+        """Stretches of the parts, the code points before each of them, and the spans of all."""
+        stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / STRETCH).cast("int")), lambda i: F.slice(p, i * STRETCH + 1, F.lit(STRETCH)))
+        sizes = lambda c: F.transform(c, lambda s: F.aggregate(s, F.lit(0), lambda total, x: total + taken(x)))
+        starts = lambda z: F.aggregate(z, F.array(F.lit(0)), lambda before, n: F.concat(before, F.array(F.element_at(before, -1) + n)))
+        both = lambda c: F.arrays_zip(c.alias("s"), F.slice(starts(sizes(c)), F.lit(1), F.size(c)).alias("at"))
+        return _let(stretches, lambda c: F.flatten(F.transform(both(c), lambda z: of_stretch(z["s"], z["at"]))))
+
+    return F.when(F.rlike(text, F.lit(rule.pattern)), _let(parts, every)).otherwise(F.array().cast(kind))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: as the variable of a lambda, which nested lambdas don't compute again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, docs_per_segment: int = 50_000, broadcast_rows: int = 500_000) -> DataFrame:
