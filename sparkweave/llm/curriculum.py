@@ -53,6 +53,7 @@ def mix_sources(
     max_repeats: float = 3,
     slopes: Sequence[float] = SLOPES,
     rows_per_bucket: int = 1000,
+    buckets_per_stretch: int = 1000,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source), range-sorted by training position.
@@ -60,7 +61,7 @@ def mix_sources(
     Method. Every source's weight follows a schedule over training time; integrating it gives the source's cumulative token
     demand, scaled so that it ends at the source's target. A source is read pass after pass in an order fixed by a
     digest of doc_id, and each read begins at the time at which the inverted demand reaches the
-    words read before it. Cumulative sums go by (source, bucket of the digest), first over bucket totals and then within a bucket, so
+    words read before it. Cumulative sums go by (source, bucket of the digest), first over stretches of buckets, then over the buckets of a stretch and then within a bucket, so
     a source with a third of all rows spreads over as many tasks as its rows need.
 
     Results: doc_id, source, size (words), source_size, target, taken (words that the mix takes, repeats counted; the last
@@ -81,10 +82,14 @@ def mix_sources(
     buckets = max(1, -(-sized.count() // rows_per_bucket))
     sized = sized.withColumn("bucket", F.shiftright(F.col("key") * buckets, 32))
 
-    # The total over few rows: one for each source, or for each source and bucket.
-    per_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("before_bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)))
+    # Prefix sums go over stretches of buckets first and then within each, so that a hot source's buckets don't meet in one task.
+    earlier = lambda *keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket")).withColumn("stretch", F.floor(F.col("bucket") / buckets_per_stretch))
+    per_stretch = per_bucket.groupBy(F.col("source").alias("of_source"), F.col("stretch").alias("of_stretch")).agg(F.sum("in_bucket").alias("in_stretch"))
+    per_stretch = per_stretch.withColumn("before_stretch", F.coalesce(F.sum("in_stretch").over(earlier("of_source", by="of_stretch")), F.lit(0)))
+    per_bucket = per_bucket.withColumn("in_order", F.coalesce(F.sum("in_bucket").over(earlier("source", "stretch", by="bucket")), F.lit(0)))
+    per_bucket = per_bucket.join(per_stretch, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("stretch") == F.col("of_stretch")))
+    per_bucket = per_bucket.select("source", "bucket", (F.col("before_stretch") + F.col("in_order")).alias("before_bucket"))
     targets = source_targets(sized, weights, max_repeats)
     slope = F.element_at(F.array(*[F.lit(float(s)) for s in slopes]), (F.col("rank") % len(slopes) + 1).cast("int"))
     right = targets.withColumn("slope", slope).withColumnRenamed("source", "of_source")
