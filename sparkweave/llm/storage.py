@@ -51,10 +51,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return _paths[-1]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, so that a lost executor costs no more than the stage at hand."""
+#: Rows of a narrow table for each file.
+ROWS_PER_FILE = 250_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it back, so that a lost executor costs no more than the stage at hand. Where the number of ``rows`` is known,
+    it decides the number of files, so that small tables of many rounds don't come in as many files as there are partitions."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
