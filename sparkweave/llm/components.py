@@ -28,7 +28,7 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     """
     tidy = links.where("src IS NOT NULL AND dst IS NOT NULL AND src != dst")
     current = written(tidy.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "links")
-    most = current.count()  # no step adds links
+    most = current.count()  # steps make about as many links as there were, or fewer
     for _ in range(max_rounds):
         following = written(_stars(current), "links", rows=most)
         moved = following.exceptAll(current).limit(1).count() or current.exceptAll(following).limit(1).count()
