@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +22,7 @@ STOP_WORDS = (
 _SINGLE = r"[㐀-䶿一-鿿豈-﫿぀-ヿ가-힯]"
 TOKEN = r"[\p{L}\p{N}_]+"
 
-ANALYZERS = ("standard", "whitespace")
+ANALYZERS = ("standard", "whitespace", "words")
 
 K1, B = 1.2, 0.75
 LONGEST_BYTES = 256
@@ -33,6 +33,8 @@ def tokens(text: Column, analyzer: str = "standard") -> Column:
     low = F.lower(text)
     if analyzer == "whitespace":
         words = F.regexp_extract_all(low, F.lit(r"(?U)\S+"), F.lit(0))
+    elif analyzer == "words":  # ideographs stay together, for texts that functions.segment has put spaces into
+        words = F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
     elif analyzer == "standard":
         spaced = F.when(F.rlike(low, F.lit(_SINGLE)), F.regexp_replace(low, f"({_SINGLE})", " $1 ")).otherwise(low)
         words = F.regexp_extract_all(spaced, F.lit(TOKEN), F.lit(0))
@@ -55,21 +57,23 @@ class TextIndex:
     totals: DataFrame
     source: Sequence[str] = ("text",)
     key: str = "doc_id"
+    analyze: Callable[[Column], Column] = tokens
 
     @staticmethod
-    def _of(postings: DataFrame, lengths: DataFrame, fields: DataFrame, source: Sequence[str], key: str) -> TextIndex:
+    def _of(postings: DataFrame, lengths: DataFrame, fields: DataFrame, source: Sequence[str], key: str, analyze: Callable[[Column], Column]) -> TextIndex:
         terms_of = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        return TextIndex(postings, lengths, fields, terms_of, lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")), tuple(source), key)
+        return TextIndex(postings, lengths, fields, terms_of, lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")), tuple(source), key, analyze)
 
     @staticmethod
-    def build(docs: DataFrame, fields: Sequence[str] = ("text",), key: str = "doc_id") -> TextIndex:
-        """Indexes the fields, joined by spaces in the order of their names. Of rows with the same key the index expects one."""
+    def build(docs: DataFrame, fields: Sequence[str] = ("text",), key: str = "doc_id", analyze: Callable[[Column], Column] = tokens) -> TextIndex:
+        """Indexes the fields, joined by spaces in the order of their names. Of rows with the same key the index expects one. ``analyze`` gives the tokens of a text; queries
+        of the index go through it too."""
         text = F.concat_ws(" ", *[F.col(f) for f in sorted(fields)])
-        split = docs.select(F.col(key).alias("doc_id"), tokens(text).alias("tokens"))
+        split = docs.select(F.col(key).alias("doc_id"), analyze(text).alias("tokens"))
         lengths = split.select("doc_id", F.size("tokens").alias("dl"))
         each = split.select("doc_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("position", "term"))
         postings = each.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"), F.first("dl").alias("dl"))
-        return TextIndex._of(postings, lengths, docs.withColumnRenamed(key, "doc_id"), fields, key)
+        return TextIndex._of(postings, lengths, docs.withColumnRenamed(key, "doc_id"), fields, key, analyze)
 
     def statistics(self) -> DataFrame:
         """One row: the number of documents and their mean length."""
@@ -82,7 +86,7 @@ class TextIndex:
         self.postings.repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
         read = spark.read.parquet
-        whole = TextIndex._of(read(f"{folder}/postings"), read(f"{folder}/lengths"), self.fields, self.source, self.key)
+        whole = TextIndex._of(read(f"{folder}/postings"), read(f"{folder}/lengths"), self.fields, self.source, self.key, self.analyze)
         whole.terms_of.repartitionByRange(parts, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
         whole.totals.write.mode("overwrite").parquet(f"{folder}/totals")
         return replace(whole, terms_of=read(f"{folder}/terms"), totals=read(f"{folder}/totals"))
@@ -91,15 +95,15 @@ class TextIndex:
         """The index without documents (doc_id); the postings of the others are taken over, their texts are not read again."""
         gone = keys.select("doc_id").distinct()
         keep = lambda df: df.join(gone, "doc_id", "left_anti")
-        return TextIndex._of(keep(self.postings), keep(self.lengths), keep(self.fields), self.source, self.key)
+        return TextIndex._of(keep(self.postings), keep(self.lengths), keep(self.fields), self.source, self.key, self.analyze)
 
     def with_documents(self, docs: DataFrame) -> TextIndex:
         """The index with documents added, or put in the place of those with their keys; only their texts are read."""
-        new = TextIndex.build(docs, self.source, self.key)
+        new = TextIndex.build(docs, self.source, self.key, self.analyze)
         rest = self.without(new.lengths)
         names = [c for c in rest.fields.columns if c in new.fields.columns]
         return TextIndex._of(
-            rest.postings.unionByName(new.postings), rest.lengths.unionByName(new.lengths), rest.fields.select(*names).unionByName(new.fields.select(*names)), self.source, self.key
+            rest.postings.unionByName(new.postings), rest.lengths.unionByName(new.lengths), rest.fields.select(*names).unionByName(new.fields.select(*names)), self.source, self.key, self.analyze
         )
 
     def _hits(self, times: Mapping[str, int]) -> DataFrame:
@@ -124,7 +128,7 @@ class TextIndex:
     def _tokens(self, *texts: str) -> list[str]:
         """Tokens of texts of a query, by the same expression as those of documents."""
         spark = self.postings.sparkSession
-        return list(spark.sql("SELECT 1").select(F.flatten(F.array(*[tokens(F.lit(t)) for t in texts])).alias("t")).first()[0]) if texts else []
+        return list(spark.sql("SELECT 1").select(F.flatten(F.array(*[self.analyze(F.lit(t)) for t in texts])).alias("t")).first()[0]) if texts else []
 
     def _ranked(self, scored: DataFrame, limit: int | None) -> DataFrame:
         total = scored.groupBy("doc_id").agg(F.sum("score").alias("score"))
@@ -206,7 +210,7 @@ class TextIndex:
         chosen = self.fields.join(candidates, "doc_id", "left_semi")
         sides = []
         for name, weight in weights.items():
-            split = chosen.select("doc_id", tokens(F.coalesce(F.col(name), F.lit(""))).alias("t"))
+            split = chosen.select("doc_id", self.analyze(F.coalesce(F.col(name), F.lit(""))).alias("t"))
             each = split.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
             sides.append(each.select("*", F.lit(name).alias("field"), F.lit(float(weight)).alias("weight")))
         every = sides[0]

@@ -10,6 +10,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkweave.scratch import scratch
+
 # Fixed value: grids with more buckets than this are not filled.
 MAX_GRID = 100_000
 
@@ -83,11 +85,28 @@ def session(df: DataFrame, gap: int, value: str, measures: Sequence[str], by: Se
 
 
 def state(df: DataFrame, field: str, value: str, measures: Sequence[str], by: Sequence[str] = (), ts: str = "ts", tie: Sequence[str] = ()) -> DataFrame:
-    """A window for each run of equal states in the order of time; named by its first time. A missing state is an empty one."""
+    """A window for each run of equal states in the order of time; named by its first time. A missing state is an empty one.
+
+    Without ``by`` there is one order over all points: ranges of it are written once and numbered by themselves, and a range's first run goes on from the last of the range before.
+    """
     points = df.where(F.col(value).try_cast("double").isNotNull()).withColumn("__state", F.coalesce(F.col(field).cast("string"), F.lit("")))
-    ordered = Window.partitionBy(*by).orderBy(ts, *tie)
+    groups = list(by)
+    if not by:
+        path = scratch(df.sparkSession, "states")
+        points.repartitionByRange(ts, *tie).sortWithinPartitions(ts, *tie).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+        points, groups = df.sparkSession.read.parquet(path), ["__range"]
+    ordered = Window.partitionBy(*groups).orderBy(ts, *tie)
     changed = F.coalesce((F.lag("__state").over(ordered) != F.col("__state")).cast("int"), F.lit(1))
     runs = points.withColumn("__changed", changed).withColumn("__run", F.sum("__changed").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    if not by:
+        # One row for each range: its first and last state and its runs.
+        place = F.struct(ts, *tie)
+        each = runs.groupBy("__range").agg(F.min_by("__state", place).alias("first"), F.max_by("__state", place).alias("last"), F.max("__run").alias("n"))
+        along = Window.orderBy("__range")
+        joined = F.coalesce((F.lag("last").over(along) == F.col("first")).cast("int"), F.lit(0))
+        each = each.withColumn("joined", joined)
+        moved = F.coalesce(F.sum(F.col("n") - F.col("joined")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("joined")
+        runs = runs.join(F.broadcast(each.select("__range", moved.alias("__moved"))), "__range").withColumn("__run", F.col("__run") + F.col("__moved"))
     grouped = runs.groupBy(*by, "__run", F.col("__state").alias("state")).agg(F.unix_millis(F.min(ts)).alias("bucket"), *[measure(m, F.col(value), F.col(ts)).alias(m) for m in measures])
     return grouped.drop("__run")
 

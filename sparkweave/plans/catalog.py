@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sparkweave.plans import analytics, models, relational, scalars, search, state, statements
+from sparkweave.plans import analytics, assistants, models, relational, scalars, search, state, statements
 from sparkweave.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = (relational, analytics, scalars, search, models, state, statements)
+MODULES = (relational, analytics, scalars, search, models, state, assistants, statements)
 
 
 def queries() -> dict[str, Query]:

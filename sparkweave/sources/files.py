@@ -127,9 +127,10 @@ _TYPES = {"int": "bigint", "integer": "bigint", "bigint": "bigint", "smallint":
 
 
 def import_dump(spark: SparkSession, script: str) -> dict[str, DataFrame]:
-    """The tables of a SQL dump's CREATE TABLE and INSERT statements; other statements are skipped. The rows are literals of the script, so they are in it already."""
+    """The tables of a SQL dump's CREATE TABLE and INSERT statements; other statements are skipped. The rows are literals of the script, so they are in it already; those of all
+    INSERTs that name the same columns make one list, so the plan doesn't grow with their number."""
     schemas: dict[str, list[tuple[str, str]]] = {}
-    selects: dict[str, list[str]] = {}
+    values: dict[str, dict[tuple[str, ...], list[str]]] = {}
     for statement in split_statements(script):
         created = re.match(r"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[\"`]?(\w+)[\"`]?\s*\((.*)\)\s*$", statement, re.IGNORECASE | re.DOTALL)
         if created:
@@ -144,11 +145,20 @@ def import_dump(spark: SparkSession, script: str) -> dict[str, DataFrame]:
         inserted = re.match(r"INSERT\s+INTO\s+[\"`]?(\w+)[\"`]?\s*(?:\(([^)]*)\)\s*)?VALUES\s*(.*)$", statement, re.IGNORECASE | re.DOTALL)
         if inserted and inserted[1] in schemas:
             names = [c.strip().strip('"`') for c in inserted[2].split(",")] if inserted[2] else [c for c, _ in schemas[inserted[1]]]
-            kinds = dict(schemas[inserted[1]])
-            values = ", ".join(f"try_cast({n} AS {kinds[n]}) AS {n}" if n in names else f"CAST(NULL AS {k}) AS {n}" for n, k in schemas[inserted[1]])
             literals = re.sub(r"'((?:[^']|'')*)'", lambda m: "'" + m[1].replace("\\", "\\\\").replace("''", "\\'") + "'", inserted[3])
-            selects.setdefault(inserted[1], []).append(f"SELECT {values} FROM VALUES {literals} AS t({', '.join(names)})")
-    return {name: spark.sql(" UNION ALL ".join(selects[name])) if name in selects else spark.createDataFrame([], ", ".join(f"{c} {k}" for c, k in columns)) for name, columns in schemas.items()}
+            values.setdefault(inserted[1], {}).setdefault(tuple(names), []).append(literals)
+
+    def rows(name: str) -> DataFrame:
+        columns = schemas[name]
+        if name not in values:
+            return spark.createDataFrame([], ", ".join(f"{c} {k}" for c, k in columns))
+        branches = []
+        for names, literals in values[name].items():
+            selected = ", ".join(f"try_cast({c} AS {k}) AS {c}" if c in names else f"CAST(NULL AS {k}) AS {c}" for c, k in columns)
+            branches.append(f"SELECT {selected} FROM VALUES {', '.join(literals)} AS t({', '.join(names)})")
+        return spark.sql(" UNION ALL ".join(branches))
+
+    return {name: rows(name) for name in schemas}
 
 
 def export_keyspace(kv: DataFrame, path: str) -> None:

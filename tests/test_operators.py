@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sparkweave.functions import geo, predicates, vectors
+from sparkweave.functions import geo, predicates, segment, vectors
 from sparkweave.operators import fulltext, fusion, geosets, graph, keyvalue, nearest, queue, relational, tables, timeseries
 from sparkweave.sources import files
 
@@ -191,3 +191,41 @@ def test_upsert_folds_rows_in_order(spark):
     new = spark.createDataFrame([(1, 1.0, "x", 1), (1, 2.0, "y", 2), (1, 3.0, "z", 3), (2, 5.0, "p", 4), (2, 6.0, "q", 5)], "k long, v double, t string, seq long")
     found = tables.upsert(held, new, "k", {"v": "base.v + last.v", "t": None}, "seq")
     assert sorted(rows(found)) == [(1, 16.0, "z"), (2, 11.0, "q")]
+
+
+def test_segmenting_by_a_dictionary(spark):
+    words = {"数据": 50, "数据库": 30, "全文": 20, "检索": 20, "全文检索": 5, "支持": 40, "北京": 10, "大学": 10, "北京大学": 12}
+    assert segment.best_words("数据库支持全文检索", words, sum(words.values()), 4) == ["数据库", "支持", "全文检索"]
+    assert segment.best_words("北京大学生", words, sum(words.values()), 4) == ["北京大学", "生"]
+    docs = spark.createDataFrame([(1, "数据库支持全文检索"), (2, "北京大学 rust"), (3, None), (4, "plain words")], "doc_id long, text string")
+    cut = segment.segmenter(words, every_part=True)
+    index = fulltext.TextIndex.build(docs, analyze=lambda t: fulltext.tokens(cut(t), "words"))
+    assert [r[0] for r in rows(index.search("全文检索"))] == [1]
+    assert [r[0] for r in rows(index.search("大学"))] == [2]
+    assert {r[0] for r in rows(index.dictionary())} >= {"数据库", "数据", "全文", "支持", "北京大学", "rust", "plain"}
+
+
+def test_index_upkeep_by_document(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i % 3} common text") for i in range(30)], "doc_id long, text string")
+    index = fulltext.TextIndex.build(docs).written(str(tmp_path))
+    new = spark.createDataFrame([(0, "fresh words"), (99, "fresh common")], "doc_id long, text string")
+    changed = index.with_documents(new)
+    plain = fulltext.TextIndex.build(docs.where("doc_id > 0").unionAll(new))
+    for text in ("word0", "fresh", "common text"):
+        assert rows(changed.search(text, None)) and sorted(map(str, rows(changed.search(text, None)))) == sorted(map(str, rows(plain.search(text, None))))
+    assert rows(changed.without(new).search("fresh")) == []
+
+
+def test_states_across_ranges(spark):
+    import itertools
+
+    states = [s for s, n in [("a", 40), ("b", 1), ("a", 7), (None, 30), ("c", 22)] for _ in range(n)]
+    data = [(i, s, 1.0) for i, s in enumerate(states)]
+    frame = spark.createDataFrame(data, "n long, s string, v double").repartition(3).withColumn("ts", F.timestamp_millis("n"))
+    found = sorted(rows(timeseries.state(frame, "s", "v", ["count"]).select("bucket", "state", "count")))
+    want, at = [], 0
+    for s, group in itertools.groupby(states):
+        n = len(list(group))
+        want.append((at, s or "", n))
+        at += n
+    assert found == want
