@@ -141,7 +141,7 @@ def agent_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.rollback(steps, agent, 50).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("trace_report", "SELECT user_id AS run, count(*) AS operations, count(*) FILTER (event_type = 'error' OR event_id % 6 = 0) AS failed, sum(event_id % 50)::BIGINT AS busy, (max(epoch_ms(ts) + event_id % 50) - min(epoch_ms(ts)))::BIGINT AS elapsed FROM events GROUP BY user_id")
+@register("trace_report", "SELECT user_id AS run, count(*) AS operations, count(*) FILTER (event_type = 'error' OR event_id % 6 = 0) AS failed, sum(event_id % 50)::BIGINT AS busy, (max(epoch_us(ts) // 1000 + event_id % 50) - min(epoch_us(ts) // 1000))::BIGINT AS elapsed FROM events GROUP BY user_id")
 def trace_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.when((F.col("event_type") == "error") | (F.col("event_id") % 6 == 0), F.lit("failed"))
     records = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.unix_millis("ts").alias("at"), F.col("event_type").alias("operation"), (F.col("event_id") % 50).alias("duration"), failed.alias("error"))
