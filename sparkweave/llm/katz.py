@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.llm.columns import pick
-from sparkweave.llm.storage import free_shuffles, new_path, small_batches, text_size, written
+from sparkweave.llm.storage import new_path, small_batches, text_size, tidy_shuffles, written
 from sparkweave.llm.textblocks import chunks, mix, pack, pack_sorted, trim_memory, unpack, unpack_sorted, words_of
 
 #: Bytes of text in a block.
@@ -200,7 +200,6 @@ def katz_scores(docs: DataFrame, trains: Column, order: int = 3, added: float =
     rows = pick(docs.withColumn("trains", F.coalesce(trains, F.lit(False))), "doc_id", "text", "trains")
     shards = shards or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_size(rows) // SHARD_BYTES))
     answers = written(_counts(rows, order, shards, thin), "gram-counts")
-    free_shuffles(spark)
     by_order = answers.where("block IS NULL").select(F.col("stats")[0].alias("order"), *[F.col("stats")[i + 1].alias(f"s{i}") for i in range(thin + 3)])
     stats = {r["order"]: [int(r[f"s{i}"]) for i in range(thin + 3)] for r in by_order.groupBy("order").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(thin + 3)]).collect()}
     total, kinds = stats.get(1, [0, 0])[:2]
@@ -347,7 +346,8 @@ def katz_scores(docs: DataFrame, trains: Column, order: int = 3, added: float =
     zipped = scored.where("n_tokens IS NULL").select(F.col("orders")[0].alias("order"), F.explode(F.arrays_zip("contexts", "masses", "lowers")).alias("z"))
     alpha = zipped.groupBy("order", F.col("z.contexts").alias("context")).agg(((1 - F.sum("z.masses")) / (1 - F.sum("z.lowers"))).alias("alpha"))
     path = new_path(spark, "katz-alpha")
-    alpha.write.partitionBy("order").parquet(path)
+    with tidy_shuffles(spark):
+        alpha.write.partitionBy("order").parquet(path)
     alpha = spark.read.schema("context long, alpha double, order int").parquet(path)
     backed = texts.where(F.size("orders") > 0).select("row", F.explode(F.arrays_zip("orders", "contexts", "times")).alias("z")).select("row", F.col("z.orders").alias("order"), F.col("z.contexts").alias("context"), F.col("z.times").alias("times"))
     extra = backed.join(alpha, ["order", "context"]).groupBy("row").agg(F.sum(F.log10("alpha") * F.col("times")).alias("extra"))

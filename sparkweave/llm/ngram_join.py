@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.llm.columns import pick
 from sparkweave.llm.components import components
-from sparkweave.llm.storage import free_shuffles, small_batches, text_size, written
+from sparkweave.llm.storage import small_batches, text_size, written
 from sparkweave.llm.textblocks import chunks, mix, pack, pack_sorted, trim_memory, unpack, unpack_sorted, windows, words_of
 
 #: Bytes of text in a block. Its hashes and text numbers take some ten times as much memory while they are sorted.
@@ -308,7 +308,6 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, numerator: int = 75, sha
     if not shards:
         shards = min(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_size(rows) // SHARD_BYTES)), (1 << _SHARD_BITS) - 1)
     texts = written(_texts(rows, _frequencies(rows, width, shards), width, numerator), "shingle-texts")
-    free_shuffles(spark)
     same = ["n", "digest", "digest2"]
     # A class with a single text that has no possible partner needs nothing further.
     classes = texts.where("n > 0").groupBy(*same).agg(

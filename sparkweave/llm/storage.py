@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +62,8 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = new_path(spark, name)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
-    df.write.parquet(path)
+    with tidy_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,12 +72,19 @@ def text_size(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets go of shuffle files that no plan needs any more, once a table has been written from them; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    time.sleep(1)  # Python's references to plans are handed back by a thread of their own
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, a write lets go of its own shuffle files as it ends, which no other plan can read; else they stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
