@@ -15,7 +15,7 @@ from sparkweave.llm.exact_dedup import exact_dedup
 from sparkweave.llm.language_id import fit_filters, identify_languages
 from sparkweave.llm.ngram_join import ngram_jaccard_join
 from sparkweave.llm.packing import pack_documents
-from sparkweave.llm.storage import clear, mark, new_path, written, written_since
+from sparkweave.llm.storage import clear, mark, new_path, tidy_shuffles, written, written_since
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -141,7 +141,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             before, path = path, new_path(spark, f"pipeline-{number}")
-            docs.write.parquet(path)
+            with tidy_shuffles(spark):
+                docs.write.parquet(path)
             docs = spark.read.parquet(path)
             clear(spark, [before] if before else [])
     return docs
