@@ -15,7 +15,7 @@ from sparkweave.llm.exact_dedup import exact_dedup
 from sparkweave.llm.language_id import fit_filters, identify_languages
 from sparkweave.llm.ngram_join import ngram_jaccard_join
 from sparkweave.llm.packing import pack_documents
-from sparkweave.llm.storage import clear, mark, new_path, tidy_shuffles, written, written_since
+from sparkweave.llm.storage import clear, collect_garbage, mark, new_path, tidy_shuffles, written, written_since
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,11 +34,13 @@ _left: list[str] = []
 
 
 def _stage(function: Stage) -> Stage:
-    """As a stage begins, the result of the one before it has been written, so the tables that one worked with are deleted: no more than one stage's tables take up room."""
+    """As a stage begins, the result of the one before it has been written, so the tables that one worked with are deleted: no more than one stage's tables take up room.
+    Executors collect their garbage then, so that no stage starts on top of the memory that others have grown."""
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         clear(spark, _left)
+        collect_garbage(spark)
         begun = mark()
         found = function(spark, docs, sf_dir)
         _left[:] = written_since(begun)

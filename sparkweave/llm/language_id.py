@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from sparkweave.llm.columns import pick
 from sparkweave.llm.storage import small_batches
-from sparkweave.llm.textblocks import CHUNK_BYTES, chunks, lower_ascii, mix, text_bytes, trim_memory
+from sparkweave.llm.textblocks import CHUNK_BYTES, chunks, drop_encoders, lower_ascii, mix, text_bytes, trim_memory
 
 SCHEMA = "lang_pred string, score double, n_grams long, hits array<double>"
 
@@ -111,6 +111,7 @@ def fit_filters(
     sample = keyed.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows_per_language).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         for batch in batches:
             for part in chunks(batch):
                 grams, owner = grams_of(*text_bytes(part.column("text")), sizes)
@@ -165,6 +166,7 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, carry: Sequenc
     shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.slices, filters.false_rate, filters.sizes, filters.hashes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         f = LanguageFilters(*shared.value)
         for batch in batches:
             for part in chunks(batch):

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sparkweave.llm.columns import pick
 from sparkweave.llm.components import components
 from sparkweave.llm.storage import small_batches, text_size, written
-from sparkweave.llm.textblocks import chunks, mix, pack, pack_sorted, trim_memory, unpack, unpack_sorted, windows, words_of
+from sparkweave.llm.textblocks import chunks, drop_encoders, mix, pack, pack_sorted, trim_memory, unpack, unpack_sorted, windows, words_of
 
 #: Bytes of text in a block. Its hashes and text numbers take some ten times as much memory while they are sorted.
 BLOCK_BYTES = 6 << 20
@@ -98,6 +98,7 @@ class _Block:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[_Block]:
+    drop_encoders()
     parts, ids, size = [], [], 0
     for batch in batches:
         for part in chunks(batch):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,7 +66,9 @@ class WordEncoder:
 
     @classmethod
     def of_process(cls, path: str) -> WordEncoder:
-        """The encoder that this Python process keeps from one task to the next."""
+        """The encoder that this Python process keeps from one task to the next, until drop_encoders(). It encodes on the task's own core: threads for all cores of the
+        machine would each hold memory of their own, in each worker."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         kept = vars(tokenizers).setdefault("_sparkweave_encoders", {})
         if path not in kept:
             kept[path] = cls(path)

@@ -72,6 +72,13 @@ def text_size(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect their garbage: heap that earlier work has grown goes back to the system, and so do buffers outside the heap, which
+    nothing else lets go of while the heap has room. One short task for each core, dealt to all executors."""
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("collected")).write.format("noop").mode("overwrite").save()
+
+
 @contextlib.contextmanager
 def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
     """Within it, a write lets go of its own shuffle files as it ends, which no other plan can read; else they stay until the driver happens to collect its garbage."""

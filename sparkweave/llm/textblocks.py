@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 @functools.cache
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1), kept for the life of the process; n is bounded by the length of a stretch."""
+    """base**0 .. base**(n-1), kept until trim_memory(); n is bounded by the length of a stretch."""
     steps = np.full(n, base, np.uint64)
     steps[0] = 1
     return np.multiply.accumulate(steps)
@@ -37,8 +38,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def drop_encoders() -> None:
+    """Lets go of the encoders that packing keeps in this Python process: workers serve one operator after the other, and the others have no use for them."""
+    if module := sys.modules.get("tokenizers"):
+        vars(module).pop("_sparkweave_encoders", None)
+
+
 def trim_memory() -> None:
     """Gives memory that is free in this Python process back to the system, so that workers of one executor don't each hold their peak."""
+    _powers.cache_clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -1,16 +1,21 @@
 """The pipeline's stages against plain Python, and the columns that the registered queries return."""
 
+import os
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparkweave.llm import registry
+from sparkweave.llm import registry, textblocks
+from sparkweave.llm.ngram_join import _blocks
+from sparkweave.llm.packing import WordEncoder
 from sparkweave.llm.storage import written
 
 from .test_pairs_and_copies import LOWER, shingles
@@ -234,3 +239,35 @@ def test_stages_of_an_empty_table_and_clashing_columns(spark, empty):
     for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
         docs = written(stage(spark, docs.selectExpr("*", "1 AS row", "2 AS position") if n < 4 else docs, ""), "test")
         assert docs.count() == 0
+
+
+def test_a_stage_begins_with_collected_garbage(spark):
+    """Heap that one stage has grown would be held, beside the Python workers, while the next one runs."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+
+    def full_collections():
+        return sum(b.getCollectionCount() for b in beans() if any(x in b.getName() for x in ("Old", "MarkSweep")))
+
+    before = full_collections()
+    stage = corpus_pipeline._stage(lambda spark, docs, folder: docs)
+    assert stage(spark, spark.range(3), "").count() == 3
+    assert full_collections() > before
+
+
+def test_other_operators_let_go_of_packing_encoders(monkeypatch):
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = WordEncoder.of_process(path)
+    assert WordEncoder.of_process(path) is encoder and os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "text": ["a b c d e f", None]})
+    (block,) = _blocks(iter([batch]), 5)
+    assert block.n.tolist() == [2, 0]
+    assert not vars(tokenizers).get("_sparkweave_encoders")
+
+
+def test_trimming_lets_go_of_powers():
+    textblocks.words_of(pa.array(["a b c"]), lower=True)
+    assert textblocks._powers.cache_info().currsize
+    textblocks.trim_memory()
+    assert not textblocks._powers.cache_info().currsize
