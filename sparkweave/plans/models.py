@@ -110,9 +110,12 @@ def vector_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("vector_upsert", "SELECT CASE WHEN vec_id % 7 = 0 THEN -1 ELSE label END AS label, count(*) AS n FROM (SELECT vec_id, label FROM embeddings UNION ALL SELECT vec_id + 100000, label FROM embeddings WHERE vec_id % 7 = 1) GROUP BY 1")
 def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL puts the added rows beside all that are there, so their keys must be free: 100,000 further on, or past the largest where the keys reach as far as that."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     changed = vectors.where("vec_id % 7 = 0").withColumn("label", F.lit(-1))
-    added = vectors.where("vec_id % 7 = 1").withColumn("vec_id", F.col("vec_id") + 100000)
+    reach = F.coalesce(F.max("vec_id") - F.min("vec_id") + 1, F.lit(0))
+    shift = vectors.agg(F.greatest(reach, F.lit(100000)).alias("shift"))
+    added = vectors.where("vec_id % 7 = 1").crossJoin(F.broadcast(shift)).select((F.col("vec_id") + F.col("shift")).alias("vec_id"), "embedding", "label")
     fresh = changed.unionByName(added).withColumn("seq", F.lit(1))
     return DML.replace_into(vectors, fresh, "vec_id", "seq").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
