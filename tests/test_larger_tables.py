@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from sparkweave.operators import fulltext
 from sparkweave.plans import catalog
 
 
@@ -28,3 +30,54 @@ def agrees(spark, folder, name):
 def test_upsert_of_vectors_with_keys_past_a_hundred_thousand(spark, tmp_path):
     table(tmp_path, "embeddings", "SELECT range AS vec_id, [1.0, range % 3]::FLOAT[] AS embedding, (range % 10)::INT AS label FROM range(0, 100300)")
     assert sum(n for _, n in agrees(spark, tmp_path, "vector_upsert")) == 100300 + 14329
+
+
+def shuffled_rows(spark, run):
+    """What a function gives, and the rows that its jobs wrote to shuffles."""
+    context = spark.sparkContext
+    group = f"measured-{id(run)}"
+    context.setJobGroup(group, group)
+    found = run()
+    context.setJobGroup("other", "other")
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    return found, sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+@pytest.fixture(scope="module")
+def words(spark):
+    """1,000 documents of 300 words out of 320, a document without words and one without text."""
+    some = F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.concat(F.lit("w"), ((i * 7 + F.col("id")) % 320).cast("string")))
+    docs = spark.range(0, 1000, 1, 4).select(F.col("id").alias("doc_id"), F.array_join(some, " ").alias("text"))
+    return docs.unionAll(spark.createDataFrame([(2000, ", the"), (2001, None)], "doc_id long, text string"))
+
+
+def test_index_is_written_without_a_shuffle_of_postings(spark, words, tmp_path, monkeypatch):
+    monkeypatch.setattr(fulltext, "RUN_TOKENS", 1 << 13, raising=False)
+    built = fulltext.TextIndex.build(words)
+    index, moved = shuffled_rows(spark, lambda: built.written(str(tmp_path)))
+    # Words by partition, and words again for their ranges, are all that meets; there are 300,000 postings.
+    assert moved < 10_000
+    assert index.postings.count() == 300_000
+    every = lambda df: sorted(map(str, df.collect()))
+    columns = ["term", "doc_id", "tf", "positions", "dl"]
+    assert every(index.postings.select(*columns)) == every(built.postings.select(*columns))
+    assert index.postings.schema.simpleString() == built.postings.schema.simpleString()
+    for name in ("lengths", "terms_of", "totals"):
+        assert every(getattr(index, name)) == every(getattr(built, name))
+    for one, other in zip((index.phrase("w0 w7"), index.boolean(["w3"], ["w4"], ["w5"])), (built.phrase("w0 w7"), built.boolean(["w3"], ["w4"], ["w5"])), strict=True):
+        assert every(one.select("doc_id", F.round("score", 9))) == every(other.select("doc_id", F.round("score", 9)))
+    fresh = spark.createDataFrame([(1, "fresh w1"), (2000, "fresh")], "doc_id long, text string")
+    again = index.with_documents(fresh).written(str(tmp_path / "again"))
+    assert {r.doc_id for r in again.search("fresh").collect()} == {1, 2000} and again.totals.first().n_docs == 1002
+
+
+def test_expressions_hand_their_terms_to_the_scan(spark, words, tmp_path, monkeypatch):
+    index = fulltext.TextIndex.build(words).written(str(tmp_path))
+    found = index.regexp("w1[01]", None)
+    assert "In(term, [w10,w11])" in found._jdf.queryExecution().toString()
+    rows = sorted(map(str, found.select("doc_id", F.round("score", 9)).collect()))
+    assert len(rows) > 900
+    monkeypatch.setattr(fulltext, "MOST_LITERALS", 1, raising=False)
+    assert sorted(map(str, index.regexp("w1[01]", None).select("doc_id", F.round("score", 9)).collect())) == rows
+    assert index.regexp("nothing").collect() == []
