@@ -81,3 +81,14 @@ def test_expressions_hand_their_terms_to_the_scan(spark, words, tmp_path, monkey
     monkeypatch.setattr(fulltext, "MOST_LITERALS", 1, raising=False)
     assert sorted(map(str, index.regexp("w1[01]", None).select("doc_id", F.round("score", 9)).collect())) == rows
     assert index.regexp("nothing").collect() == []
+
+
+def test_fields_are_made_of_the_candidates_alone(spark, words, tmp_path, monkeypatch):
+    words.withColumn("head", F.substring_index("text", " ", 2)).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    index = fulltext.TextIndex.build(docs).written(str(tmp_path / "index"))
+    found = index.multi_field("w3 w10", {"head": 2.0, "text": 1.0}, 5)
+    assert "In(doc_id, [" in found._jdf.queryExecution().toString() and "LeftSemi" not in found._jdf.queryExecution().toString()
+    rows = [(r.doc_id, round(r.score, 9)) for r in found.collect()]
+    monkeypatch.setattr(fulltext, "MOST_LITERALS", 1, raising=False)
+    assert len(rows) == 5 and [(r.doc_id, round(r.score, 9)) for r in index.multi_field("w3 w10", {"head": 2.0, "text": 1.0}, 5).collect()] == rows
