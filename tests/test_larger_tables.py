@@ -1,10 +1,14 @@
 """Queries on tables whose keys or rows are more than those of the given ones."""
 
+import math
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from sparkweave.operators import fulltext
+from sparkweave.functions import vectors
+from sparkweave.operators import fulltext, nearest
 from sparkweave.plans import catalog
 
 
@@ -92,3 +96,62 @@ def test_fields_are_made_of_the_candidates_alone(spark, words, tmp_path, monkeyp
     rows = [(r.doc_id, round(r.score, 9)) for r in found.collect()]
     monkeypatch.setattr(fulltext, "MOST_LITERALS", 1, raising=False)
     assert len(rows) == 5 and [(r.doc_id, round(r.score, 9)) for r in index.multi_field("w3 w10", {"head": 2.0, "text": 1.0}, 5).collect()] == rows
+
+
+def rows_from(spark, node):
+    """Rows that the nodes of a name gave in the last query."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = max(store.executionsList().apply(i).executionId() for i in range(store.executionsList().size()))
+    nodes, values = store.planGraph(last).allNodes(), store.executionMetrics(last)
+    metrics = [n.metrics().apply(j) for n in (nodes.apply(i) for i in range(nodes.size())) if n.name() == node for j in range(n.metrics().size())]
+    return sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows")
+
+
+def brute(rows, queries, metric):
+    """(query, key, distance) of all pairs, as the expressions of functions.vectors give it; without those that have none."""
+    found = []
+    for q, b in queries:
+        for key, a in rows:
+            if a is None or len(a) != len(b):
+                found += [(q, key, vectors.MISMATCH)] if a is not None else []
+            elif metric == "l2":
+                found.append((q, key, math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)))))
+            else:
+                dot, lengths = sum(x * y for x, y in zip(a, b, strict=True)), math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(y * y for y in b))
+                if metric == "dot" or lengths:
+                    found.append((q, key, -dot if metric == "dot" else 1 - dot / lengths))
+    return found
+
+
+@pytest.fixture(scope="module")
+def points():
+    """Vectors with repetitions, near copies, a zero, others of another length, and none."""
+    some = random.Random(3)
+    rows = [[float(some.randint(-4, 4)) for _ in range(3)] for _ in range(400)] + [[1.0, 2.0, 3.0 + i * 1e-9] for i in range(20)]
+    return list(enumerate([*rows, [0.0, 0.0, 0.0], [1.0, 2.0], None, []]))
+
+
+@pytest.mark.parametrize("metric", vectors.METRICS)
+def test_nearest_to_each_in_small_blocks(spark, points, metric, monkeypatch):
+    for name, value in (("ROWS", 16), ("QUERIES", 4), ("PAIRS", 64)):
+        monkeypatch.setattr(nearest, name, value, raising=False)
+    asked = [(q, v) for q, v in points if q % 29 == 0 or q > 415]
+    frame = spark.createDataFrame(points, "vec_id long, v array<double>").coalesce(2)
+    queries = spark.createDataFrame([a for a in asked if a[1] is not None], "query_id long, query array<double>")
+    found = nearest.nearest_to_each(frame, "v", queries, 4, metric).collect()
+    want = []
+    for q, v in asked:
+        if v is not None:
+            ranked = sorted((d, k) for _, k, d in brute(points, [(q, v)], metric))[:4]
+            want += [(q, k, d, i + 1) for i, (d, k) in enumerate(ranked)]
+    assert sorted((r.query_id, r.vec_id, r["rank"]) for r in found) == sorted((q, k, i) for q, k, _, i in want)
+    assert sorted(r.distance for r in found) == pytest.approx(sorted(w[2] for w in want))
+
+
+def test_tasks_hand_on_k_rows_of_each_query(spark):
+    """Before, they handed on k rows of each batch, and all of equal distance."""
+    frame = spark.range(0, 9000, 1, 2).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), (F.col("id") % 3).cast("double")).alias("v"))
+    queries = spark.range(7).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("query"))
+    found = nearest.nearest_to_each(frame, "v", queries, 2, "l2").collect()
+    assert {(r.query_id, r.vec_id) for r in found} == {(q, v) for q in range(7) for v in (0, 3)}
+    assert 0 < rows_from(spark, "MapInArrow") <= 7 * 2 * 2
