@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkweave.functions import vectors
-from sparkweave.operators import fulltext, nearest
+from sparkweave.operators import fulltext, nearest, sessions
 from sparkweave.plans import catalog
 
 
@@ -155,3 +155,15 @@ def test_tasks_hand_on_k_rows_of_each_query(spark):
     found = nearest.nearest_to_each(frame, "v", queries, 2, "l2").collect()
     assert {(r.query_id, r.vec_id) for r in found} == {(q, v) for q in range(7) for v in (0, 3)}
     assert 0 < rows_from(spark, "MapInArrow") <= 7 * 2 * 2
+
+
+@pytest.mark.parametrize("metric, threshold", [("cosine", 0.05), ("cosine", 1.0), ("l2", 1.0), ("l2", 0.0), ("dot", -9.0)])
+def test_duplicates_are_found_in_small_blocks(spark, points, metric, threshold, monkeypatch):
+    for name, value in (("ROWS", 16), ("QUERIES", 4), ("PAIRS", 64)):
+        monkeypatch.setattr(nearest, name, value, raising=False)
+    frame = spark.createDataFrame(points, "vec_id long, v array<double>").coalesce(2)
+    asked = [(q, v) for q, v in points if v is not None and (q % 29 == 0 or q > 415)]
+    found = sessions.duplicates_of(frame, "v", spark.createDataFrame(asked, "query_id long, query array<double>"), threshold, metric)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    want = [(q, k) for q, k, d in brute(points, asked, metric) if d <= threshold and q != k]
+    assert sorted((r.query_id, r.vec_id) for r in found.collect()) == sorted(want) and want
