@@ -167,3 +167,10 @@ def test_duplicates_are_found_in_small_blocks(spark, points, metric, threshold,
     assert "NestedLoop" not in found._jdf.queryExecution().toString()
     want = [(q, k) for q, k, d in brute(points, asked, metric) if d <= threshold and q != k]
     assert sorted((r.query_id, r.vec_id) for r in found.collect()) == sorted(want) and want
+
+
+def test_duplicates_at_any_distance(spark, points):
+    frame = spark.createDataFrame(points, "vec_id long, v array<double>").coalesce(2)
+    found = sessions.duplicates_of(frame, "v", spark.createDataFrame([(0, points[0][1]), (421, [1.0, 2.0])], "query_id long, query array<double>"), vectors.MISMATCH, "l2").collect()
+    assert sorted((r.query_id, r.vec_id) for r in found) == sorted((q, k) for q in (0, 421) for k, _ in points if k != q)
+    assert {r.vec_id for r in found if r.query_id == 0 and r.distance == vectors.MISMATCH} == {421, 422, 423}
